@@ -1,0 +1,21 @@
+"""Documents with the odd cases that every operator must take."""
+
+LINE = "This passage repeats across documents, Word for Word."
+LONG = " ".join(f"word{i % 977}" for i in range(30_000))
+
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, " \t\n\x0b\x0c\r "),
+    (4, "single"),
+    (5, LONG),
+    (6, f"{LINE}\nalpha beta gamma delta\n  {LINE.upper()} \nshort\nshort"),
+    (7, f"{LINE}\nalpha beta gamma delta\nshort"),
+    (8, "naïve café ümlaut 漢字 仮名 한글 🙂 naïve café"),
+    (9, "same text here and there and so on"),
+    (10, "same text here and there and so on"),
+    (10, "same text here and there and so on"),
+    (11, "same text here and there and so forth"),
+    (12, "\n\n\n"),
+    (13, "a b c　d"),
+]

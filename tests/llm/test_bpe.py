@@ -1,0 +1,51 @@
+import base64
+import hashlib
+import random
+from array import array
+
+import pytest
+from cases import ODD
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from recollect.llm import bpe  # noqa: E402
+
+NAME = "byte_bpe_multi_50k.tiktoken"
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(NAME), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_perfect_hash():
+    for n in (0, 1, 2, 1000):
+        keys = [f"k{i}".encode() for i in range(n)]
+        table = bpe.PerfectHash(keys)
+        assert sorted(table.slots.tolist()) == list(range(n))
+        assert table.find(keys).tolist() == list(range(n))
+
+
+def test_round_trip(table, oracle):
+    r = random.Random(1)
+    rows = ODD + [(100 + i, "".join(r.choice(" \n\tabcdeéß漢'sll019.!?🙂́​\x1c\x85") for _ in range(r.randrange(60)))) for i in range(300)] + [(500, "a" * 5000), (501, "<|endoftext|> Thntblere of edtioner's")]
+    got = bpe.bpe(table(rows), public_tokenizers.path(NAME), public_tokenizers.PATTERN, outputs=("ids", "decoded", "ids_sha256", "decoded_sha256")).collect()
+    want = []
+    for i, t in rows:
+        ids = oracle.encode_ordinary(t or "")
+        want.append((i, len(ids), ids, (t or "").encode(), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted((x.doc_id, x.n_tokens, x.ids, bytes(x.decoded), x.ids_sha256, x.decoded_sha256) for x in got) == sorted(want)
+    assert bpe.bpe(table([]), public_tokenizers.path(NAME), public_tokenizers.PATTERN).count() == 0
+
+
+def test_memory_starts_anew(oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    tokens = bpe.read_ranks(public_tokenizers.path(NAME))
+    codec = bpe.Codec(tokens, bpe.PerfectHash(tokens), public_tokenizers.PATTERN)
+    for text in ("one two three four", "two three onenthwhst five six", "seven"):
+        ids = codec.encode(text)
+        assert array("I", ids).tolist() == oracle.encode_ordinary(text)
+        assert codec.decode(ids) == text.encode()
