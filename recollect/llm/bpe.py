@@ -33,42 +33,46 @@ def hashes(keys: list[bytes]) -> np.ndarray:
 class PerfectHash:
     """A minimal perfect hash of n keys by hash and displace: slot = mix(hash + seed of its bucket) mod n."""
 
-    def __init__(self, keys: list[bytes], per_bucket: int = 3):
+    def __init__(self, n: int, seeds: np.ndarray, slots: np.ndarray):
+        #: the seed of each bucket, and the key in each slot
+        self.n, self.seeds, self.slots = n, seeds, slots
+
+    @classmethod
+    def build(cls, keys: list[bytes], per_bucket: int = 3) -> PerfectHash:
         n = len(keys)
         h = hashes(keys)
-        self.n, self.buckets = n, max(1, n // per_bucket)
-        bucket = (h % U64(self.buckets)).astype(np.int64)
+        buckets = max(1, n // per_bucket)
+        bucket = (h % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        sizes = np.bincount(bucket, minlength=self.buckets)
+        sizes = np.bincount(bucket, minlength=buckets)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.seeds = np.zeros(self.buckets, np.uint64)
-        #: the key in each slot
-        self.slots = np.full(n, -1, np.int64)
+        seeds, slots = np.zeros(buckets, np.uint64), np.full(n, -1, np.int64)
         tries = np.arange(256, dtype=np.uint64)
-        for b in np.argsort(-sizes, kind="stable").tolist():
+        for b in np.argsort(-sizes, kind="stable").tolist():  # the fullest first
             if not sizes[b]:
                 break
             own = order[starts[b] : starts[b] + sizes[b]]
             first = 0
             while True:
                 at = (mix(h[own][None, :] + (tries[:, None] + U64(first)) * U64(0x9E3779B97F4A7C15)) % U64(n)).astype(np.int64)
-                ok = (self.slots[at] < 0).all(axis=1)
+                ok = (slots[at] < 0).all(axis=1)
                 if len(own) > 1:
                     s = np.sort(at, axis=1)
                     ok &= (s[:, 1:] != s[:, :-1]).all(axis=1)
                 if ok.any():
                     k = int(np.argmax(ok))
-                    self.seeds[b] = first + k
-                    self.slots[at[k]] = own
+                    seeds[b] = first + k
+                    slots[at[k]] = own
                     break
                 first += len(tries)
+        return cls(n, seeds, slots)
 
     def find(self, keys: list[bytes]) -> np.ndarray:
         """The number of the only key that each may equal."""
         if not self.n:
             return np.full(len(keys), -1)
         h = hashes(keys)
-        seed = self.seeds[(h % U64(self.buckets)).astype(np.int64)]
+        seed = self.seeds[(h % U64(len(self.seeds))).astype(np.int64)]
         return self.slots[(mix(h + seed * U64(0x9E3779B97F4A7C15)) % U64(self.n)).astype(np.int64)]
 
 
@@ -149,14 +153,16 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: tuple[str, ...]
 
     spark = docs.sparkSession
     tokens = read_ranks(vocabulary)
-    sent = spark.sparkContext.broadcast((tokens, PerfectHash(tokens)))
+    table = PerfectHash.build(tokens)
+    sent = spark.sparkContext.broadcast((tokens, table.n, table.seeds, table.slots))
     kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     source = raw(docs, *carry).withColumn("text", F.col("text").cast("string"))
     n_carry = len(carry)
     schema = "doc_id long, n_tokens long, " + "".join(f"{o} {kinds[o][0]}, " for o in outputs) + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
 
     def run(batches):
-        codec = Codec(*sent.value, pattern)
+        tokens, *table = sent.value
+        codec = Codec(tokens, PerfectHash(*table), pattern)
         for b in batches:
             n, got = [], {o: [] for o in outputs}
             for text in b.column(1).to_pylist():

@@ -84,10 +84,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
     one item); each block is broadcast and the documents pass it in a map step, without a shuffle.
 
     Returns one row for each row of docs: doc_id, item_ids (ascending), distances (in that order), contaminated, and
-    the columns named in carry. Null and empty texts hold nothing; null and blank items are never found; items
+    the columns named in carry (text: null becomes empty). Null and empty texts hold nothing; null and blank items are never found; items
     that share an item_id count as one, at the least distance."""
     spark = docs.sparkSession
-    out = texts(docs, *carry).withColumn("found", F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)"))
+    out = texts(docs, *[c for c in carry if c != "text"]).withColumn("found", F.expr("cast(array() as array<struct<item_id: bigint, distance: int>>)"))
     schema = out.schema
     at = out.columns.index("found")
 

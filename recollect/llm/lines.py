@@ -23,7 +23,7 @@ def keys_of(text: bytes, min_chars: int) -> set[bytes]:
     return {k for k in out if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8", "replace")) >= min_chars)}
 
 
-def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int | None = None, most_log2_bits: int = 26) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int | None = None, most_log2_bits: int = 26, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose key two or more documents hold, but in the document of the smallest doc_id among them.
 
     A first scan enters each document's keys into a once-seen and a twice-seen Bloom filter (2**most_log2_bits
@@ -32,10 +32,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
     and largest doc_id of each key, which confirms repeats on the key itself. keys_expected sizes the filters;
     unset, the documents' bytes do.
 
-    Returns one row for each row of docs: doc_id, n_lines, n_dropped, kept (the text that stays). Null or empty
+    Returns one row for each row of docs: doc_id, n_lines, n_dropped, kept (the text that stays) and the columns in carry. Null or empty
     text is one empty line. Rows of one doc_id count as one document; a null doc_id sorts before all others."""
     spark = docs.sparkSession
-    source = raw(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    source_id = lambda c: F.coalesce(c, F.lit(-(2**63)))  # noqa: E731  nulls must group and join
+    source = raw(docs).withColumn("doc_id", source_id("doc_id"))
     if keys_expected is None:
         n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
         keys_expected = n + size // 100
@@ -87,7 +88,10 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
                 else:
                     out.append((len(lines), 0, text))
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), *b.columns[3:]], names=["doc_id", "n_lines", "n_dropped", "kept", *b.schema.names[3:]])
 
-    both = source.join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys")
-    return both.mapInArrow(rewrite, "doc_id long, n_lines long, n_dropped long, kept binary").select(F.expr("nullif(doc_id, -9223372036854775808)").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"))
+    rows = raw(docs, *carry)
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    both = rows.withColumn("doc_id", source_id("doc_id")).join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys", *carry)
+    out = both.mapInArrow(rewrite, f"doc_id long, n_lines long, n_dropped long, kept binary{more}")
+    return out.select(F.expr("nullif(doc_id, -9223372036854775808)").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"), *carry)

@@ -154,14 +154,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     Rows whose crc32(doc_id as text) is divisible by 5 are held out of training. Labels, lang, source and doc_id are no
     inputs. Null and empty texts have a score too. A null doc_id is not held out."""
     trees = model or train(docs, labels, **options)
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
+    sent = docs.sparkSession.sparkContext.broadcast((trees.feature, trees.cut, trees.leaf, trees.base))
 
     def run(batches):
         import pyarrow as pa
 
+        forest = Trees(*sent.value)
         for b in batches:
             x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sent.value.scores(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.scores(x))], names=["doc_id", "score"])
 
     out = raw(docs).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -70,7 +70,7 @@ def more_rules() -> list[Rule]:
     """Signs of boilerplate and noise that prose in any language stays well clear of."""
     text, w = F.col("_text"), F.col("_words")
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > F.col("word_chars")),
+        Rule("symbols", F.col("n_symbols") * 20 > F.col("word_chars")),
         Rule("word_length", (F.col("word_chars") > 20 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
         Rule("duplicate_lines", F.col("n_dup_lines") * 10 > F.size(F.split(text, "\n")) * 4),
         Rule("capitals", F.regexp_count(text, F.lit(r"\p{Lu}")) * 2 > F.col("word_chars")),

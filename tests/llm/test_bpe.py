@@ -24,7 +24,7 @@ def oracle():
 def test_perfect_hash():
     for n in (0, 1, 2, 1000):
         keys = [f"k{i}".encode() for i in range(n)]
-        table = bpe.PerfectHash(keys)
+        table = bpe.PerfectHash.build(keys)
         assert sorted(table.slots.tolist()) == list(range(n))
         assert table.find(keys).tolist() == list(range(n))
 
@@ -44,7 +44,7 @@ def test_round_trip(table, oracle):
 def test_memory_starts_anew(oracle, monkeypatch):
     monkeypatch.setattr(bpe, "MEMO", 5)
     tokens = bpe.read_ranks(public_tokenizers.path(NAME))
-    codec = bpe.Codec(tokens, bpe.PerfectHash(tokens), public_tokenizers.PATTERN)
+    codec = bpe.Codec(tokens, bpe.PerfectHash.build(tokens), public_tokenizers.PATTERN)
     for text in ("one two three four", "two three onenthwhst five six", "seven"):
         ids = codec.encode(text)
         assert array("I", ids).tolist() == oracle.encode_ordinary(text)
