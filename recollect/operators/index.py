@@ -39,43 +39,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
 
 
-def hashed(tokens: DataFrame, dimensions: int, keys: tuple[str, ...]) -> DataFrame:
-    """Sparse unit vectors by signed feature hashing in SQL: keys, idx array<int>, val array<double>.
-
-    A token's bucket and sign come from its SHA-1. Its weight is (1 + ln tf) * (1 + 0.35 * min(length, 4))."""
-    one = tokens.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    digest = F.sha1(F.col("token").cast("binary"))
-    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8, 1.0).otherwise(-1.0)
-    weight = sign * (1 + F.log(F.col("tf").cast("double"))) * (1 + 0.35 * F.least(F.length("token"), F.lit(4)))
-    cells = one.select(*keys, bucket.alias("bucket"), weight.alias("w")).groupBy(*keys, "bucket").agg(F.sum("w").alias("w"))
-    rows = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["w"] * c["w"]))
-    return rows.withColumn("norm", F.greatest(norm, F.lit(1e-9))).select(*keys, F.col("cells.bucket").alias("idx"), F.transform("cells", lambda c: c["w"] / F.col("norm")).alias("val"))
+def _vectors(tokens: DataFrame, dimensions: int, keys: tuple[str, ...], place) -> DataFrame:
+    """keys, idx array<int>, val array<double>: sparse unit vectors by signed feature hashing, in each row's own task.
 
-
-def blake2b_vectors(tokens: DataFrame, dimensions: int, keys: tuple[str, ...]) -> DataFrame:
-    """As hashed(), with BLAKE2b for the hash: bucket = the 64-bit digest modulo dimensions, positive if its top bit is set."""
-    dimensions = max(64, dimensions)
+    place(token) is (64-bit or smaller number, positive). A token's weight is (1 + ln tf) * (1 + 0.35 * min(length, 4)). No tokens: no cells."""
 
     def run(batches):
-        import hashlib
         import math
         from collections import Counter
 
         import pyarrow as pa
 
+        memo: dict[str, tuple[int, float]] = {}
         for b in batches:
             idx, val = [], []
             for toks in b.column(len(keys)).to_pylist():
                 cells: dict[int, float] = {}
                 for t, n in Counter(toks or ()).items():
-                    d = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
-                    w = (1 + math.log(n)) * (1 + 0.35 * min(len(t), 4))
-                    cells[d % dimensions] = cells.get(d % dimensions, 0.0) + (w if d >> 63 else -w)
+                    if t not in memo:
+                        if len(memo) > 200_000:
+                            memo.clear()
+                        d, up = place(t)
+                        memo[t] = d % dimensions, (1 + 0.35 * min(len(t), 4)) * (1 if up else -1)
+                    at, w = memo[t]
+                    cells[at] = cells.get(at, 0.0) + (1 + math.log(n)) * w
                 norm = max(1e-9, math.sqrt(sum(w * w for w in cells.values())))
                 idx.append(sorted(cells))
-                val.append([cells[i] / norm for i in sorted(cells)])
+                val.append([cells[i] / norm for i in idx[-1]])
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], names=[*keys, "idx", "val"])
 
     source = tokens.select(*keys, "tokens")
@@ -83,6 +73,30 @@ def blake2b_vectors(tokens: DataFrame, dimensions: int, keys: tuple[str, ...]) -
     return source.mapInArrow(run, schema + "idx array<int>, val array<double>")
 
 
+def hashed(tokens: DataFrame, dimensions: int, keys: tuple[str, ...]) -> DataFrame:
+    """Vectors that SQL can compute too: bucket and sign come from the token's SHA-1 (its first 8 hex digits, and the 9th)."""
+
+    def place(t: str) -> tuple[int, bool]:
+        import hashlib
+
+        d = hashlib.sha1(t.encode()).digest()
+        return int.from_bytes(d[:4], "big"), d[4] >= 128
+
+    return _vectors(tokens, dimensions, keys, place)
+
+
+def blake2b_vectors(tokens: DataFrame, dimensions: int, keys: tuple[str, ...]) -> DataFrame:
+    """As hashed(), from a 64-bit BLAKE2b digest: bucket = the number modulo dimensions (64 at least), positive if its top bit is set."""
+
+    def place(t: str) -> tuple[int, bool]:
+        import hashlib
+
+        d = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big")
+        return d, bool(d >> 63)
+
+    return _vectors(tokens, max(64, dimensions), keys, place)
+
+
 #: Embedders by the name in their signature (name:dimensions). Each takes (tokens, dimensions, keys).
 EMBEDDERS = {"sql-hash": hashed, "local-hash": blake2b_vectors}
 

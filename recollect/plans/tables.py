@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import tokenised
+from ..operators.shared import settle
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,15 +15,38 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One passage for each document: chunk_id (its doc_id), tokens, doc_len."""
-    return tokenised(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))
+    return settle(tokenised(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).drop("text"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One passage for each line with a word: the first is the title, the others body."""
+    """One passage for each line with a word: the first is the title, the others body. Tokens are computed once and kept."""
     docs = read(spark, sf_dir, "documents")
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where(F.trim("text") != "")
-    return tokenised(lines.select(F.format_string("%012d:%06d", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("item_id"), "source", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("body").alias("kind"), "text"))
+    return settle(tokenised(lines.select(F.format_string("%012d:%06d", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("item_id"), "source", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("body").alias("kind"), "text")))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts; labels say what users did: toxic ones are muted, others of low quality digested."""
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    low, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
+    none = F.array().cast("array<string>")
+    return docs.select(
+        F.concat_ws(":", "source", "doc_id").alias("id"), "source", F.col("doc_id").cast("string").alias("source_id"),
+        F.substring(F.substring_index("text", "\n", 1), 1, 300).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("author"),
+        F.substring("text", 1, 4000).alias("description"), F.col("lang").alias("folder"), F.array("lang").alias("tags"), F.lit(0).alias("duration"),
+        F.col("doc_id").cast("double").alias("saved_at"), F.col("n_chars").cast("double").alias("indexed_at"), (F.col("n_chars") > 0).alias("has_transcript"),
+        F.lit("capture").alias("transcript_source"), F.lit("post").alias("media_kind"),
+        F.when(toxic, "muted").when(low, "digested").otherwise("active").alias("status"),
+        F.concat(F.when(low, F.array(F.lit("low"))).otherwise(none), F.when(toxic, F.array(F.lit("toxic"))).otherwise(none)).alias("user_tags"),
+        F.lit("").alias("note"), F.lit(0.0).alias("status_at"), F.col("quality").isNotNull().alias("labelled"), toxic.alias("toxic"), low.alias("low"), "text", "doc_id",
+    )
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are fires of the item that user_id names."""
+    return read(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_type") == "click", "fired").otherwise(F.col("event_type")).alias("kind"), F.col("user_id").cast("string").alias("item_id"), "props")

@@ -1,244 +1,17 @@
-"""The registered queries over the given tables, and SQL that says the same."""
+"""All registered queries over the given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .config import Settings
-from .functions import text as T
-from .operators import index, retrieve
-from .plans.tables import passages, questions, read, whole_documents
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-# --- SQL pieces -------------------------------------------------------------------------------------------------------
-
-STOP = ", ".join(f"'{w}'" for w in T.words.STOPWORDS)
-
-
-def tokens_sql(source: str, keys: str) -> str:
-    """CTEs ending in tok(keys, token): one row for each token of source(keys, text)."""
-    return rf"""
-_w AS (SELECT {keys}, trim(unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''_+#.\-]*')), '-_.') AS w FROM {source}),
-_p AS (SELECT *, list_filter(regexp_split_to_array(w, '[-_.]+'), lambda x: x <> '') AS parts FROM _w WHERE w <> ''),
-_t AS (SELECT {keys}, unnest(CASE WHEN len(parts) > 1 THEN [w] || list_filter(parts, lambda x: length(x) > 1) || [array_to_string(parts, '')] ELSE [w] END) AS token FROM _p),
-tok AS (SELECT * FROM _t WHERE token NOT IN ({STOP}))"""
-
-
-DOCS = "_docs AS (SELECT doc_id AS chunk_id, text FROM documents)"
-LINES = """
-_x AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS ordinal FROM documents),
-lines AS (SELECT printf('%012d:%06d', doc_id, ordinal) AS chunk_id, CAST(doc_id AS VARCHAR) AS item_id, source, CASE WHEN ordinal = 0 THEN 'title' ELSE 'body' END AS kind, text FROM _x WHERE trim(text) <> '')"""
-
-
-def bm25_sql(source: str) -> str:
-    """CTEs from source(chunk_id, text) and benchmark, ending in bm(qid, chunk_id, score)."""
-    return f"""
-{tokens_sql(source, "chunk_id")},
-q AS (SELECT item_id AS qid, text FROM benchmark),
-qtok AS (SELECT DISTINCT qid, token FROM ({f"WITH {tokens_sql('q', 'qid')} SELECT * FROM tok"})),
-len_ AS (SELECT s.chunk_id, count(t.token) AS doc_len FROM {source} s LEFT JOIN tok t ON s.chunk_id = t.chunk_id GROUP BY ALL),
-st AS (SELECT count(*) AS n, avg(doc_len) AS al, greatest(8, CAST(floor(count(*) * 0.35) AS BIGINT)) AS mx FROM len_),
-tf AS (SELECT chunk_id, token, count(*) AS tf FROM tok GROUP BY ALL),
-df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL),
-bm AS (SELECT qid, tf.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.4 / (tf + 1.4 * (0.28 + 0.72 * doc_len / al))), 9) AS score
-       FROM tf JOIN qtok USING (token) JOIN df USING (token) JOIN len_ ON tf.chunk_id = len_.chunk_id CROSS JOIN st WHERE df <= mx GROUP BY qid, tf.chunk_id)"""
-
-
-def sqlhash_sql(tok: str, keys: str, out: str, dims: int = 512) -> str:
-    """CTE out(keys, bucket, w): unit vectors of tok."""
-    return f"""
-{out}_c AS (SELECT {keys}, token, count(*) AS tf FROM {tok} GROUP BY ALL),
-{out}_b AS (SELECT {keys}, CAST(('0x' || substr(sha1(token), 1, 8)) AS BIGINT) % {dims} AS bucket,
-    sum((CASE WHEN CAST(('0x' || substr(sha1(token), 9, 1)) AS INTEGER) >= 8 THEN 1.0 ELSE -1.0 END)::DOUBLE * (1 + ln(tf)) * (1 + 0.35::DOUBLE * least(length(token), 4))) AS w FROM {out}_c GROUP BY ALL),
-{out}_n AS (SELECT {keys}, greatest(sqrt(sum(w * w)), 1e-9) AS norm FROM {out}_b GROUP BY ALL),
-{out} AS (SELECT {keys}, bucket, w / norm AS w FROM {out}_b JOIN {out}_n USING ({keys}))"""
-
-
-def topk_sql(scores: str, k: int, out: str, where: str = "true") -> str:
-    return f"{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {scores} WHERE {where}) WHERE rank <= {k})"
-
-
-# --- text and index ---------------------------------------------------------------------------------------------------
-
-
-@query(f"WITH {DOCS}, {bm25_sql('_docs')}, {topk_sql('bm', 10, 'best', 'score > 0')} SELECT qid, chunk_id AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
-def bm25_topk(spark, sf_dir):
-    best = retrieve.lexical_topk(whole_documents(spark, sf_dir), questions(spark, sf_dir), 10)
-    return best.select("qid", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
-
-
-@query(r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normal, md5(text) AS text_md5 FROM documents")
-def normalize_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normal"), F.md5("text").alias("text_md5"))
-
-
-@query(f"WITH {DOCS}, {tokens_sql('_docs', 'chunk_id')} SELECT chunk_id AS doc_id, token, count(*) AS tf FROM tok GROUP BY ALL")
-def tokenize_tf(spark, sf_dir):
-    return index.postings(whole_documents(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"), "token", "tf")
-
-
-@query(f"WITH {DOCS}, {tokens_sql('_docs', 'chunk_id')} SELECT token, count(DISTINCT chunk_id) AS df FROM tok GROUP BY ALL")
-def doc_freq(spark, sf_dir):
-    return index.term_stats(index.postings(whole_documents(spark, sf_dir)))
-
-
-@query(f"WITH {DOCS}, {bm25_sql('_docs')} SELECT n AS n_chunks, round(al, 6) AS avg_len, mx AS max_df FROM st")
-def corpus_stats(spark, sf_dir):
-    return index.corpus_stats(whole_documents(spark, sf_dir)).select("n_chunks", F.round("avg_len", 6).alias("avg_len"), "max_df")
-
-
-@query(f"WITH {DOCS}, {bm25_sql('_docs')} SELECT token, df FROM df CROSS JOIN st WHERE df > mx")
-def max_df_prune(spark, sf_dir):
-    docs = whole_documents(spark, sf_dir)
-    stats = index.corpus_stats(docs).first()
-    return index.term_stats(index.postings(docs)).where(F.col("df") > stats.max_df)
-
-
-@query(f"WITH {DOCS}, {bm25_sql('_docs')} SELECT qid, token, round(ln(1 + n / df), 6) AS weight FROM qtok JOIN df USING (token) CROSS JOIN st WHERE length(token) >= 2")
-def idf_weights(spark, sf_dir):
-    return retrieve.coverage_terms(whole_documents(spark, sf_dir), questions(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
-
-
-@query(
-    """WITH h AS (SELECT doc_id, text, substr(text, 1, 240) AS t, substr(text, 1, 600) AS u FROM documents),
-c AS (SELECT *, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(t, '[^一-鿿㐀-䶿぀-ヿ가-힯]', '', 'g')) AS cjk,
-  length(regexp_replace(u, '[^\\p{L}]', '', 'g')) AS letters, length(regexp_replace(u, '[^一-鿿㐀-䶿぀-ヿ가-힯]', '', 'g')) AS cjk_u FROM h)
-SELECT doc_id, CASE WHEN latin + cjk < 4 THEN 'mixed' WHEN cjk > 0.75 * (cjk + latin) THEN 'cjk' WHEN latin > 0.75 * (cjk + latin) THEN 'latin' ELSE 'mixed' END AS script,
-  letters > 0 AND cjk_u > 0.2 * letters AS mostly_cjk, length(text) AS weighted FROM c""".replace("\\\\p", "\\p")
-)
-def script_and_length(spark, sf_dir):
-    text = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", T.script_of(text).alias("script"), T.is_mostly_cjk(text).alias("mostly_cjk"), T.weighted_length(text).cast("long").alias("weighted"))
-
-
-@query(
-    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?:[^。！？!?；;\n.]|\.(?:[^\s。！？!?；;\n.]|$))*(?:[。！？!?；;\n]|\.(?:\s+|$|[。！？!?；;])|\.|$)'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM documents)
-SELECT doc_id, md5(replace(array_to_string(p, ' '), ' ', '')) AS joined FROM s"""
-)
-def sentence_split(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(F.replace(F.array_join(T.sentences(F.col("text")), " "), F.lit(" "), F.lit(""))).alias("joined"))
-
-
-# --- dense, fusion, items ---------------------------------------------------------------------------------------------
-
-
-@query(
-    """WITH d AS (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS score
-FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0), """
-    + topk_sql("d", 10, "best")
-    + " SELECT qid, chunk_id AS vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best"
-)
-def dense_topk_embeddings(spark, sf_dir):
-    """Given vectors: every twentieth is a query against all."""
-    vec = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("val")).withColumn("idx", F.sequence(F.lit(0), F.size("val") - 1))
-    best = index.dense_topk(vec.withColumnRenamed("vec_id", "chunk_id"), vec.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), 10, 64)
-    return best.select("qid", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
-
-
-def _vectors(spark, sf_dir, chunks):
-    q = questions(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("text")))
-    dims = Settings().dimensions
-    return index.hashed(chunks, dims, ("chunk_id",)), index.hashed(q, dims, ("qid",))
-
-
-DENSE = f"{sqlhash_sql('tok', 'chunk_id', 'cv')}, qt AS (SELECT * FROM ({f'WITH q AS (SELECT item_id AS qid, text FROM benchmark), {tokens_sql("q", "qid")} SELECT * FROM tok'})), {sqlhash_sql('qt', 'qid', 'qv')}, dot AS (SELECT qid, chunk_id, round(sum(qv.w * cv.w), 9) + 0.0 AS score FROM cv JOIN qv USING (bucket) GROUP BY ALL), ds AS (SELECT q.qid, c.chunk_id, coalesce(d.score, 0.0) AS score FROM (SELECT DISTINCT qid FROM qv) q CROSS JOIN (SELECT DISTINCT chunk_id FROM cv) c LEFT JOIN dot d ON d.qid = q.qid AND d.chunk_id = c.chunk_id)"
-
-
-@query(f"WITH {DOCS}, {tokens_sql('_docs', 'chunk_id')}, {sqlhash_sql('tok', 'chunk_id', 'cv')} SELECT chunk_id AS doc_id, count(*) AS cells, round(sum(w), 6) AS total, round(sum(w * w), 6) AS norm FROM cv GROUP BY ALL")
-def hash_embed_norm(spark, sf_dir):
-    v = index.hashed(whole_documents(spark, sf_dir), 512, ("chunk_id",))
-    add = lambda f: F.round(F.aggregate(F.transform("val", f), F.lit(0.0), lambda a, x: a + x), 6)
-    return v.select(F.col("chunk_id").alias("doc_id"), F.size("idx").cast("long").alias("cells"), add(lambda x: x).alias("total"), add(lambda x: x * x).alias("norm"))
-
-
-@query()
-def hash_embed_blake2b(spark, sf_dir):
-    v = index.blake2b_vectors(whole_documents(spark, sf_dir), 512, ("chunk_id",))
-    return v.select(F.col("chunk_id").alias("doc_id"), F.lit(index.signature("local-hash", 512)).alias("embedder"), "idx", "val")
-
-
-@query(f"WITH {LINES}, {tokens_sql('lines', 'chunk_id')}, {DENSE}, {topk_sql('ds', 40, 'best')} SELECT qid, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
-def dense_topk_sqlhash(spark, sf_dir):
-    chunks = passages(spark, sf_dir)
-    cv, qv = _vectors(spark, sf_dir, chunks)
-    return index.dense_topk(cv, qv, 40, 512).withColumn("score", F.round("score", 6))
-
-
-FUSED = f"""{LINES}, {bm25_sql('lines')}, {DENSE}, {topk_sql('ds', 160, 'dr')}, {topk_sql('bm', 160, 'lr', 'score > 0')},
-f0 AS (SELECT qid, chunk_id, CAST(0.6 AS DOUBLE) / (60 + rank) AS r, score AS dense, NULL AS lexical, rank AS dr, NULL AS lr FROM dr
-  UNION ALL SELECT qid, chunk_id, CAST(0.4 AS DOUBLE) / (60 + rank), NULL, score, NULL, rank FROM lr),
-f1 AS (SELECT qid, chunk_id, round(sum(r), 12) AS fused, coalesce(max(dense), 0) AS dense, coalesce(max(lexical), 0) AS lexical, min(dr) AS dr, min(lr) AS lr FROM f0 GROUP BY ALL),
-fz AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, dr NULLS LAST, lr NULLS LAST) AS place FROM f1) WHERE place <= 160)"""
-HITS = """h0 AS (SELECT fz.*, item_id, kind, text, round(fused * CASE kind WHEN 'title' THEN CAST(1.06 AS DOUBLE) ELSE 1.0 END, 12) AS score FROM fz JOIN lines USING (chunk_id)),
-h1 AS (SELECT *, row_number() OVER (PARTITION BY qid, item_id ORDER BY score DESC, place) AS nth FROM h0),
-h2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS hit FROM h1 WHERE nth <= 4),
-hits AS (SELECT * FROM h2 WHERE hit <= 40)"""
-COVER = """ct AS (SELECT qid, token, ln(1 + n / df) AS weight FROM qtok JOIN df USING (token) CROSS JOIN st WHERE length(token) >= 2),
-cs AS (SELECT qid, sum(weight) AS total FROM ct GROUP BY ALL),
-cm AS (SELECT h.qid, h.chunk_id, sum(weight) AS got, count(*) AS m FROM hits h JOIN ct ON ct.qid = h.qid JOIN tf ON tf.chunk_id = h.chunk_id AND tf.token = ct.token GROUP BY ALL),
-cv2 AS (SELECT h.*, round(coalesce(least(1.0, got / total) * m / (m + CAST(0.8 AS DOUBLE)), 0.0), 9) AS coverage FROM hits h LEFT JOIN cs ON cs.qid = h.qid LEFT JOIN cm ON cm.qid = h.qid AND cm.chunk_id = h.chunk_id),
-conf AS (SELECT *, round(CAST(0.55 AS DOUBLE) * (CAST(0.45 AS DOUBLE) * greatest(0, least(1, dense)) + CAST(0.55 AS DOUBLE) * coverage) + CAST(0.45 AS DOUBLE) * sqrt(greatest(0, least(1, dense)) * coverage), 9) AS confidence FROM cv2)"""
-ITEMS = """i0 AS (SELECT qid, item_id, round(max(CASE WHEN nth = 1 THEN score END) + CAST(0.25 AS DOUBLE) * coalesce(sum(CASE WHEN nth BETWEEN 2 AND 4 THEN score END), 0), 12) AS score, max(confidence) AS confidence,
-  array_to_string(list(chunk_id ORDER BY nth) FILTER (WHERE nth <= 3), ',') AS chunk_ids, min(hit) AS first_hit FROM conf GROUP BY ALL),
-i1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score * (CAST(0.2 AS DOUBLE) + CAST(0.8 AS DOUBLE) * confidence), 12) DESC, first_hit) AS nth,
-  first_value(score) OVER (PARTITION BY qid ORDER BY round(score * (CAST(0.2 AS DOUBLE) + CAST(0.8 AS DOUBLE) * confidence), 12) DESC, first_hit) AS top FROM i0),
-i2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY nth) AS rank FROM i1 WHERE confidence >= 0.30 AND score / top >= 0.45),
-items AS (SELECT qid, item_id, round(score / top, 5) AS score, round(confidence, 6) AS confidence, chunk_ids, CAST(rank AS INTEGER) AS rank FROM i2 WHERE rank <= 5)"""
-
-
-def _fused(spark, sf_dir, chunks):
-    cv, qv = _vectors(spark, sf_dir, chunks)
-    pool = Settings().pool(40)
-    return retrieve.fuse(index.dense_topk(cv, qv, pool, 512), retrieve.lexical_topk(chunks, questions(spark, sf_dir), pool), pool)
-
-
-@query(f"WITH {FUSED} SELECT qid, chunk_id, round(fused, 9) AS fused, round(dense, 6) AS dense, round(lexical, 6) AS lexical, CAST(place AS INTEGER) AS place FROM fz")
-def rrf_fuse(spark, sf_dir):
-    out = _fused(spark, sf_dir, passages(spark, sf_dir))
-    return out.select("qid", "chunk_id", F.round("fused", 9).alias("fused"), F.round("dense", 6).alias("dense"), F.round("lexical", 6).alias("lexical"), "place")
-
-
-@query(f"WITH {FUSED}, {HITS} SELECT qid, chunk_id, item_id, kind, round(score, 9) AS score, CAST(nth AS INTEGER) AS nth, CAST(hit AS INTEGER) AS hit FROM hits")
-def search_chunks(spark, sf_dir):
-    """Fused passages, four at most of one item."""
-    chunks = passages(spark, sf_dir)
-    hits = retrieve.search_chunks(chunks, questions(spark, sf_dir), *_vectors(spark, sf_dir, chunks))
-    return hits.select("qid", "chunk_id", "item_id", "kind", F.round("score", 9).alias("score"), "nth", "hit")
-
-
-@query(f"WITH {FUSED}, {HITS}, {COVER} SELECT qid, chunk_id, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence FROM conf")
-def coverage_confidence(spark, sf_dir):
-    chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    hits = retrieve.search_chunks(chunks, q, *_vectors(spark, sf_dir, chunks))
-    return retrieve.with_confidence(hits, chunks, q).select("qid", "chunk_id", F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"))
-
-
-@query(f"WITH {FUSED}, {HITS}, {COVER}, {ITEMS} SELECT * FROM items")
-def search_items(spark, sf_dir):
-    chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    out = retrieve.search_items(chunks, q, *_vectors(spark, sf_dir, chunks))
-    return out.select("qid", "item_id", "score", F.round("confidence", 6).alias("confidence"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "rank")
+from .registry import base, library, retrieval  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return dict(base.SQL)
