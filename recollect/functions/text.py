@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import words
 
@@ -33,8 +34,9 @@ def normalize(text: Column) -> Column:
     return F.lower(squeeze(F.translate(F.coalesce(text, F.lit("")), WIDE, NARROW)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text):
+    """All of NFKC; the slow way, for text that full-width folding does not settle."""
     import unicodedata
 
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

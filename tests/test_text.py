@@ -1,0 +1,147 @@
+"""Text and identity functions against values worked out by hand or by plain Python."""
+
+import hashlib
+import re
+from urllib.parse import parse_qsl, quote, urlencode, urlsplit
+
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.functions import identity as I
+from recollect.functions import text as T
+from recollect.functions import words
+
+
+@pytest.fixture
+def ask(spark):
+    """Values of a column expression over texts."""
+
+    def run(expr, texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        return [r.v for r in df.select("i", expr(F.col("t")).alias("v")).orderBy("i").collect()]
+
+    return run
+
+
+def wide(ch):
+    return any(a <= ord(ch) <= b for a, b in words.CJK_BLOCKS)
+
+
+def tokens(text, keep=False):
+    """A plain reading of the tokeniser's rules."""
+    import unicodedata
+
+    text = " ".join(unicodedata.normalize("NFKC", text or "").split()).lower()
+    out = []
+    for m in re.finditer("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in words.CJK_BLOCKS) + "]+|" + words.WORD, text):
+        w = m[0]
+        if wide(w[0]):
+            out += list(w) + [w[i : i + 2] for i in range(len(w) - 1)]
+            continue
+        w = w.strip("-_.")
+        if w:
+            parts = [p for p in re.split("[-_.]+", w) if p]
+            out += [w] + ([p for p in parts if len(p) > 1] + ["".join(parts)] if len(parts) > 1 else [])
+    stop = set(T.STOP)
+    return out if keep else [t for t in out if t not in stop and not (len(t) == 2 and all(c in words.FUNCTION_CHARS for c in t))]
+
+
+TEXTS = [None, "", "   ", "the of and", "self-attention in GPT-4.5 and C++ vs node_js", "向量数据库入门", "如果还是这个", "Redis 持久化原理 与 B-Tree", "ＡＢＣ　１２３ full　width", "かなカナ 한국어 𠀀𠀁", "naïve café's d'or x.y.z --- ___", "a" * 500, "it's o'clock #tag", "x​y"]
+
+
+def test_tokenize(ask):
+    assert ask(T.tokenize, TEXTS) == [tokens(t) for t in TEXTS]
+    assert ask(lambda c: T.tokenize(c, drop_stopwords=False), TEXTS) == [tokens(t, keep=True) for t in TEXTS]
+    assert ask(T.tokenize, ["self-attention"]) == [["self-attention", "self", "attention", "selfattention"]]
+
+
+def test_normalize(ask):
+    import unicodedata
+
+    assert ask(T.normalize, TEXTS) == [" ".join(unicodedata.normalize("NFKC", t or "").split()).lower() for t in TEXTS]
+    assert ask(T.nfkc, ["ﬁ ① ㈱", None]) == ["fi 1 (株)", None]
+
+
+def test_script(ask):
+    assert ask(T.script_of, ["plain words", "向量数据库入门", "ab", "mixed 数据库 abc", "1234"]) == ["latin", "cjk", "mixed", "mixed", "mixed"]
+    assert ask(T.weighted_length, ["abcd", "数据库入", "ab数"]) == [4, 10, 4]
+    assert ask(T.is_mostly_cjk, ["数据库 abc", "abcdefghijklmnop 数", ""]) == [True, False, False]
+
+
+def test_sentences(ask):
+    got = ask(T.sentences, ["第一句。第二句！Third one. Fourth", "a.b c!!", "x\n\ny", "", "no end"])
+    assert got == [["第一句。", "第二句！", "Third one.", "Fourth"], ["a.b c!", "!"], ["x", "y"], [], ["no end"]]
+
+
+def test_snippet(ask):
+    long = "lead " * 60 + "needle " + "tail " * 60
+    one = lambda t, toks: ask(lambda c: T.snippet(c, F.array(*map(F.lit, toks)), 60), [t])[0]
+    assert one("short", ["x"]) == "short"
+    got = one(long, ["q", "absent", "needle"])
+    assert got.startswith("…") and got.endswith("…") and "needle" in got and len(got) <= 62
+    assert one(long, ["absent"]) == long[:60].strip() + "…"
+
+
+def fragment(text, limit=48):
+    text = " ".join((text or "").split())
+    enc = lambda s: quote(s, safe="").replace("-", "%2D")
+    if len(text) < 8:
+        return ""
+    head = text if len(text) <= limit else (text[:limit].rsplit(" ", 1)[0] if " " in text[:limit] else text[:limit])
+    tail = text[-limit:].split(" ", 1)[-1]
+    return ":~:text=" + enc(head) + ("," + enc(tail) if len(text) > 2 * limit and tail and tail != head else "")
+
+
+def test_fragment(ask):
+    texts = ["", "short", "exactly eight-ish, & more * ~ text", "word " * 40, "x" * 200, "漢字かな " * 30, "a-b,c&d+e%f " * 12]
+    assert ask(T.text_fragment, texts) == [fragment(t) for t in texts]
+
+
+def test_clock_and_passage(spark, ask):
+    assert ask(lambda c: T.clock(c.cast("double")), ["0", "59.9", "61", "3661", "-5"]) == ["0:00", "0:59", "1:01", "1:01:01", "0:00"]
+    df = spark.createDataFrame([(" top ", [" a ", "", "b"])], "t string, r array<string>")
+    assert df.select(T.as_passage(F.col("t"), F.col("r"))).first()[0] == "top\n↳ a\n↳ b"
+
+
+URLS = [
+    "", None, "  ", "example.com", "HTTP://WWW.Example.com/Path/?utm_source=a&b=1&UTM_x=2#frag", "https://example.com:443/a/", "http://example.com:8080/a//", "https://e.com/?q=a+b&z=%E4%BD%A0&empty=&flag",
+    "https://e.com/x?spm_id=1&share_a=2&wxfrom=3&id=7&id=8", "https://user@e.com/a?x=1*2~3", "https://m.zhihu.com/question/12/answer/34?from=x", "https://e.com?ref=1",
+]
+
+
+def canonical(url):
+    url = (url or "").strip()
+    if not url:
+        return ""
+    p = urlsplit(url if "://" in url else "https://" + url)
+    host = p.hostname.lower().removeprefix("www.") + (f":{p.port}" if p.port and p.port not in (80, 443) else "")
+    junk = lambda k: k.lower() in I.JUNK_PARAMS or k.lower().startswith(I.JUNK_PREFIXES)
+    q = urlencode([(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if not junk(k)])
+    return f"https://{host}{p.path.rstrip('/') or '/'}" + (f"?{q}" if q else "")
+
+
+def test_canonical(ask):
+    assert ask(I.canonical_url, URLS) == [canonical(u) for u in URLS]
+    once = ask(I.canonical_url, URLS)
+    assert ask(I.canonical_url, once) == once
+
+
+def test_identify(ask):
+    digest = lambda u: hashlib.sha1(canonical(u).encode()).hexdigest()[:16]
+    cases = {
+        "https://www.zhihu.com/question/12/answer/34": ("zhihu", "12-34", "post"), "m.zhihu.com/p/5": ("zhihu", "5", "post"), "https://zhihu.com/people/x": ("zhihu", digest("https://zhihu.com/people/x"), "post"),
+        "https://youtu.be/abcdefghijk": ("youtube", "abcdefghijk", "video"), "https://www.youtube.com/watch?list=1&v=abcdefghijk&t=3": ("youtube", "abcdefghijk", "video"), "https://www.youtube.com/shorts/abcdefghijk": ("youtube", "abcdefghijk", "video"),
+        "https://www.bilibili.com/video/BV1xx411c7mD?p=2": ("bilibili", "BV1xx411c7mD", "video"), "https://old.reddit.com/r/x/comments/1abc/title": ("reddit", "1abc", "post"), "https://unknown.example/a": ("web", digest("https://unknown.example/a"), "post"),
+        "https://notzhihu.com/p/5": ("web", digest("https://notzhihu.com/p/5"), "post"), "https://github.com/a/b": ("github", digest("https://github.com/a/b"), "post"), "": ("", "", "post"),
+    }
+    got = ask(lambda c: I.identify(I.canonical_url(c)), list(cases))
+    assert [tuple(g) for g in got] == list(cases.values())
+    assert ask(I.label_of, ["zhihu", "web", "other"]) == ["知乎", "网页 / Web", "other"]
+
+
+def test_ids(spark):
+    df = spark.createDataFrame([("a:1", 3, "漢字 text", "t", "au", "d" * 5000, "f", ["x", "y"], 7, "body")], "i string, o int, t string, ti string, a string, d string, f string, tags array<string>, n int, b string")
+    r = df.select(I.chunk_id(F.col("i"), F.col("o"), F.col("t")).alias("c"), I.content_hash(*map(F.col, ("ti", "a", "d", "f", "tags", "n"))).alias("v"), I.content_hash(*map(F.col, ("ti", "a", "d", "f", "tags", "n", "b"))).alias("p")).first()
+    sha = lambda s: hashlib.sha1(s.encode()).hexdigest()
+    head = "|".join(["t", "au", "d" * 4000, "f", "x,y", "7"])
+    assert (r.c, r.v, r.p) == (sha("a:1|3|漢字 text")[:20], sha(head)[:24], sha(head + "|" + sha("body"))[:24])
