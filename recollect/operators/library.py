@@ -144,3 +144,21 @@ def capture_summary(outcomes: DataFrame, errors: int = 20) -> DataFrame:
     states = outcomes.agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("added", "updated", "skipped", "failed")], F.count_if((F.col("state") != "failed") & F.col("needs_body")).alias("needs_body"))
     first = outcomes.where("state = 'failed'").orderBy("seq").limit(errors).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.substring("error", 1, 200).alias("e")))), lambda x: x["e"]).alias("errors"))
     return states.crossJoin(first)
+
+
+def lookup(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """The items that ids (id) names, each once."""
+    return items.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def stale_vectors(chunks: DataFrame, vectors: DataFrame, signature: str) -> DataFrame:
+    """Passages whose vector is missing or of another embedder; vectors: chunk_id, embedder."""
+    good = vectors.where(F.col("embedder") == signature).select("chunk_id").distinct()
+    return chunks.join(good, "chunk_id", "left_anti")
+
+
+def vector_coverage(chunks: DataFrame, vectors: DataFrame, signature: str) -> DataFrame:
+    """One row: passages, comparable ones among them, and their share."""
+    good = vectors.where(F.col("embedder") == signature).select("chunk_id", F.lit(1).alias("good")).distinct()
+    out = chunks.join(good, "chunk_id", "left").agg(F.count("*").alias("chunks"), F.count("good").alias("comparable"))
+    return out.withColumn("share", F.coalesce(F.round(F.try_divide("comparable", "chunks"), 4), F.lit(0.0)))
