@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality cascade rejects go. Null texts go with them."""
-    return quality_rules(docs, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
+    return quality_rules(docs, counts=False, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

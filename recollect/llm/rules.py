@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -38,79 +39,113 @@ def repeat_words(w: Column, n: int = 5) -> Column:
     return F.when(F.size(w) < n + 1, F.lit(0).cast("long")).otherwise(let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(covered(g))))
 
 
-def statistics(docs: DataFrame, *carry: str) -> DataFrame:
-    """The counts that rules look at, beside doc_id, text and the columns in carry. Null text counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"), words(text).alias("_words"), *[F.col(c).alias(c) for c in carry if c != "doc_id"])
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-            "n_repeat_words": repeat_words(F.col("_words")),
-        }
-    )
+class Measures:
+    """What rules look at in one document: each is a column, worked out where a rule asks for it, or a field that is at hand."""
+
+    def __init__(self, text: Column, words: Column, known: Column | None = None):
+        self.text, self.words, self.known = text, words, known
+
+    def of(self, name: str) -> Column:
+        if self.known is not None:
+            return self.known[name]
+        if name == "n_words":
+            return F.size(self.words).cast("long")
+        if name == "word_chars":
+            return F.length(F.array_join(self.words, "")).cast("long")
+        if name == "n_symbols":
+            return F.regexp_count(self.text, F.lit(SYMBOLS)).cast("long")
+        if name == "n_dup_lines":
+            lines = F.filter(F.split(self.text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+            return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+        return repeat_words(self.words)
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass
 class Rule:
-    """A document is rejected where the condition holds."""
+    """A document is rejected where rejects(measures) holds."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Measures], Column]
+
+
+BASE_RULES = [
+    Rule("few_words", lambda m: m.of("n_words") < 10),
+    Rule("repeated_words", lambda m: 100 * m.of("n_repeat_words") > 20 * m.of("n_words")),
+]
+#: Signs of boilerplate and noise that prose in any language stays well clear of.
+MORE_RULES = [
+    Rule("symbols", lambda m: m.of("n_symbols") * 20 > m.of("word_chars")),
+    Rule("word_length", lambda m: (m.of("word_chars") > 20 * m.of("n_words")) | (m.of("word_chars") < 2 * m.of("n_words"))),
+    Rule("duplicate_lines", lambda m: m.of("n_dup_lines") * 10 > F.size(F.split(m.text, "\n")) * 4),
+    Rule("capitals", lambda m: F.regexp_count(m.text, F.lit(r"\p{Lu}")) * 2 > m.of("word_chars")),
+    Rule("shouting", lambda m: F.regexp_count(m.text, F.lit("!!")) * 4 > m.of("n_words")),
+    Rule("few_distinct_words", lambda m: m.of("n_words").between(50, 4999) & (F.size(F.array_distinct(m.words)) * 10 < m.of("n_words"))),
+]
+
+
+def whole(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
+
+
+def judged(text: Column, cascade: list[Rule], counts: bool) -> Column:
+    """struct<[the counts, base_failed,] rejected_by>. One expression in which each value is bound once, so that a filter on
+    any of its fields, pushed down to the scan, evaluates it once.
+
+    Without counts a rule's statistics are worked out when the cascade comes to it."""
 
+    def verdict(m: Measures) -> Column:
+        out = None
+        for r in cascade:
+            out = F.when(r.rejects(m), F.lit(r.name)) if out is None else out.when(r.rejects(m), F.lit(r.name))
+        return (F.lit(None).cast("string") if out is None else out).alias("rejected_by")
 
-def base_rules() -> list[Rule]:
-    return [Rule("few_words", F.col("n_words") < 10), Rule("repeated_words", 100 * F.col("n_repeat_words") > 20 * F.col("n_words"))]
+    def full(t: Column, w: Column, k: Column) -> Column:
+        m = Measures(t, w, k)
+        failed = F.lit(False)
+        for r in BASE_RULES:
+            failed = failed | r.rejects(m)
+        return F.struct(*[k[c].alias(c) for c in COUNTS], failed.alias("base_failed"), verdict(m))
 
+    def of(t: Column, w: Column) -> Column:
+        if not counts:
+            return F.struct(verdict(Measures(t, w)))
+        m = Measures(t, w)
+        return let(F.struct(*[m.of(c).alias(c) for c in COUNTS]), lambda k: full(t, w, k))
 
-def more_rules() -> list[Rule]:
-    """Signs of boilerplate and noise that prose in any language stays well clear of."""
-    text, w = F.col("_text"), F.col("_words")
-    return [
-        Rule("symbols", F.col("n_symbols") * 20 > F.col("word_chars")),
-        Rule("word_length", (F.col("word_chars") > 20 * F.col("n_words")) | (F.col("word_chars") < 2 * F.col("n_words"))),
-        Rule("duplicate_lines", F.col("n_dup_lines") * 10 > F.size(F.split(text, "\n")) * 4),
-        Rule("capitals", F.regexp_count(text, F.lit(r"\p{Lu}")) * 2 > F.col("word_chars")),
-        Rule("shouting", F.regexp_count(text, F.lit("!!")) * 4 > F.col("n_words")),
-        Rule("few_distinct_words", (F.col("n_words") >= 50) & (F.size(F.array_distinct(w)) * 10 < F.col("n_words")) & (F.col("n_words") < 5000)),
-    ]
+    return let(whole(text), lambda t: let(words(t), lambda w: of(t, w)))
 
 
 def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 400) -> list[Rule]:
     """The rules by rejections per second, as a sample of sample_rows rows shows them; ties by name.
 
     The sample decides the order alone, never a verdict: a cascade rejects the same documents in any order."""
-    sample = settle(docs.limit(sample_rows))
+    sample = settle(docs.select("text").limit(sample_rows))
 
-    def seconds(rule: Column) -> tuple[float, int]:
+    def seconds(cascade: list[Rule]) -> tuple[float, int]:
         began = time.perf_counter()
-        n = statistics(sample).agg(F.count_if(rule)).first()[0]
+        n = sample.select(judged(F.col("text"), cascade, False)["rejected_by"].alias("r")).agg(F.count("r")).first()[0]
         return time.perf_counter() - began, n
 
-    seconds(F.lit(False))
-    idle = seconds(F.lit(False))[0]
+    seconds([])
+    idle = seconds([])[0]
     worth = {}
     for r in rules:
-        s, n = seconds(r.rejects)
+        s, n = seconds([r])
         worth[r.name] = n / max(s - idle, 1e-3)
     return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 400, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 400, counts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Judge each document by a cascade of rules, the one that rejects most per second first; later rules run
     only on what earlier ones passed.
 
-    Returns one row for each row of docs: doc_id, the five counts, base_failed (fewer than 10 words, or over 20 %
-    of the words in repeated 5-word windows), kept, rejected_by (the first rule in the cascade's order that rejects;
-    null if kept) and the columns in carry. Null and empty texts have no words and fail."""
-    rules = base_rules() + (more_rules() if rules is None else rules)
-    cascade = None
-    for r in ordered(docs, rules, sample_rows):
-        cascade = F.when(r.rejects, F.lit(r.name)) if cascade is None else cascade.when(r.rejects, F.lit(r.name))
-    failed = None
-    for r in base_rules():
-        failed = r.rejects if failed is None else failed | r.rejects
-    return statistics(docs, *carry).withColumns({"base_failed": failed, "rejected_by": cascade}).withColumn("kept", F.col("rejected_by").isNull()).drop("_text", "_words")
+    Returns one row for each row of docs: doc_id, the five counts and base_failed (fewer than 10 words, or over 20 %
+    of the words in repeated 5-word windows), unless counts is false, kept, rejected_by (the first rule in the cascade's
+    order that rejects; null if kept) and the columns in carry. Null and empty texts have no words and fail."""
+    cascade = ordered(docs, BASE_RULES + (MORE_RULES if rules is None else rules), sample_rows)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), cascade, counts).alias("_j"), *[F.col(c) for c in carry if c != "doc_id"])
+    fields = [*COUNTS, "base_failed", "rejected_by"] if counts else ["rejected_by"]
+    return out.select("doc_id", *[F.col(f"_j.{f}").alias(f) for f in fields], F.col("_j.rejected_by").isNull().alias("kept"), *[c for c in carry if c != "doc_id"])

@@ -90,6 +90,7 @@ def test_rules(table):
 def test_order_never_changes_verdicts(table, monkeypatch):
     docs = table(ODD)
     want = {(x.doc_id, x.kept) for x in rules.quality_rules(docs).collect()}
+    assert {(x.doc_id, True) for x in rules.quality_rules(docs, counts=False).where("kept").collect()} == {x for x in want if x[1]}
     monkeypatch.setattr(rules, "ordered", lambda docs, rules, n: rules[::-1])
     assert {(x.doc_id, x.kept) for x in rules.quality_rules(docs).collect()} == want
 
