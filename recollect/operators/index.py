@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -110,6 +110,16 @@ def register_embedder(name: str, make) -> None:
     EMBEDDERS[name] = make
 
 
+def choose_embedder(name: str):
+    """The backend of that name; the local hash where there is none."""
+    return EMBEDDERS.get(name, blake2b_vectors)
+
+
+def prefixed(text: Column, role: str) -> Column:
+    """What models that tell queries from passages are given: role is query or passage."""
+    return F.concat(F.lit(f"{role}: "), text)
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, id_type: str = "string", block: int = 2048) -> DataFrame:
     """(qid, chunk_id, score): the k passages of highest cosine for each query, zero and negative ones included.
 

@@ -162,3 +162,17 @@ def vector_coverage(chunks: DataFrame, vectors: DataFrame, signature: str) -> Da
     good = vectors.where(F.col("embedder") == signature).select("chunk_id", F.lit(1).alias("good")).distinct()
     out = chunks.join(good, "chunk_id", "left").agg(F.count("*").alias("chunks"), F.count("good").alias("comparable"))
     return out.withColumn("share", F.coalesce(F.round(F.try_divide("comparable", "chunks"), 4), F.lit(0.0)))
+
+
+def upsert_meta(meta: DataFrame, new: DataFrame) -> DataFrame:
+    """(key, value) pairs with new ones put in."""
+    return meta.join(new.select("key").distinct(), "key", "left_anti").unionByName(new)
+
+
+def clamp(value: int, least: int, most: int) -> int:
+    """A limit that a caller asks for, brought into bounds."""
+    return max(least, min(most, int(value)))
+
+
+#: Limits that callers may ask for: searches, listings, event logs.
+BOUNDS = {"search": (1, 50), "items": (1, 200), "events": (1, 500)}

@@ -320,3 +320,27 @@ def debounced_navigation(spark, sf_dir):
     """The last event of each burst; the table's events lie further apart than clicks, so the gap is wider."""
     events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
     return streams.debounce(events, "1400 seconds").select("key", "event_id", "n")
+
+
+@query("WITH m AS (SELECT user_id || ':' || event_type AS key, max(value) AS most FROM events GROUP BY ALL) SELECT user_id || ':' || event_type AS key, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.key = e.user_id || ':' || e.event_type AND most > 100)")
+def unmuted_events(spark, sf_dir):
+    """Events of keys that are not muted for good (a key with a value above 100 is)."""
+    events = read(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), "event_id", "value")
+    muted = events.groupBy("key").agg(F.max("value").alias("most")).where("most > 100")
+    return streams.unmuted(events, muted).select("key", "event_id")
+
+
+@query(f"WITH {IT} SELECT id, title FROM it WHERE toxic")
+def item_lookup(spark, sf_dir):
+    own = items(spark, sf_dir)
+    return L.lookup(own, own.where("toxic")).select("id", "title")
+
+
+@query(f"WITH {IT}, {OLD} SELECT count(*) AS chunks, count(*) FILTER (WHERE item_id IN (SELECT source_id FROM it WHERE labelled)) AS comparable, round(count(*) FILTER (WHERE item_id IN (SELECT source_id FROM it WHERE labelled)) / count(*), 4) AS share FROM c")
+def vector_coverage(spark, sf_dir):
+    """Passages of labelled items have vectors of the current embedder, others of an old one."""
+    chunks = passages(spark, sf_dir).select("chunk_id", "item_id")
+    own = items(spark, sf_dir).where("labelled").select(F.col("source_id").alias("item_id"), F.lit(True).alias("new")).distinct()
+    now = index.signature("local-hash", 512)
+    vectors = chunks.join(own, "item_id", "left").select("chunk_id", F.when(F.col("new"), now).otherwise(index.signature("sql-hash", 512)).alias("embedder"))
+    return L.vector_coverage(chunks, vectors, now)

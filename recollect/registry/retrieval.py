@@ -175,8 +175,8 @@ def dense_topk_sqlhash(spark, sf_dir):
     return index.dense_topk(cv, qv, 40, 512).withColumn("score", F.round("score", 6))
 
 
-def fused_sql(asked: str = ASKED) -> str:
-    return f"""{LINES}, {bm25_sql('lines', asked)}, {dense_sql('lines', asked)}, {topk_sql('ds', 160, 'dr')}, {topk_sql('bm', 160, 'lr', 'score > 0')},
+def fused_sql(asked: str = ASKED, dense: str = "true") -> str:
+    return f"""{LINES}, {bm25_sql('lines', asked)}, {dense_sql('lines', asked)}, {topk_sql('ds', 160, 'dr', dense)}, {topk_sql('bm', 160, 'lr', 'score > 0')},
 f0 AS (SELECT qid, chunk_id, CAST(0.6 AS DOUBLE) / (60 + rank) AS r, score AS dense, NULL AS lexical, rank AS dr, NULL AS lr FROM dr
   UNION ALL SELECT qid, chunk_id, CAST(0.4 AS DOUBLE) / (60 + rank), NULL, score, NULL, rank FROM lr),
 f1 AS (SELECT qid, chunk_id, round(sum(r), 12) AS fused, coalesce(max(dense), 0) AS dense, coalesce(max(lexical), 0) AS lexical, min(dr) AS dr, min(lr) AS lr FROM f0 GROUP BY ALL),
@@ -237,3 +237,23 @@ def search_items(spark, sf_dir):
     chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
     out = retrieve.search_items(chunks, q, *_vectors(spark, sf_dir, chunks))
     return out.select("qid", "item_id", "score", F.round("confidence", 6).alias("confidence"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "rank")
+
+
+LEXICAL = COVER.replace(COVER[COVER.index("round(CAST(0.55") : COVER.index(" AS confidence")], "round(CAST(0.85 AS DOUBLE) * coverage, 9)")
+
+
+@query(f"WITH {fused_sql(dense='false')}, {HITS}, {LEXICAL}, {ITEMS} SELECT qid, item_id, score, confidence, rank FROM items")
+def search_items_lexical(spark, sf_dir):
+    """Without comparable vectors: lexical candidates alone, confidence from coverage."""
+    chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
+    cv, qv = _vectors(spark, sf_dir, chunks)
+    out = retrieve.search_items(chunks, q, cv.limit(0), qv, comparable=False)
+    return out.select("qid", "item_id", "score", F.round("confidence", 6).alias("confidence"), "rank")
+
+
+@query(f"WITH {FUSED}, {hits_sql("source IN ('src0', 'src3')").replace('item_id, kind, text', 'item_id, kind, text, source')} SELECT qid, chunk_id, item_id, CAST(hit AS INTEGER) AS hit FROM hits")
+def search_chunks_by_source(spark, sf_dir):
+    """Sources are filtered after the pool is cut."""
+    chunks = passages(spark, sf_dir)
+    hits = retrieve.search_chunks(chunks, questions(spark, sf_dir), *_vectors(spark, sf_dir, chunks), sources=["src0", "src3"])
+    return hits.select("qid", "chunk_id", "item_id", "hit")

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..config import Settings
 from .files import iso_seconds, rfc3339_seconds
@@ -97,3 +98,26 @@ def subtitle_track(tracks: Column) -> Column:
     """Of array<struct<lan, ai_status, url>> the URL of the best: written before generated, then Chinese first."""
     keyed = F.transform(tracks, lambda t, i: F.struct(((F.coalesce(t["ai_status"], F.lit(0)) != 0) | F.startswith(F.lower(t["lan"]), F.lit("ai-"))).alias("g"), (~F.lower(t["lan"]).rlike("^(ai-)?zh")).alias("o"), i.alias("i"), t["url"].alias("url")))
     return F.array_min(keyed)["url"]
+
+
+def balanced_json(html: Column, name: str) -> Column:
+    """The JSON object that a page's script assigns to name, found by its braces; null if there is none or it never closes."""
+
+    def find(pages):
+        import re
+
+        start = re.compile(re.escape(name) + r"\s*=\s*(?=\{)")
+        token = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
+
+        def one(page):
+            m = start.search(page or "")
+            depth = 0
+            for t in token.finditer(page, m.end()) if m else ():
+                depth += {"{": 1, "}": -1}.get(t[0], 0)
+                if not depth:
+                    return page[m.end() : t.end()]
+            return None
+
+        return pages.map(one)
+
+    return F.pandas_udf(find, StringType())(html)

@@ -31,6 +31,11 @@ def cooldown(events: DataFrame, seconds: float = 45 * 60) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInArrow(run, "key string, event_id long, us long, fires boolean")
 
 
+def unmuted(events: DataFrame, muted: DataFrame) -> DataFrame:
+    """Events (key, ...) whose key is not muted for good; muted: key."""
+    return events.join(muted.select("key").distinct(), "key", "left_anti")
+
+
 def cooldown_stream(events: DataFrame, seconds: float = 45 * 60) -> DataFrame:
     """The same on a stream of (key, event_id, us): the state of a key is its last fire; rows of one trigger are taken in time order."""
     import pandas as pd

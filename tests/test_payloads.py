@@ -53,3 +53,19 @@ def test_sql_names(spark):
     register(spark)
     r = spark.sql("select nfkc('ＡＢ') as n, extract_readable('<title>T</title>').title as t").first()
     assert (r.n, r.t) == ("AB", "T")
+
+
+def test_balanced_json(spark):
+    pages = ['<script>var player = {"a":{"b":"}\\"{"},"c":1}; var x = {};</script>', "player = {", "nothing", None]
+    df = spark.createDataFrame([(p,) for p in pages], "h string").coalesce(1)
+    assert [r[0] for r in df.select(P.balanced_json(F.col("h"), "player")).collect()] == ['{"a":{"b":"}\\"{"},"c":1}', None, None, None]
+
+
+def test_small_things(spark):
+    meta = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
+    assert {tuple(r) for r in L.upsert_meta(meta, spark.createDataFrame([("b", "3")], meta.schema)).collect()} == {("a", "1"), ("b", "3")}
+    assert [L.clamp(n, *L.BOUNDS["search"]) for n in (0, 7, 99)] == [1, 7, 50]
+    from recollect.operators import index
+
+    assert index.choose_embedder("no such") is index.blake2b_vectors and index.choose_embedder("sql-hash") is index.hashed
+    assert meta.select(index.prefixed(F.col("value"), "query")).first()[0] == "query: 1"
