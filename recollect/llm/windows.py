@@ -19,7 +19,7 @@ from .common import U64, checkpoint_dir, groups, mix, raw, settle
 WINDOW, GRAM = 35, 8
 GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Occurrences of one fingerprint that one task may hold are 1 / HOT_SHARE of all, or this many.
-HOT_LEAST, HOT_SHARE = 20_000, 4096
+HOT_LEAST, HOT_SHARE = 2_000, 4096
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
