@@ -71,7 +71,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key"])
 
     suspected = settle(source.mapInArrow(suspects, "doc_id long, key binary"))
-    repeated = suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # kept apart from its aggregation, so that Spark can split a hot key's rows in the join
+    repeated = settle(suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
     drops = suspected.join(repeated, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
     def rewrite(batches):
