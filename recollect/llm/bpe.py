@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, raw
+from .common import U64, mix, raw, small
 
 #: Pre-tokens that a task remembers at most; past it the memory starts anew.
 MEMO = 300_000
@@ -163,7 +163,7 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: tuple[str, ...]
     def run(batches):
         tokens, *table = sent.value
         codec = Codec(tokens, PerfectHash(*table), pattern)
-        for b in batches:
+        for b in small(batches):
             n, got = [], {o: [] for o in outputs}
             for text in b.column(1).to_pylist():
                 ids = codec.encode(text)

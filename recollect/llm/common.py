@@ -38,6 +38,15 @@ def raw(docs: DataFrame, *more: str) -> DataFrame:
     return texts(docs, *more).withColumn("text", F.col("text").cast("binary"))
 
 
+def small(batches, rows: int = 256, size: int = 4_000_000):
+    """Slices of record batches, of that many rows and about that many bytes at most (one row at least), so that what a
+    worker makes of a batch in Python stays small however long the texts are."""
+    for b in batches:
+        step = max(1, min(rows, int(size * b.num_rows / max(1, b.nbytes)))) if b.num_rows else 1
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values one to one (splitmix64's finaliser)."""
     x = x ^ (x >> U64(30))

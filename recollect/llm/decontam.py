@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small, texts
 
 ERROR_RATE = 0.05
 #: Benchmark text (code points) that is held, and broadcast, at a time.
@@ -119,7 +119,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
             for piece, uses in by_piece.items():
                 automaton.add_word(piece, uses)
             automaton.make_automaton()
-            for b in batches:
+            for b in small(batches):
                 col = []
                 for text, old in zip(b.column(1).to_pylist(), b.column(at).to_pylist(), strict=True):
                     new = search(normal(text), items, automaton)

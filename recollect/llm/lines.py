@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import SPACES, raw, settle
+from .common import SPACES, raw, settle, small
 
 MIN_CHARS = 10
 
@@ -46,7 +46,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
         import xxhash
 
         once, twice = (np.zeros((1 << log2) // 8, np.uint8) for _ in range(2))
-        for b in batches:
+        for b in small(batches):
             for text in b.column(1).to_pylist():
                 h = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys_of(text, min_chars)), np.uint64)
                 bloom.add_twice(once, twice, h, log2)
@@ -60,7 +60,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
         import xxhash
 
         bits = np.frombuffer(sent.value, np.uint8)
-        for b in batches:
+        for b in small(batches):
             ids, found = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys = list(keys_of(text, min_chars))
@@ -78,7 +78,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
     def rewrite(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             out = []
             for text, keys in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 lines = text.split(b"\n")

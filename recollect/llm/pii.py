@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small, texts
 
 #: Base kinds in their order; the method's own kinds come after them.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -129,7 +129,7 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
         anchors = automaton()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-        for b in batches:
+        for b in small(batches):
             found = [[{"start": s, "kind": KINDS[k], "end": e} for s, k, e in find(t, anchors)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind), *b.columns[2:]], names=["doc_id", "spans", *b.schema.names[2:]])
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw
+from .common import raw, small
 
 FEATURES = ("bytes", "words", "mean_word", "spread_word", "distinct_words", "upper", "digits", "stops", "symbols", "bangs", "bars", "other_ascii", "beyond_ascii", "spaces", "lines", "duplicate_lines", "top_word", "same_neighbours", "distinct_pairs", "entropy", "longest_word")
 
@@ -123,7 +123,7 @@ def document_features(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             x = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "f"])
 
@@ -160,7 +160,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
         import pyarrow as pa
 
         forest = Trees(*sent.value)
-        for b in batches:
+        for b in small(batches):
             x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.scores(x))], names=["doc_id", "score"])
 

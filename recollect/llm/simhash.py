@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, raw, settle
+from .common import groups, raw, settle, small
 from .components import components
 
 #: Members of one block at most that one task compares with another such chunk.
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in small(batches):
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 

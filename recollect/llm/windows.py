@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, checkpoint_dir, groups, mix, raw, settle
+from .common import U64, checkpoint_dir, groups, mix, raw, settle, small
 
 WINDOW, GRAM = 35, 8
 GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -77,7 +77,7 @@ def window_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
             h, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-        for b in batches:
+        for b in small(batches):
             for text in b.column(0).to_pylist():
                 if (got := hasher.anchors(text)) is not None:
                     held.append(got[0])
@@ -166,7 +166,7 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex, window: int = WINDO
 
         bits, salts = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
         hasher = Hasher(window, gram)
-        for b in batches:
+        for b in small(batches):
             cols = [[] for _ in range(7)]
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if (got := hasher.anchors(text)) is None:
@@ -247,7 +247,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     def rewrite(stream):
         import pyarrow as pa
 
-        for b in stream:
+        for b in small(stream):
             out = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = text.split()
