@@ -148,7 +148,7 @@ def library_counts(spark, sf_dir):
     return L.counts_by(items(spark, sf_dir), "source", "status", "folder")
 
 
-@query(f"WITH {IT} SELECT id, CASE WHEN low THEN 'digested' ELSE status END AS status, CASE WHEN low THEN 'low,review' ELSE array_to_string(user_tags, ',') END AS user_tags, CASE WHEN low THEN 'checked' ELSE '' END AS note, CASE WHEN low THEN 99.0 ELSE 0.0 END AS status_at FROM it")
+@query(f"WITH {IT} SELECT id, CASE WHEN low THEN 'digested' ELSE status END AS status, CASE WHEN low THEN 'low,review' ELSE array_to_string(user_tags, ',') END AS user_tags, CASE WHEN low THEN 'checked' ELSE '' END AS note, CAST(CASE WHEN low THEN 99 ELSE 0 END AS DOUBLE) AS status_at FROM it")
 def status_mark(spark, sf_dir):
     """Every item of low quality is marked: tags added and removed, a note, a new status."""
     own = items(spark, sf_dir)
