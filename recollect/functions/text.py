@@ -31,7 +31,9 @@ def clean(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Full-width forms made narrow, white space squeezed, lower case. For all of NFKC pass nfkc(text)."""
-    return F.lower(squeeze(F.translate(F.coalesce(text, F.lit("")), WIDE, NARROW)))
+    text = F.coalesce(text, F.lit(""))
+    # translate() looks up every character; most texts have none to change
+    return F.lower(squeeze(F.when(text.rlike(f"[{WIDE[0]}-{WIDE[-2]}{WIDE[-1]}]"), F.translate(text, WIDE, NARROW)).otherwise(text)))
 
 
 @F.pandas_udf(StringType())
@@ -47,18 +49,19 @@ def count_of(text: Column, chars: str) -> Column:
 
 
 def is_function_token(token: Column) -> Column:
-    return token.isin(STOP) | token.rlike(f"^[{words.FUNCTION_CHARS}]{{2}}$")
+    return token.isin(STOP) | ((F.length(token) == 2) & token.rlike(f"^[{words.FUNCTION_CHARS}]{{2}}$"))
 
 
 def _of_word(word: Column) -> Column:
     """A word without outer -_. signs; one with inner ones gives its longer parts and the joined form too."""
 
+    has = lambda w: F.contains(w, F.lit("-")) | F.contains(w, F.lit("_")) | F.contains(w, F.lit("."))
+
     def parts(w: Column) -> Column:
-        inner = F.contains(w, F.lit("-")) | F.contains(w, F.lit("_")) | F.contains(w, F.lit("."))
         split = F.split(w, "[-_.]+")
-        return F.when(w == "", F.array().cast("array<string>")).when(~inner, F.array(w)).otherwise(F.concat(F.array(w), F.filter(split, lambda p: F.length(p) > 1), F.array(F.array_join(split, ""))))
+        return F.when(w == "", F.array().cast("array<string>")).when(~has(w), F.array(w)).otherwise(F.concat(F.array(w), F.filter(split, lambda p: F.length(p) > 1), F.array(F.array_join(split, ""))))
 
-    return let(F.btrim(word, F.lit("-_.")), parts)
+    return F.when(~has(word), F.array(word)).otherwise(let(F.btrim(word, F.lit("-_.")), parts))
 
 
 def _of_run(run: Column) -> Column:
@@ -72,7 +75,7 @@ def _of_run(run: Column) -> Column:
 def tokenize(text: Column, drop_stopwords: bool = True) -> Column:
     """The retrieval tokens in reading order, repeats included."""
     found = F.regexp_extract_all(normalize(text), F.lit(f"[{CJK}]+|{words.WORD}"), F.lit(0))
-    tokens = F.flatten(F.transform(found, lambda w: F.when(F.substring(w, 1, 1).rlike("[a-z0-9]"), _of_word(w)).otherwise(_of_run(w))))
+    tokens = F.flatten(F.transform(found, lambda w: F.when(F.ascii(w) < 0x80, _of_word(w)).otherwise(_of_run(w))))
     return F.filter(tokens, lambda t: ~is_function_token(t)) if drop_stopwords else tokens
 
 

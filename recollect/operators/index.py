@@ -35,8 +35,9 @@ def corpus_stats(tokens: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(qid, token): the distinct tokens of each query."""
-    return queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
+    """(qid, token): the distinct tokens of each query; those of a column tokens where queries has one."""
+    tokens = F.col("tokens") if "tokens" in queries.columns else tokenize(F.col("text"))
+    return queries.select("qid", F.explode(F.array_distinct(tokens)).alias("token"))
 
 
 def _vectors(tokens: DataFrame, dimensions: int, keys: tuple[str, ...], place) -> DataFrame:

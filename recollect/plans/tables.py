@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import tokenised
-from ..operators.shared import settle
+from ..operators.shared import settle, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One passage for each document: chunk_id (its doc_id), tokens, doc_len."""
-    return settle(tokenised(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")).drop("text"))
+    return settle(tokenised(spread(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))).drop("text"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One passage for each line with a word: the first is the title, the others body. Tokens are computed once and kept."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where(F.trim("text") != "")
     return settle(tokenised(lines.select(F.format_string("%012d:%06d", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("item_id"), "source", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("body").alias("kind"), "text")))
 
@@ -32,7 +32,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts; labels say what users did: toxic ones are muted, others of low quality digested."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = spread(read(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     low, toxic = F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))
     none = F.array().cast("array<string>")
     return docs.select(

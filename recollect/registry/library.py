@@ -9,7 +9,7 @@ from ..functions import identity, text
 from ..functions.extract import extract_pages as extract
 from ..operators import chunking, index, retrieve
 from ..operators import library as L
-from ..operators.shared import settle
+from ..operators.shared import settle, spread
 from ..plans import context as C
 from ..plans.tables import event_log, items, passages, questions, read, whole_documents
 from ..streaming import streams
@@ -41,13 +41,13 @@ canon AS (SELECT page_id, 'https://' || host || path || CASE WHEN query = '' THE
 
 @query(f"WITH {CANON} SELECT page_id, canonical, substr(sha1(canonical), 1, 16) AS digest FROM canon")
 def canonical_url(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").withColumn("canonical", identity.canonical_url(F.col("url")))
+    pages = spread(read(spark, sf_dir, "pages")).withColumn("canonical", identity.canonical_url(F.col("url")))
     return pages.select("page_id", "canonical", identity.url_digest(F.col("canonical")).alias("digest"))
 
 
 @query(f"WITH {CANON} SELECT page_id, 'web' AS source, substr(sha1(canonical), 1, 16) AS source_id, 'post' AS media_kind, '网页 / Web' AS label FROM canon")
 def identify_source(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id", identity.identify(identity.canonical_url(F.col("url"))).alias("w"))
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", identity.identify(identity.canonical_url(F.col("url"))).alias("w"))
     return pages.select("page_id", "w.source", "w.source_id", "w.media_kind", identity.label_of(F.col("w.source")).alias("label"))
 
 
@@ -67,7 +67,7 @@ u AS (SELECT doc_id, t, CASE WHEN length(t) <= 48 THEN t WHEN contains(substr(t,
   regexp_replace(substr(t, -48), '^[^ ]* ', '') AS b FROM t)
 SELECT doc_id, CASE WHEN length(t) < 8 THEN '' ELSE ':~:text=' || replace(url_encode(a), '-', '%2D') || CASE WHEN length(t) > 96 AND b <> '' AND b <> a THEN ',' || replace(url_encode(b), '-', '%2D') ELSE '' END END AS fragment FROM u""")
 def text_fragments(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.text_fragment(F.col("text")).alias("fragment"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.text_fragment(F.col("text")).alias("fragment"))
 
 
 # --- passages and pages -----------------------------------------------------------------------------------------------
@@ -81,7 +81,7 @@ r AS (SELECT doc_id, list_reduce(p, lambda a, x: CASE WHEN length(a.open) + leng
 SELECT doc_id, CAST(len(z.done) + 1 AS BIGINT) AS n_chunks, md5(array_to_string(z.done || [z.open], chr(10))) AS digest FROM r""")
 def chunk_text(spark, sf_dir):
     """Prose packed by sentences; compared by where it breaks."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", chunking.pack_sentences(F.col("text")).alias("c")).where(F.size("c") > 0)
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", chunking.pack_sentences(F.col("text")).alias("c")).where(F.size("c") > 0)
     return docs.select("doc_id", F.size("c").cast("long").alias("n_chunks"), F.md5(F.array_join("c", "\n")).alias("digest"))
 
 
@@ -118,7 +118,7 @@ def chunk_items(spark, sf_dir):
 
 @query()
 def extract_pages(spark, sf_dir):
-    return extract(read(spark, sf_dir, "pages"))
+    return extract(spread(read(spark, sf_dir, "pages")))
 
 
 # --- library ----------------------------------------------------------------------------------------------------------
@@ -203,7 +203,7 @@ def delete_items(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").withColumn("canonical", identity.canonical_url(F.col("url")))
+    pages = spread(read(spark, sf_dir, "pages")).withColumn("canonical", identity.canonical_url(F.col("url")))
     state = F.when(F.startswith(F.col("url"), F.lit("http://")), "capture").otherwise("pending")
     return pages.select(F.col("page_id").alias("id"), F.col("canonical").alias("url"), F.col("canonical").alias("title"), F.lit("").alias("author"), (-F.col("page_id")).cast("double").alias("saved_at"), state.alias("transcript_source"), "html")
 

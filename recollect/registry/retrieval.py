@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import index, retrieve
+from ..operators.shared import spread
 from ..plans.tables import passages, questions, read, whole_documents
 from .base import query
 
@@ -72,7 +73,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normal, md5(text) AS text_md5 FROM documents")
 def normalize_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("normal"), F.md5("text").alias("text_md5"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.normalize(F.col("text")).alias("normal"), F.md5("text").alias("text_md5"))
 
 
 @query(f"WITH {DOCS}, {tokens_sql('_docs', 'chunk_id')} SELECT chunk_id AS doc_id, token, count(*) AS tf FROM tok GROUP BY ALL")
@@ -111,7 +112,7 @@ SELECT doc_id, CASE WHEN latin + cjk < 4 THEN 'mixed' WHEN cjk > 0.75 * (cjk + l
 )
 def script_and_length(spark, sf_dir):
     text = F.col("text")
-    return read(spark, sf_dir, "documents").select("doc_id", T.script_of(text).alias("script"), T.is_mostly_cjk(text).alias("mostly_cjk"), T.weighted_length(text).cast("long").alias("weighted"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.script_of(text).alias("script"), T.is_mostly_cjk(text).alias("mostly_cjk"), T.weighted_length(text).cast("long").alias("weighted"))
 
 
 def sentences_sql(text: str) -> str:
@@ -122,7 +123,7 @@ def sentences_sql(text: str) -> str:
 
 @query(f"SELECT doc_id, CAST(len({sentences_sql('text')}) AS BIGINT) AS n, md5(array_to_string({sentences_sql('text')}, chr(1))) AS joined FROM documents")
 def sentence_split(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x01")).alias("joined"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x01")).alias("joined"))
 
 
 # --- dense, fusion, items ---------------------------------------------------------------------------------------------
