@@ -12,7 +12,7 @@ from recollect.llm.common import checkpoint_dir
 from recollect.llm.decontam import decontaminate
 from recollect.llm.lines import line_dedup
 from recollect.llm.rules import quality_rules
-from recollect.llm.simhash import near_duplicates
+from recollect.llm.similar import similar_groups
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,9 +28,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id (of equal doc_ids, one)."""
-    groups = near_duplicates(docs, shingle=3, distance=3)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """One document of each group of near copies stays: that of the smallest doc_id (of equal doc_ids, one). Near copies are
+    80 % alike on five-word shingles; SimHash at 9 bits finds the candidates."""
+    first = similar_groups(docs, distance=9, shingle=5, percent=80).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(first.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 

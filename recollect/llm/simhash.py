@@ -83,14 +83,15 @@ def forest(x: np.ndarray, distance: int):
             todo += near.tolist()
 
 
-def links(fps: DataFrame, distance: int = 3, chunk: int = CHUNK) -> DataFrame:
+def links(fps: DataFrame, distance: int = 3, chunk: int = CHUNK, per_node: float = 4.0, meet=forest) -> DataFrame:
     """Edges (a, b) between the distinct fingerprints fps (column fp) that connect what pairs within the distance connect.
 
     Fingerprints that agree on a mask's blocks meet, and their distance is verified. A meeting gives a spanning
     forest of its links, not all pairs. One with more than chunk members is dealt out as pairs of chunks over
-    many tasks, so that no link is lost and no task grows."""
+    many tasks, so that no link is lost and no task grows. per_node is what masks() takes; meet(values, distance) gives
+    the edges of one meeting."""
     n = fps.count()
-    every = masks(n, distance)
+    every = masks(n, distance, per_node)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(every)])).alias("x")).select("x.t", "x.k", "fp")
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     met = keyed.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
@@ -118,7 +119,7 @@ def links(fps: DataFrame, distance: int = 3, chunk: int = CHUNK) -> DataFrame:
                         a.append(lo)
                         b.append(lo + 1)
                 else:
-                    for u, v in forest(fp[lo:hi], distance):
+                    for u, v in meet(fp[lo:hi], distance):
                         a.append(lo + u)
                         b.append(lo + v)
             yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])

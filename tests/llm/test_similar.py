@@ -1,0 +1,64 @@
+"""Near copies on shingles, and the rows that the pipeline keeps of them, against brute force."""
+
+import random
+
+import pytest
+from test_copies import brute_fingerprint, lower, roots, words
+
+from recollect.llm import similar
+
+
+def shingles(t, n=5):
+    w = words(lower(t or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def brute_similar(rows, distance=9):
+    """The group of each row: clusters by fingerprint steps, links by Jaccard inside."""
+    n = range(len(rows))
+    fp, sets = [brute_fingerprint(t, 3) for _, t in rows], [shingles(t) for _, t in rows]
+    cluster = roots(n, [(i, j) for i in n for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= distance])
+    return roots(n, [(i, j) for i in n for j in range(i) if cluster[i] == cluster[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+
+
+def copies(seed, families=12, each=8):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(families):
+        base = [f"w{r.randrange(900)}" for _ in range(r.randrange(60, 200))]
+        for _ in range(each):
+            w = list(base)
+            for _ in range(r.randrange(5)):
+                w[r.randrange(len(w))] = f"x{r.randrange(50)}"
+            rows.append((len(rows), " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_groups(table, chunk):
+    rows = copies(5)
+    root = brute_similar(rows)
+    got = similar.similar_groups(table(rows), chunk=chunk).collect()
+    assert sorted(r.doc_id for r in got) == sorted({rows[i][0] for i in root.values()})
+    wide = [(i, j) for i in range(len(rows)) for j in range(i) if root[i] == root[j] and (brute_fingerprint(rows[i][1], 3) ^ brute_fingerprint(rows[j][1], 3)).bit_count() > 3]
+    assert wide  # what 3 bits miss
+    assert similar.similar_groups(table([])).count() == 0
+
+
+def test_stage_joins_copies_beyond_three_bits(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = copies(8)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near(spark, docs, str(tmp_path)).collect()
+    root = brute_similar(rows)
+    assert sorted(r.doc_id for r in got) == sorted({rows[i][0] for i in root.values()})
+    assert all(r.text == dict(rows)[r.doc_id] for r in got)
+
+
+def test_unlike_texts_within_the_distance_stay():
+    r = random.Random(2)
+    base = [r.randrange(1 << 60) for _ in range(100)]
+    sets = [sorted(base[:100]), sorted(base[:80]), sorted(base[:79]), sorted(base[21:])]
+    import numpy as np
+
+    assert sorted(similar.alike([np.array(s, np.uint64) for s in sets], 80)) == [(0, 1), (1, 2)]
