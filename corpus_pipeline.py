@@ -28,10 +28,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that of the smallest doc_id (of equal doc_ids, one). Near copies are
-    80 % alike on five-word shingles; SimHash at 9 bits finds the candidates."""
-    first = similar_groups(docs, distance=9, shingle=5, percent=80).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near copies stays: the first by doc_id (nulls last), then by a hash of the text, then by the
+    other columns. Near copies are 80 % alike on five-word shingles; SimHash at 9 bits finds the candidates."""
+    first = similar_groups(docs, distance=9, shingle=5, percent=80).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = rows.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    return rows.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,18 @@ def test_unlike_texts_within_the_distance_stay():
     import numpy as np
 
     assert sorted(similar.alike([np.array(s, np.uint64) for s in sets], 80)) == [(0, 1), (1, 2)]
+
+
+def test_rows_without_or_with_shared_ids(spark, tmp_path):
+    """Each group keeps one row, whether its rows have no doc_id or share one with another group's."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1] + " more"), (None, texts[1]), (5, texts[2]), (5, texts[3]), (3, texts[3] + " more"), (7, texts[4]), (7, texts[4]), (8, texts[5]), (None, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 4):
+        got = [(x.doc_id, x.text) for x in corpus_pipeline.near(spark, docs.repartition(parts), str(tmp_path)).collect()]
+        ones = [x for x in got if x[1].startswith(texts[1])]
+        assert len(ones) == 1 and ones[0][0] is None
+        want = [(None, texts[0]), (3, texts[3] + " more"), (5, texts[2]), (7, texts[4]), (8, texts[5])]
+        assert sorted((x for x in got if x not in ones), key=str) == sorted(want, key=str)
