@@ -75,8 +75,8 @@ BASE_RULES = [
     Rule("few_words", lambda m: m.of("n_words") < 10),
     Rule("repeated_words", lambda m: 100 * m.of("n_repeat_words") > 20 * m.of("n_words")),
 ]
-#: Signs of boilerplate and noise that prose in any language stays well clear of.
-MORE_RULES = [
+#: Signs of boilerplate and noise, as the SQL of op10 has them: for scripts with spaces, and few_distinct_words for up to 4,999 words.
+SQL_RULES = [
     Rule("symbols", lambda m: m.of("n_symbols") * 20 > m.of("word_chars")),
     Rule("word_length", lambda m: (m.of("word_chars") > 20 * m.of("n_words")) | (m.of("word_chars") < 2 * m.of("n_words"))),
     Rule("duplicate_lines", lambda m: m.of("n_dup_lines") * 10 > F.size(F.split(m.text, "\n")) * 4),
@@ -84,6 +84,21 @@ MORE_RULES = [
     Rule("shouting", lambda m: F.regexp_count(m.text, F.lit("!!")) * 4 > m.of("n_words")),
     Rule("few_distinct_words", lambda m: m.of("n_words").between(50, 4999) & (F.size(F.array_distinct(m.words)) * 10 < m.of("n_words"))),
 ]
+#: Characters of scripts that write no spaces between words, with their punctuation and wide forms.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
+
+
+def distinct(m: Measures) -> Column:
+    return F.size(F.array_distinct(m.words)).cast("long")
+
+
+#: The same for all lengths and scripts: words are too long only where under a fifth of the characters are of unspaced scripts, and
+#: distinct words are held against a tenth of all words and, from 5,000 words on, against the root of 50 times their number (vocabulary grows about so).
+WHOLE_RULES = {
+    "word_length": Rule("word_length", lambda m: ((m.of("word_chars") > 20 * m.of("n_words")) & (F.regexp_count(m.text, F.lit(UNSPACED)) * 5 < m.of("word_chars"))) | (m.of("word_chars") < 2 * m.of("n_words"))),
+    "few_distinct_words": Rule("few_distinct_words", lambda m: (m.of("n_words") >= 50) & let(distinct(m), lambda d: (d * 10 < m.of("n_words")) & (d * d < 50 * m.of("n_words")))),
+}
+MORE_RULES = [WHOLE_RULES.get(r.name, r) for r in SQL_RULES]
 
 
 def whole(text: Column) -> Column:

@@ -1,0 +1,20 @@
+"""Quality rules on very long texts and on scripts without spaces."""
+
+import random
+
+from recollect.llm import rules
+
+
+def test_long_junk_and_unspaced_scripts(table):
+    r = random.Random(4)
+    junk = lambda n: " ".join(f"w{r.randrange(20)}" for _ in range(n))
+    chinese = "\n".join("".join(chr(0x4E00 + r.randrange(9000)) + ("，" if k % 9 == 8 else "") for k in range(60)) + "。" for _ in range(14))
+    thai = " ".join("".join(chr(0x0E01 + r.randrange(46)) for _ in range(35)) for _ in range(20))
+    blobs = " ".join("".join(r.choice("abcdefgh0123") for _ in range(45)) for _ in range(20))
+    varied = " ".join(f"v{r.randrange(3000)}" for _ in range(40_000))  # 7.5 % distinct, as long prose may be
+    rows = [(1, junk(4999)), (2, junk(5000)), (3, junk(20_000)), (4, chinese), (5, thai), (6, blobs), (7, varied)]
+    only = [x for x in rules.MORE_RULES if x.name in ("word_length", "few_distinct_words")]
+    by = {x.doc_id: x.rejected_by for x in rules.quality_rules(table(rows), only).select("doc_id", "rejected_by").collect()}
+    assert by[4] is None and by[5] is None and by[6] == "word_length"
+    assert by[7] is None
+    assert all(by[k] in ("few_distinct_words", "repeated_words") for k in (1, 2, 3)) and by[2] == by[1]
