@@ -91,6 +91,12 @@ def window_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
     return raw(docs).select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
+def salted(doc: int | None, place: int, a: int, parts: int) -> int:
+    """The part, 1 to parts, of a hot fingerprint at word a of a row: by doc_id, so that copies of one text part too; rows
+    without one go by their place in the task."""
+    return hash((place if doc is None else doc, a)) % parts + 1
+
+
 class FingerprintIndex:
     """Sorted immutable runs of (hash, n) under one shared folder; the newest run comes last.
 
@@ -166,16 +172,18 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex, window: int = WINDO
 
         bits, salts = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
         hasher = Hasher(window, gram)
+        place = 0
         for b in small(batches):
             cols = [[] for _ in range(7)]
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                place += 1
                 if (got := hasher.anchors(text)) is None:
                     continue
                 h, offset, first, lengths, own = got
                 for i in np.flatnonzero(bloom.holds(bits, h.view(np.uint64), log2)).tolist():
                     f = int(h[i])
                     a = int(first[i])
-                    salt = (key ^ a * 0x9E3779B1) % salts[f] + 1 if f in salts else 0
+                    salt = salted(doc, place, a, salts[f]) if f in salts else 0
                     for c, v in zip(cols, (f, salt, doc, key, a, int(offset[i]), own[a : a + lengths[i]].tobytes()), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["hash", "salt", "doc_id", "text_hash", "a", "offset", "windows"])

@@ -1,0 +1,21 @@
+"""Masses of one text: a hot fingerprint's copies are dealt out, and the result stays whole."""
+
+from collections import Counter
+
+import pytest
+from test_windows import brute_windows
+
+from recollect.llm import windows
+
+
+@pytest.mark.parametrize("ids", [range(10_000), [None] * 10_000])
+def test_copies_of_one_text_part(ids):
+    sizes = Counter(windows.salted(doc, place, 7, 10) for place, doc in enumerate(ids))
+    assert set(sizes) == set(range(1, 11)) and max(sizes.values()) < 1_500
+
+
+def test_mass_of_one_text(table):
+    text = " ".join(f"m{i}" for i in range(60))
+    rows = [(i, text) for i in range(60)] + [(100, text + " tail"), (101, " ".join(f"o{i}" for i in range(50)))]
+    got = windows.substring_dedup(table(rows), hot=5, most_log2_bits=17).collect()
+    assert sorted(map(tuple, got)) == brute_windows(rows, 35)
