@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names. A local session that names none, as in tests, gets one of its own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-recollect-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that the session names; a folder of our own only where it names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-recollect-"))
+    """df from a checkpoint in the folder that the session names."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
