@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import checkpoint_dir, settle  # noqa: F401  for the operators here
+
 #: ASCII white space, as the word rule [^\x20\x09-\x0D]+ sees it.
 SPACES = " \t\n\x0b\x0c\r"
 
 U64 = np.uint64
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, or one of our own where the session names none."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-recollect-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there; the rows outlive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own, wherever its file system is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -1,9 +1,13 @@
-"""Substring dedup with a log-structured index of window fingerprints.
+"""Incremental substring dedup with a log-structured index of window fingerprints.
 
-A window is a number of consecutive words. Its fingerprint is the least hash among the grams (shorter word runs)
-in it, so that equal windows share it, and neighbouring windows mostly do too: the index holds about two fingerprints for each 28 words.
-Every batch becomes a sorted, immutable run of (fingerprint, count); it is merge-joined with the runs there are, and
-runs are compacted by merging. Fingerprints met twice are suspects; whole windows then confirm them."""
+A window is a number of consecutive words. Its anchor is the least hash among the grams (shorter word runs) in it, so equal windows
+have equal anchors at equal offsets. Neighbouring windows mostly share their anchor; those that do make a stretch, whose hash covers
+all its words. The index holds one row for each distinct (anchor, stretch): two rows for 29 words instead of 29 window hashes.
+
+Every batch becomes a sorted, immutable run, bucketed by the anchor. It is merge-joined with the historical runs, without
+shuffling them. Equal stretches settle all their windows at once; where an anchor has several stretches, the hashes of their whole windows,
+read again from one text of each, settle which windows repeat. What a batch shows to be repeated is written as marks, also for
+windows of earlier batches. Runs are compacted by merging."""
 
 from __future__ import annotations
 
@@ -11,15 +15,18 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, checkpoint_dir, groups, mix, raw, settle, small
+from .common import U64, checkpoint_dir, mix, raw, remove, settle, small
 
 WINDOW, GRAM = 35, 8
 GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Occurrences of one fingerprint that one task may hold are 1 / HOT_SHARE of all, or this many.
-HOT_LEAST, HOT_SHARE = 2_000, 4096
+#: Rows that a task holds before it hands them on.
+FLUSH = 400_000
+RUN = "hash long, stretch long, n long, text_hash long"
+MARKS = "hash long, stretch long, mask long"
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,19 +39,32 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+class Anchors:
+    """The stretches of one text, as arrays: anchor hash, place of the first window, number of windows, hash of the stretch."""
+
+    def __init__(self, hash, offset, first, count, stretch, sums, down, window):
+        self.hash, self.offset, self.first, self.count, self.stretch = hash, offset, first, count, stretch
+        self._sums, self._down, self._window = sums, down, window
+
+    def windows(self, at: np.ndarray):
+        """Of the stretches at these places: (stretch number, number in the stretch, kind, hash of all words) of each window; windows
+        of one kind have equal anchors at equal offsets."""
+        row = np.repeat(at, self.count[at])
+        k = np.arange(len(row)) - np.repeat(np.cumsum(self.count[at]) - self.count[at], self.count[at])
+        i = self.first[row] + k
+        own = mix((self._sums[i + self._window] - self._sums[i]) * self._down[i])
+        kind = mix(self.hash[row] ^ mix((self.offset[row] - k).astype(np.uint64) + U64(1)))
+        return row, k, kind, own
+
+
 class Hasher:
     """Rolling hashes of word runs, vectorised over a document."""
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram, self.size = window, gram, 0
 
-    def rolled(self, h: np.ndarray, width: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-        return mix((sums[width:] - sums[:-width]) * down[: len(h) - width + 1])
-
-    def anchors(self, text: bytes):
-        """For each fingerprint in the text: its hash, its place less the first window's, that window's place, and
-        how many windows in a row have it; then the windows' own hashes. None if the text has no window."""
+    def anchors(self, text: bytes) -> Anchors | None:
+        """None if the text has no window."""
         import xxhash
 
         words = text.split()
@@ -55,17 +75,32 @@ class Hasher:
             self.size = max(4096, 2 * n)
             self.pow = [powers(GRAM_BASE, self.size), powers(WINDOW_BASE, self.size)]
         h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        grams = self.rolled(h, self.gram, *self.pow[0])
-        width = self.window - self.gram + 1
-        least = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1)
+        zero = np.zeros(1, np.uint64)
+        (up, down), (wide_up, wide_down) = self.pow
+        sums = np.concatenate((zero, np.cumsum(h * up[:n], dtype=np.uint64)))
+        grams = mix((sums[self.gram :] - sums[: -self.gram]) * down[: n - self.gram + 1])
+        least = np.lib.stride_tricks.sliding_window_view(grams, self.window - self.gram + 1).argmin(axis=1)
         at = least + np.arange(len(least))
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        lengths = np.diff(np.append(first, len(at)))
-        return grams[at[first]].view(np.int64), at[first] - first, first, lengths, self.rolled(h, self.window, *self.pow[1])
+        count = np.diff(np.append(first, len(at)))
+        offset = at[first] - first
+        wide = np.concatenate((zero, np.cumsum(h * wide_up[:n], dtype=np.uint64)))
+        whole = (wide[first + count + self.window - 1] - wide[first]) * wide_down[first]
+        stretch = mix(mix(whole) ^ mix((offset.astype(np.uint64) << U64(32)) + count.astype(np.uint64)))
+        return Anchors(grams[at[first]], offset, first, count, stretch, wide, wide_down, self.window)
+
 
+def signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
-def window_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(hash, n): how many times each fingerprint occurs, summed over the documents."""
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (bytes), and two independent hashes of it."""
+    return raw(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.hash("text").alias("text_check"), "text")
+
+
+def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(hash, stretch, n, text_hash): how often each stretch occurs, folded within each task, and a text that holds it."""
 
     def run(batches):
         import pyarrow as pa
@@ -74,183 +109,277 @@ def window_fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM)
         held, size = [], 0
 
         def flush():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["hash", "n"])
+            rows = np.concatenate(held)
+            order = np.lexsort((rows["s"], rows["h"]))
+            rows = rows[order]
+            new = np.flatnonzero(np.concatenate(([True], (rows["h"][1:] != rows["h"][:-1]) | (rows["s"][1:] != rows["s"][:-1]))))
+            n = np.diff(np.append(new, len(rows)))
+            cols = (signed(np.ascontiguousarray(rows["h"][new])), signed(np.ascontiguousarray(rows["s"][new])), n.astype(np.int64), np.ascontiguousarray(rows["t"][new]))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "stretch", "n", "text_hash"])
 
         for b in small(batches):
-            for text in b.column(0).to_pylist():
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if (got := hasher.anchors(text)) is not None:
-                    held.append(got[0])
-                    size += len(got[0])
-                    if size > 500_000:
+                    rows = np.empty(len(got.hash), [("h", np.uint64), ("s", np.uint64), ("t", np.int64)])
+                    rows["h"], rows["s"], rows["t"] = got.hash, got.stretch, key
+                    held.append(rows)
+                    size += len(rows)
+                    if size > FLUSH:
                         yield flush()
                         held, size = [], 0
         if held:
             yield flush()
 
-    return raw(docs).select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return keyed(docs).select("text_hash", "text").mapInArrow(run, RUN)
+
+
+def filter_of(keys: DataFrame, most_log2_bits: int) -> tuple[bytes, int]:
+    """A Bloom filter of 64-bit keys (the one column), and the logarithm of its bits."""
+    log2 = bloom.log2_bits(keys.count(), most=most_log2_bits)
+
+    def fill(batches):
+        bits = np.zeros((1 << log2) // 8, np.uint8)
+        for b in batches:
+            bloom.add(bits, b.column(0).to_numpy().view(np.uint64), log2)
+        yield from bloom.segments(bits)
 
+    return bloom.merge(keys.mapInArrow(fill, bloom.SCHEMA), log2)[0].tobytes(), log2
 
-def salted(doc: int | None, place: int, a: int, parts: int) -> int:
-    """The part, 1 to parts, of a hot fingerprint at word a of a row: by doc_id, so that copies of one text part too; rows
-    without one go by their place in the task."""
-    return hash((place if doc is None else doc, a)) % parts + 1
 
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One key from two 64-bit numbers, for filters."""
+    return mix(a.view(np.uint64) + mix(b.view(np.uint64)))
 
-class FingerprintIndex:
-    """Sorted immutable runs of (hash, n) under one shared folder; the newest run comes last.
 
-    A run is never changed: add() writes one, compact() merges all into one new run. The names of the runs are what a caller keeps between sessions."""
+def joined_keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """joint() of the columns, from left to right, as a column of its own."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            key = b.column(0).to_numpy().view(np.uint64)
+            for c in b.columns[1:]:
+                key = joint(key, c.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key))], names=["key"])
+
+    return rows.select(*columns).mapInArrow(run, "key long")
+
 
-    def __init__(self, spark: SparkSession, root: str | None = None, runs: list[str] | None = None, most_runs: int = 4):
-        self.spark, self.runs, self.most_runs = spark, list(runs or []), most_runs
+class FingerprintIndex:
+    """Sorted immutable runs of stretches, bucketed by their anchors, under one shared folder, and marks: which windows repeat.
+
+    A run is never changed: add() writes one, compact() merges all into a new one and removes those it replaces. runs and marks (names under
+    root) are what a caller keeps between sessions, with the number of buckets; corpus are the documents that the runs came
+    from, which later batches are verified against. A stretch has at most 64 windows, so window - gram < 64."""
+
+    def __init__(self, spark: SparkSession, root: str | None = None, runs: list[str] | None = None, marks: list[str] | None = None, corpus: DataFrame | None = None, buckets: int | None = None, most_runs: int = 4, window: int = WINDOW, gram: int = GRAM, most_log2_bits: int = 27):
+        if not 0 < gram <= window < gram + 64:
+            raise ValueError("a window must hold a gram and be shorter than it by less than 64 words")
+        self.spark, self.runs, self.marks, self.corpus, self.most_runs = spark, list(runs or []), list(marks or []), corpus, most_runs
+        self.window, self.gram, self.most_log2_bits = window, gram, most_log2_bits
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.root = root or f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
 
-    def run(self, path: str) -> DataFrame:
-        return self.spark.read.schema("hash long, n long").parquet(path)
+    def run(self, name: str) -> DataFrame:
+        """A run as the bucketed table it is; made known to the session where it isn't yet."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE `{name}` ({RUN.replace('long', 'BIGINT')}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+        return self.spark.table(name)
 
     def _write(self, rows: DataFrame) -> str:
-        path = f"{self.root}/run-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("hash").write.option("compression", "zstd").parquet(path)
-        return path
-
-    def merged(self) -> DataFrame:
-        """All runs merge-joined: (hash, n) with counts summed."""
-        out = None
-        for path in self.runs:
-            run = self.run(path)
-            if out is None:
-                out = run
-            else:
-                out = out.join(run.withColumnRenamed("n", "m").hint("merge"), "hash", "full").select("hash", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-        return out if out is not None else self.spark.createDataFrame([], "hash long, n long")
-
-    def seen(self, fingerprints: DataFrame) -> DataFrame:
-        """Those of (hash, n) that a run holds, with the historical count as m: one merge join for each run."""
-        found = [fingerprints.join(self.run(p).withColumnRenamed("n", "m").hint("merge"), "hash") for p in self.runs]
-        out = fingerprints.limit(0).withColumn("m", F.lit(0).cast("long"))
-        for f in found:
-            out = out.unionByName(f)
-        return out.groupBy("hash", "n").agg(F.sum("m").alias("m"))
-
-    def add(self, fingerprints: DataFrame) -> None:
-        self.runs.append(self._write(fingerprints))
+        name = f"run_{uuid.uuid4().hex}"
+        rows.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+            remove(self.spark, f"{self.root}/{name}")
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hash", "stretch").agg(F.sum("n").alias("n"), F.min("text_hash").alias("text_hash"))
+
+    def met(self, name: str) -> DataFrame:
+        """The batch of that run with what historical runs hold under its anchors: one merge join for each run."""
+        own = self.run(name)
+        anchors = own.select("hash").distinct()
+        out = own
+        for other in self.runs:
+            if other != name:
+                out = out.unionByName(self.run(other).hint("merge").join(anchors, "hash", "left_semi"))
+        return self._folded(out)
+
+    def add(self, docs: DataFrame) -> None:
+        """Enter a batch and mark what it shows to be repeated."""
+        # rows come together by anchor once; the run, its merge joins and its groups keep that partitioning
+        rows = stretches(docs, self.window, self.gram).repartition(self.buckets, "hash")
+        name = self._write(self._folded(rows))
+        anchor = W.partitionBy("hash")
+        met = self.met(name).withColumn("low", F.min("stretch").over(anchor)).withColumn("high", F.max("stretch").over(anchor))
+        met = settle(met.where("n > 1 or low < high").select("hash", "stretch", "text_hash", (F.col("n") > 1).alias("whole"), (F.col("low") < F.col("high")).alias("parted")))
+        self.corpus = docs.select("doc_id", "text") if self.corpus is None else self.corpus.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+        marks = met.where("whole").select("hash", "stretch", F.lit(-1).cast("long").alias("mask")).unionByName(self.verified(met.where("parted")))
+        path = f"marks_{uuid.uuid4().hex}"
+        marks.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+        self.runs.append(name)
+        self.marks.append(path)
         if len(self.runs) > self.most_runs:
             self.compact()
 
-    def compact(self) -> None:
-        if len(self.runs) > 1:
-            self.runs = [self._write(self.merged())]
-
+    def verified(self, wanted: DataFrame) -> DataFrame:
+        """(hash, stretch, mask): the windows of wanted stretches (hash, stretch, text_hash) that another of them holds too.
+
+        Bloom filters of the texts and stretches wanted go to every task, so only wanted windows are hashed and sent. A window
+        is repeated if two different stretches hold it, however often each was sent."""
+        if not wanted.head(1):
+            return self.spark.createDataFrame([], MARKS)
+        window, gram = self.window, self.gram
+        texts, texts_log2 = filter_of(wanted.select("text_hash").distinct(), self.most_log2_bits)
+        keys, keys_log2 = filter_of(joined_keys(wanted, "hash", "stretch", "text_hash"), self.most_log2_bits)
+        sent = self.spark.sparkContext.broadcast((texts, keys))
+
+        def run(batches):
+            import pyarrow as pa
+
+            texts, keys = (np.frombuffer(x, np.uint8) for x in sent.value)
+            hasher = Hasher(window, gram)
+            held, size = [], 0
+
+            def flush():
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "own", "hash", "stretch", "k"])
+
+            for b in small(batches):
+                key = b.column(0).to_numpy()
+                for i in np.flatnonzero(bloom.holds(texts, key.view(np.uint64), texts_log2)).tolist():
+                    if (got := hasher.anchors(b.column(1)[i].as_py())) is None:
+                        continue
+                    at = np.flatnonzero(bloom.holds(keys, joint(joint(got.hash, got.stretch), np.full(len(got.hash), key[i])), keys_log2))
+                    if not len(at):
+                        continue
+                    row, k, kind, own = got.windows(at)
+                    held.append((signed(kind), signed(own), signed(got.hash)[row], signed(got.stretch)[row], k.astype(np.int8)))
+                    size += len(row)
+                    if size > FLUSH:
+                        yield flush()
+                        held, size = [], 0
+            if held:
+                yield flush()
 
-def repeated_spans(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, gram: int = GRAM, most_log2_bits: int = 27, hot: int | None = None) -> DataFrame:
-    """(doc_id, text_hash, s, e): windows starting at words s to e of the document whose word sequence starts elsewhere too.
+        rows = settle(keyed(self.corpus).select("text_hash", "text").mapInArrow(run, "kind long, own long, hash long, stretch long, k tinyint"))
+        again = rows.groupBy("kind", "own").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low < high").select("kind", "own")
+        # kept apart from its aggregation, so that Spark can split a hot window's rows in the join
+        return rows.join(settle(again), ["kind", "own"]).groupBy("hash", "stretch").agg(F.bit_or(F.expr("shiftleft(1L, int(k))")).alias("mask"))
 
-    docs must be what the index holds. Suspects are fingerprints that the index counts twice; a Bloom filter of them
-    (2**most_log2_bits bits at most; past that it lets more through) goes to every task, so unsuspected windows are
-    never sent. Suspected windows meet by fingerprint and are equal if offset and a second 64-bit hash of all their words are
-    equal. A fingerprint with over hot occurrences is dealt into salted parts: what repeats inside a part is settled there,
-    and one window of each kind goes on to meet those of the other parts."""
-    spark = docs.sparkSession
-    counts = index.merged()
-    total, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
-    log2 = bloom.log2_bits(twice, most=most_log2_bits)
-    hot = hot or max(HOT_LEAST, total // HOT_SHARE)
-    parts = {r.hash: -(-r.n // hot) for r in counts.where(F.col("n") > hot).collect()}  # fewer than total / hot of them
+    def repeated(self) -> DataFrame:
+        """(hash, stretch, mask): bit k is set if the stretch's k-th window has been met elsewhere too."""
+        if not self.marks:
+            return self.spark.createDataFrame([], MARKS)
+        rows = self.spark.read.schema(MARKS).parquet(*[f"{self.root}/{m}" for m in self.marks])
+        return rows.groupBy("hash", "stretch").agg(F.bit_or("mask").alias("mask"))
 
-    def fill(batches):
-        bits = np.zeros((1 << log2) // 8, np.uint8)
-        for b in batches:
-            bloom.add(bits, b.column(0).to_numpy().view(np.uint64), log2)
-        yield from bloom.segments(bits)
+    def merged(self) -> DataFrame:
+        """All runs as one: (hash, stretch, n, text_hash)."""
+        out = None
+        for name in self.runs:
+            out = self.run(name) if out is None else out.unionByName(self.run(name))
+        return self.spark.createDataFrame([], RUN) if out is None else self._folded(out)
 
-    suspects, _ = bloom.merge(counts.where("n > 1").select("hash").mapInArrow(fill, bloom.SCHEMA), log2)
-    sent = spark.sparkContext.broadcast((suspects.tobytes(), parts))
+    def compact(self) -> None:
+        """Merge the runs into one; the old ones are removed once the new one stands."""
+        if len(self.runs) > 1:
+            old = self.runs
+            self.runs = [self._write(self.merged().repartition(self.buckets, "hash"))]
+            self._forget(old)
+        if len(self.marks) > 1:
+            old, path = self.marks, f"marks_{uuid.uuid4().hex}"
+            self.repeated().write.option("compression", "zstd").parquet(f"{self.root}/{path}")
+            self.marks = [path]
+            for m in old:
+                remove(self.spark, f"{self.root}/{m}")
+
+    def drop(self) -> None:
+        """Remove the index and its folder."""
+        self._forget(self.runs)
+        remove(self.spark, self.root)
+        self.runs, self.marks, self.corpus = [], [], None
+
+
+def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
+    """(text_hash, text_check, spans): for each text with repeated windows, array<struct<a, n, mask>>: n windows start at words a, a + 1
+    ...; that at a + k is repeated if bit k of mask is set.
+
+    A text that a task meets again is not sent again, so masses of copies stay small."""
+    window, gram, marks = index.window, index.gram, index.repeated()
+    keys, log2 = filter_of(joined_keys(marks, "hash", "stretch"), index.most_log2_bits)
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
 
-    def suspected(batches):
+    def run(batches):
         import pyarrow as pa
 
-        bits, salts = np.frombuffer(sent.value[0], np.uint8), sent.value[1]
+        bits = np.frombuffer(sent.value, np.uint8)
         hasher = Hasher(window, gram)
-        place = 0
+        known: set = set()
         for b in small(batches):
-            cols = [[] for _ in range(7)]
-            for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                place += 1
+            held = []
+            for key, check, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (key, check) in known:
+                    continue
+                if len(known) >= 100_000:
+                    known.clear()
+                known.add((key, check))
                 if (got := hasher.anchors(text)) is None:
                     continue
-                h, offset, first, lengths, own = got
-                for i in np.flatnonzero(bloom.holds(bits, h.view(np.uint64), log2)).tolist():
-                    f = int(h[i])
-                    a = int(first[i])
-                    salt = salted(doc, place, a, salts[f]) if f in salts else 0
-                    for c, v in zip(cols, (f, salt, doc, key, a, int(offset[i]), own[a : a + lengths[i]].tobytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["hash", "salt", "doc_id", "text_hash", "a", "offset", "windows"])
-
-    met = raw(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(suspected, "hash long, salt long, doc_id long, text_hash long, a int, offset int, windows binary")
-
-    def judge(batches):
-        """Spans of repeated windows; of salted fingerprints also one window of each kind that is here (its hash in w)."""
-        import pyarrow as pa
+                at = np.flatnonzero(bloom.holds(bits, joint(got.hash, got.stretch), log2))
+                held.append((signed(got.hash[at]), signed(got.stretch[at]), np.full(len(at), key), np.full(len(at), check, np.int32), got.first[at].astype(np.int32), got.count[at].astype(np.int32)))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["hash", "stretch", "text_hash", "text_check", "a", "n"])
+
+    found = keyed(docs).select("text_hash", "text_check", "text").mapInArrow(run, "hash long, stretch long, text_hash long, text_check int, a int, n int")
+    # the marks are settled, so that Spark sees their size and can split a hot stretch's rows in the join
+    return found.join(settle(marks), ["hash", "stretch"]).groupBy("text_hash", "text_check").agg(F.collect_set(F.struct("a", "n", "mask")).alias("spans"))
+
+
+def covered(spans, n: int, window: int) -> np.ndarray:
+    """Which of n words a repeated window covers."""
+    step = np.zeros(n + 1, np.int64)
+    for x in spans:
+        a, mask = x["a"], x["mask"] & ((1 << x["n"]) - 1)
+        while mask:  # runs of set bits
+            lo = (mask & -mask).bit_length() - 1
+            run = mask >> lo
+            length = (~run & (run + 1)).bit_length() - 1
+            step[a + lo] += 1
+            step[a + lo + length + window - 1] -= 1
+            mask &= ~(((1 << length) - 1) << lo)
+    return np.cumsum(step[:-1]) > 0
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: FingerprintIndex | None = None, most_log2_bits: int = 27) -> DataFrame:
+    """Remove every word that a repeated window covers: one whose word sequence also starts elsewhere, in any document here or
+    in the index.
+
+    The documents enter the index in batches (by a hash of doc_id), each merge-joined with what is there; the result is the same for any
+    number of batches. An index that is given keeps the documents, and what it held before counts as text elsewhere: documents that
+    it holds already lose all that their windows cover. Without one, an index of this call's own is removed at the end.
 
-        for t in groups(batches, ["hash", "salt"]):
-            blob = t.column("windows").combine_chunks()
-            blob = blob.chunk(0) if isinstance(blob, pa.ChunkedArray) else blob
-            lengths = (np.diff(np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]) // 8).astype(np.int64)
-            at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset]
-            w = np.frombuffer(blob.buffers()[2], np.uint8)[at : at + 8 * int(lengths.sum())].view(np.uint64)
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            k = np.arange(len(w)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            h, salt, a, off = (t.column(c).to_numpy() for c in ("hash", "salt", "a", "offset"))
-            keys = (w, off[row].astype(np.int64) - k, salt[row], h[row])
-            order = np.lexsort(keys)
-            same = np.ones(max(0, len(order) - 1), bool)
-            for x in keys:
-                s = x[order]
-                same &= s[1:] == s[:-1]
-            mark = np.zeros(len(w), bool)
-            mark[order[1:][same]] = True
-            mark[order[:-1][same]] = True
-            edge = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
-            begins = np.flatnonzero(mark & (edge | ~np.concatenate(([False], mark[:-1]))))
-            ends = np.flatnonzero(mark & np.concatenate((edge[1:] | ~mark[1:], [True]))) if len(row) else begins
-            # of salted parts: every single window, and one of each repeated kind, to be met by other parts' single ones
-            one = begins[:0]
-            if parts:
-                fresh = np.concatenate(([True], ~same)) if len(order) else same
-                one = order[fresh]
-                one = one[salt[row[one]] > 0]
-            doc, key = t.column("doc_id").to_numpy(zero_copy_only=False), t.column("text_hash").to_numpy()
-            at, rows = np.concatenate((begins, one)), row[np.concatenate((begins, one))]
-            n = len(begins)
-            first = a[rows] + k[at]
-            last = np.concatenate((a[row[ends]] + k[ends], first[n:]))
-            none = np.concatenate((np.ones(n, bool), np.zeros(len(one), bool)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(key[rows]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(h[rows], mask=none), pa.array((off[rows] - k[at]).astype(np.int32), mask=none), pa.array(w[at].view(np.int64), mask=none)], names=["doc_id", "text_hash", "s", "e", "hash", "offset", "w"])
-
-    spans = met.repartition("hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(judge, "doc_id long, text_hash long, s int, e int, hash long, offset int, w long")
-    if not parts:
-        return spans.select("doc_id", "text_hash", "s", "e")
-    spans = settle(spans)
-    kinds = spans.where("w is not null")
-    key = ["hash", "offset", "w"]
-    again = kinds.groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")  # in two parts or more
-    return spans.where("w is null").select("doc_id", "text_hash", "s", "e").unionByName(kinds.join(again, key).select("doc_id", "text_hash", "s", "e"))
-
-
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2, index: FingerprintIndex | None = None, **options) -> DataFrame:
-    """Remove every word that a repeated window covers: one whose word sequence also starts elsewhere, in any document.
-
-    The documents enter the index in batches (by a hash of doc_id); each becomes a run, and the runs are compacted at the end.
     Returns one row for each row of docs: doc_id, n_words, n_removed, kept (the words that stay, with one space between).
-    Windows are judged on the texts as they come. Null and empty texts have no words; rows of one doc_id are documents
-    of their own, so copies remove each other. Texts shorter than a window stay."""
-    index = index or FingerprintIndex(docs.sparkSession)
+    Windows are judged on the texts as they come. Null and empty texts have no words; rows of one doc_id, also null, are documents
+    of their own, so copies remove each other. Texts shorter than a window stay. An empty table gives no rows; columns other than doc_id and text are ignored.
+    Texts, stretches and windows are equal if their hashes (96, 128 and 128 bits) are."""
+    spark = docs.sparkSession
+    own = index is None
+    index = index or FingerprintIndex(spark, window=window, gram=gram, most_log2_bits=most_log2_bits)
+    window = index.window
     for k in range(batches):
-        index.add(window_fingerprints(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), window, gram))
+        index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) if batches > 1 else docs)
     index.compact()
-    spans = repeated_spans(docs, index, window, gram, **options).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = settle(repeated_spans(docs, index))
+    if own:
+        index.drop()
+    held, log2 = filter_of(spans.select("text_hash"), most_log2_bits)
+    sent = spark.sparkContext.broadcast(held)
 
     def rewrite(stream):
         import pyarrow as pa
@@ -261,16 +390,24 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
                 words = text.split()
                 n = len(words)
                 if spans:
-                    step = np.zeros(n + 1, np.int64)
-                    for x in spans:
-                        step[x["s"]] += 1
-                        step[min(n, x["e"] + window)] -= 1
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
+                    words = [words[i] for i in np.flatnonzero(~covered(spans, n, window)).tolist()]
                 out.append((n, n - len(words), b" ".join(words)))
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    source = raw(docs).withColumn("text_hash", F.xxhash64("text"))
-    spans = spans.withColumnRenamed("doc_id", "d").hint("shuffle_hash")
-    both = source.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (source.text_hash == spans.text_hash), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    def touched(yes: bool):
+        def run(stream):
+            import pyarrow as pa
+
+            bits = np.frombuffer(sent.value, np.uint8)
+            for b in small(stream):
+                flags = bloom.holds(bits, b.column(1).to_numpy().view(np.uint64), log2)
+                yield b.filter(pa.array(flags if yes else ~flags))
+
+        return run
+
+    source = keyed(docs)
+    # only texts that may have a repeated window are sent to meet their spans
+    left = source.mapInArrow(touched(False), source.schema).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    sent_on = source.mapInArrow(touched(True), source.schema).join(spans, ["text_hash", "text_check"], "left").select("doc_id", "text", "spans")
+    return left.unionByName(sent_on).mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))

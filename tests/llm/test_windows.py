@@ -6,20 +6,21 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import ODD
+from pyspark.sql import functions as F
 from test_copies import SPACE, words
 
 from recollect.llm import quality, rules
-from recollect.llm.windows import FingerprintIndex, substring_dedup, window_fingerprints
+from recollect.llm.windows import FingerprintIndex, covered, stretches, substring_dedup
 
 
-def brute_windows(rows, w):
+def brute_windows(rows, w, key=None):
     texts = [words(t or "") for _, t in rows]
     seen = Counter(tuple(t[i : i + w]) for t in texts for i in range(len(t) - w + 1))
     out = []
     for (i, _), t in zip(rows, texts, strict=True):
         gone = {k for j in range(len(t) - w + 1) if seen[tuple(t[j : j + w])] > 1 for k in range(j, j + w)}
         out.append((i, len(t), len(gone), " ".join(x for k, x in enumerate(t) if k not in gone)))
-    return sorted(out)
+    return sorted(out, key=key)
 
 
 def passages(seed, n, w, shared=5):
@@ -42,29 +43,59 @@ def test_windows(table, rows):
     assert sorted(map(tuple, substring_dedup(table(rows)).collect())) == brute_windows(rows, 35)
 
 
-@pytest.mark.parametrize("hot", [None, 2, 7])
-def test_small_windows_and_hot_fingerprints(table, hot):
+@pytest.mark.parametrize("batches", [1, 3])
+def test_small_windows(table, batches):
     rows = passages(2, 200, 6)
-    got = substring_dedup(table(rows), window=6, gram=3, batches=3, hot=hot, most_log2_bits=17)
+    got = substring_dedup(table(rows), window=6, gram=3, batches=batches, most_log2_bits=17)
     assert sorted(map(tuple, got.collect())) == brute_windows(rows, 6)
 
 
-def test_index(spark, table):
-    rows = passages(3, 90, 35)
+def test_batches_meet_history(spark, table):
+    """Each batch loses what it shares with itself and with all batches before it; in the end the index knows what one batch would show."""
+    rows = passages(3, 120, 35) + [(200, " ".join(f"h{i}" for i in range(60)))]
     index = FingerprintIndex(spark, most_runs=2)
-    parts = [window_fingerprints(table(rows[k::3])) for k in range(3)]
-    index.add(parts[0])
-    both = {r.hash: (r.n, r.m) for r in index.seen(parts[1]).collect()}
-    a, b = ({r.hash: r.n for r in p.collect()} for p in parts[:2])
-    assert both == {h: (b[h], a[h]) for h in a.keys() & b.keys()}
-    old = list(index.runs)
-    index.add(parts[1])
-    assert index.runs[:1] == old
-    index.add(parts[2])
-    assert len(index.runs) == 1
-    assert {r.hash: r.n for r in index.merged().collect()} == {r.hash: r.n for r in window_fingerprints(table(rows)).collect()}
-    again = FingerprintIndex(spark, index.root, index.runs)
-    assert again.merged().count() == index.merged().count()
+    for k in range(4):
+        past, now = [r for j in range(k) for r in rows[j::4]], rows[k::4]
+        got = substring_dedup(table(now), batches=1, index=index)
+        ids = [i for i, _ in now]
+        assert sorted(map(tuple, got.collect())) == [r for r in brute_windows(past + now, 35) if r[0] in ids]
+    whole = {(r.hash, r.stretch): r.n for r in stretches(table(rows)).groupBy("hash", "stretch").agg(F.sum("n").alias("n")).collect()}
+    assert {(r.hash, r.stretch): r.n for r in index.merged().collect()} == whole
+    assert len(index.runs) == 1 and len(index.marks) == 1
+    # nothing but history: all that windows cover goes, and so it does in another session
+    again = FingerprintIndex(spark, index.root, index.runs, index.marks, index.corpus, index.buckets)
+    got = substring_dedup(table([(900, rows[-1][1]), (901, "h1 h2 h3")]), index=again).collect()
+    assert sorted(map(tuple, got)) == [(900, 60, 60, ""), (901, 3, 0, "h1 h2 h3")]
+
+
+def test_runs_are_sorted_merged_and_removed(spark, table):
+    import os
+
+    index = FingerprintIndex(spark, window=6, gram=3)
+    rows = passages(5, 60, 6)
+    for k in range(3):
+        index.add(table(rows[k::3]))
+    plan = index.met(index.runs[-1])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    root, old = index.root.removeprefix("file:"), list(index.runs)
+    assert all(os.path.isdir(f"{root}/{r}") for r in old)
+    index.compact()
+    assert sorted(os.listdir(root)) == sorted(index.runs + index.marks) and not set(old) & set(index.runs)
+    index.drop()
+    assert not os.path.exists(root)
+
+
+def test_masses_of_one_text_and_of_one_passage(table):
+    common = " ".join(f"m{i}" for i in range(60))
+    rows = [(i, common) for i in range(60)] + [(100 + i, f"a{i} b{i} {common} c{i} d{i}") for i in range(60)] + [(300, " ".join(f"o{i}" for i in range(50)))]
+    rows += [(None, common), (None, "x " * 40), (7, "y " + common)]
+    assert sorted(map(str, map(tuple, substring_dedup(table(rows)).collect()))) == sorted(map(str, brute_windows(rows, 35, key=str)))
+
+
+def test_spans_cover():
+    spans = [{"a": 2, "n": 3, "mask": -1}, {"a": 9, "n": 4, "mask": 0b1011}]
+    want = {k for a in (2, 3, 4, 9, 10, 12) for k in range(a, a + 5)}
+    assert set(np.flatnonzero(covered(spans, 30, 5)).tolist()) == want
 
 
 def brute_rules(t):
