@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import U64, mix
+from .common import U64, mix, small
 
 SEGMENT = 1 << 14
 HASHES = 4
@@ -89,3 +89,37 @@ def merge(parts: DataFrame, log2: int) -> tuple[np.ndarray, np.ndarray]:
         once[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.once, np.uint8)
         twice[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.twice, np.uint8)
     return once, twice
+
+
+def of(keys: DataFrame, most: int = 27) -> tuple[bytes, int]:
+    """A filter of 64-bit keys (the one column), and the logarithm of its bits, 2**most at most."""
+    log2 = log2_bits(keys.count(), most=most)
+
+    def fill(batches):
+        bits = np.zeros((1 << log2) // 8, np.uint8)
+        for b in batches:
+            add(bits, b.column(0).to_numpy().view(np.uint64), log2)
+        yield from segments(bits)
+
+    return merge(keys.mapInArrow(fill, SCHEMA), log2)[0].tobytes(), log2
+
+
+def halves(rows: DataFrame, keys: DataFrame, most: int = 27) -> tuple[DataFrame, DataFrame]:
+    """rows, whose first column is a 64-bit key, in two: those whose key is surely not in keys, and the others.
+
+    Only the others need to be sent to meet what belongs to their keys."""
+    held, log2 = of(keys, most)
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+
+    def pick(yes: bool):
+        def run(batches):
+            import pyarrow as pa
+
+            bits = np.frombuffer(sent.value, np.uint8)
+            for b in small(batches):
+                flags = holds(bits, b.column(0).to_numpy().view(np.uint64), log2)
+                yield b.filter(pa.array(flags if yes else ~flags))
+
+        return run
+
+    return rows.mapInArrow(pick(False), rows.schema), rows.mapInArrow(pick(True), rows.schema)

@@ -133,19 +133,6 @@ def stretches(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     return keyed(docs).select("text_hash", "text").mapInArrow(run, RUN)
 
 
-def filter_of(keys: DataFrame, most_log2_bits: int) -> tuple[bytes, int]:
-    """A Bloom filter of 64-bit keys (the one column), and the logarithm of its bits."""
-    log2 = bloom.log2_bits(keys.count(), most=most_log2_bits)
-
-    def fill(batches):
-        bits = np.zeros((1 << log2) // 8, np.uint8)
-        for b in batches:
-            bloom.add(bits, b.column(0).to_numpy().view(np.uint64), log2)
-        yield from bloom.segments(bits)
-
-    return bloom.merge(keys.mapInArrow(fill, bloom.SCHEMA), log2)[0].tobytes(), log2
-
-
 def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One key from two 64-bit numbers, for filters."""
     return mix(a.view(np.uint64) + mix(b.view(np.uint64)))
@@ -235,8 +222,8 @@ class FingerprintIndex:
         if not wanted.head(1):
             return self.spark.createDataFrame([], MARKS)
         window, gram = self.window, self.gram
-        texts, texts_log2 = filter_of(wanted.select("text_hash").distinct(), self.most_log2_bits)
-        keys, keys_log2 = filter_of(joined_keys(wanted, "hash", "stretch", "text_hash"), self.most_log2_bits)
+        texts, texts_log2 = bloom.of(wanted.select("text_hash").distinct(), self.most_log2_bits)
+        keys, keys_log2 = bloom.of(joined_keys(wanted, "hash", "stretch", "text_hash"), self.most_log2_bits)
         sent = self.spark.sparkContext.broadcast((texts, keys))
 
         def run(batches):
@@ -312,7 +299,7 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
 
     A text that a task meets again is not sent again, so masses of copies stay small."""
     window, gram, marks = index.window, index.gram, index.repeated()
-    keys, log2 = filter_of(joined_keys(marks, "hash", "stretch"), index.most_log2_bits)
+    keys, log2 = bloom.of(joined_keys(marks, "hash", "stretch"), index.most_log2_bits)
     sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches):
@@ -368,9 +355,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     Windows are judged on the texts as they come. Null and empty texts have no words; rows of one doc_id, also null, are documents
     of their own, so copies remove each other. Texts shorter than a window stay. An empty table gives no rows; columns other than doc_id and text are ignored.
     Texts, stretches and windows are equal if their hashes (96, 128 and 128 bits) are."""
-    spark = docs.sparkSession
     own = index is None
-    index = index or FingerprintIndex(spark, window=window, gram=gram, most_log2_bits=most_log2_bits)
+    index = index or FingerprintIndex(docs.sparkSession, window=window, gram=gram, most_log2_bits=most_log2_bits)
     window = index.window
     for k in range(batches):
         index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k) if batches > 1 else docs)
@@ -378,8 +364,6 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     spans = settle(repeated_spans(docs, index))
     if own:
         index.drop()
-    held, log2 = filter_of(spans.select("text_hash"), most_log2_bits)
-    sent = spark.sparkContext.broadcast(held)
 
     def rewrite(stream):
         import pyarrow as pa
@@ -395,19 +379,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    def touched(yes: bool):
-        def run(stream):
-            import pyarrow as pa
-
-            bits = np.frombuffer(sent.value, np.uint8)
-            for b in small(stream):
-                flags = bloom.holds(bits, b.column(1).to_numpy().view(np.uint64), log2)
-                yield b.filter(pa.array(flags if yes else ~flags))
-
-        return run
-
-    source = keyed(docs)
     # only texts that may have a repeated window are sent to meet their spans
-    left = source.mapInArrow(touched(False), source.schema).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    sent_on = source.mapInArrow(touched(True), source.schema).join(spans, ["text_hash", "text_check"], "left").select("doc_id", "text", "spans")
-    return left.unionByName(sent_on).mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    untouched, touched = bloom.halves(keyed(docs).select("text_hash", "text_check", "doc_id", "text"), spans.select("text_hash"), most_log2_bits)
+    untouched = untouched.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    touched = touched.join(spans, ["text_hash", "text_check"], "left").select("doc_id", "text", "spans")
+    return untouched.unionByName(touched).mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
