@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from . import bloom
 from .common import SPACES, raw, settle, small
@@ -29,14 +30,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
     A first scan enters each document's keys into a once-seen and a twice-seen Bloom filter (2**most_log2_bits
     bits at most, so what is broadcast is bounded; past that more keys are suspected and the result is the same).
     A second scan sends only keys that the twice-seen filter holds into a shuffle, pre-aggregated to the smallest
-    and largest doc_id of each key, which confirms repeats on the key itself. keys_expected sizes the filters;
-    unset, the documents' bytes do.
+    and largest doc_id of each key, which confirms repeats on the key itself. What comes back to a text is the numbers of its lines that go; only
+    texts that lose some are sent to meet them. keys_expected sizes the filters; unset, the documents' bytes do.
 
-    Returns one row for each row of docs: doc_id, n_lines, n_dropped, kept (the text that stays) and the columns in carry. Null or empty
-    text is one empty line. Rows of one doc_id count as one document; a null doc_id sorts before all others."""
+    Returns one row for each row of docs: doc_id, n_lines, n_dropped, kept (the text that stays) and the columns in carry, whatever their names.
+    Null or empty text is one empty line. Rows of one doc_id count as one document, so copies under one doc_id lose nothing to each other;
+    null doc_ids count as one document that comes before all others. An empty table gives no rows; texts may be of any length."""
     spark = docs.sparkSession
-    source_id = lambda c: F.coalesce(c, F.lit(-(2**63)))  # noqa: E731  nulls must group and join
-    source = raw(docs).withColumn("doc_id", source_id("doc_id"))
+    source = raw(docs)
     if keys_expected is None:
         n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
         keys_expected = n + size // 100
@@ -61,38 +62,52 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
 
         bits = np.frombuffer(sent.value, np.uint8)
         for b in small(batches):
-            ids, found = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, rows, found, at = [], [], [], []
+            for doc, row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 keys = list(keys_of(text, min_chars))
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-                for i in np.flatnonzero(bloom.holds(bits, h, log2)):
+                own = {keys[i]: [] for i in np.flatnonzero(bloom.holds(bits, h, log2)).tolist()}
+                if own:
+                    for i, line in enumerate(text.split(b"\n")):
+                        if (k := key_of(line)) in own:
+                            own[k].append(i)
+                for k, places in own.items():
                     ids.append(doc)
-                    found.append(keys[i])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "key"])
-
-    suspected = settle(source.mapInArrow(suspects, "doc_id long, key binary"))
+                    rows.append(row)
+                    found.append(k)
+                    at.append(places)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(found, pa.binary()), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "row", "key", "at"])
+
+    # a row's key: line numbers are the same in rows of one doc_id and text
+    row = F.xxhash64("doc_id", "text").alias("row")
+    place = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))  # nulls first
+    suspected = settle(source.select("doc_id", row, "text").mapInArrow(suspects, "doc_id long, row long, key binary, at array<int>"))
     # kept apart from its aggregation, so that Spark can split a hot key's rows in the join
-    repeated = settle(suspected.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"))
-    drops = suspected.join(repeated, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    repeated = settle(suspected.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first"))
+    gone = suspected.join(repeated, "key").where(place > F.col("first"))
+    drops = settle(gone.groupBy("row").agg(F.flatten(F.collect_set("at")).alias("gone")))
 
     def rewrite(batches):
         import pyarrow as pa
 
         for b in small(batches):
             out = []
-            for text, keys in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 lines = text.split(b"\n")
-                if keys:
-                    gone = set(keys)
-                    kept = [x for x in lines if key_of(x) not in gone]
-                    out.append((len(lines), len(lines) - len(kept), b"\n".join(kept)))
-                else:
-                    out.append((len(lines), 0, text))
-            n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()), *b.columns[3:]], names=["doc_id", "n_lines", "n_dropped", "kept", *b.schema.names[3:]])
-
-    rows = raw(docs, *carry)
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
-    both = rows.withColumn("doc_id", source_id("doc_id")).join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "keys", *carry)
-    out = both.mapInArrow(rewrite, f"doc_id long, n_lines long, n_dropped long, kept binary{more}")
-    return out.select(F.expr("nullif(doc_id, -9223372036854775808)").alias("doc_id"), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"), *carry)
+                n = len(lines)
+                if gone:
+                    away = set(gone)
+                    lines = [x for i, x in enumerate(lines) if i not in away]
+                    text = b"\n".join(lines)
+                out.append((n, n - len(lines), text))
+            n, dropped, kept = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()), b.column(3)], names=["doc_id", "n_lines", "n_dropped", "kept", "carried"])
+
+    more = [c for c in carry if c not in ("doc_id", "text")]
+    rows = docs.select(F.struct(F.lit(0).alias("doc_id"), *more).alias("carried"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    whole, losing = bloom.halves(rows.select(row, "doc_id", "text", "carried"), drops.select("row"))
+    none = F.lit(None).cast("array<int>").alias("gone")
+    both = whole.select("doc_id", "text", none, "carried").unionByName(losing.join(drops, "row", "left").select("doc_id", "text", "gone", "carried"))
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", BinaryType()), both.schema["carried"]])
+    out = both.mapInArrow(rewrite, schema)
+    return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"), *[F.col("carried")[c].alias(c) for c in more])
