@@ -64,10 +64,11 @@ t AS (SELECT w.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
     length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS capitals, (length(text) - length(replace(text, '!!', ''))) // 2 AS bangs,
+    length(text) - length(regexp_replace(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}\p{{Tibetan}}\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS unspaced,
     len(string_split(text, chr(10))) AS n_lines, len(list_distinct(w)) AS n_distinct FROM w LEFT JOIN c ON c.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT (base_failed OR n_symbols * 20 > word_chars OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR n_dup_lines * 10 > n_lines * 4
-         OR capitals * 2 > word_chars OR bangs * 4 > n_words OR (n_words >= 50 AND n_distinct * 10 < n_words AND n_words < 5000)) AS kept
+    NOT (base_failed OR n_symbols * 20 > word_chars OR (word_chars > 20 * n_words AND unspaced * 5 < word_chars) OR word_chars < 2 * n_words OR n_dup_lines * 10 > n_lines * 4
+         OR capitals * 2 > word_chars OR bangs * 4 > n_words OR (n_words >= 50 AND n_distinct * 10 < n_words AND n_distinct * n_distinct < 50 * n_words)) AS kept
 FROM b
 """

@@ -75,30 +75,31 @@ BASE_RULES = [
     Rule("few_words", lambda m: m.of("n_words") < 10),
     Rule("repeated_words", lambda m: 100 * m.of("n_repeat_words") > 20 * m.of("n_words")),
 ]
-#: Signs of boilerplate and noise, as the SQL of op10 has them: for scripts with spaces, and few_distinct_words for up to 4,999 words.
-SQL_RULES = [
-    Rule("symbols", lambda m: m.of("n_symbols") * 20 > m.of("word_chars")),
-    Rule("word_length", lambda m: (m.of("word_chars") > 20 * m.of("n_words")) | (m.of("word_chars") < 2 * m.of("n_words"))),
-    Rule("duplicate_lines", lambda m: m.of("n_dup_lines") * 10 > F.size(F.split(m.text, "\n")) * 4),
-    Rule("capitals", lambda m: F.regexp_count(m.text, F.lit(r"\p{Lu}")) * 2 > m.of("word_chars")),
-    Rule("shouting", lambda m: F.regexp_count(m.text, F.lit("!!")) * 4 > m.of("n_words")),
-    Rule("few_distinct_words", lambda m: m.of("n_words").between(50, 4999) & (F.size(F.array_distinct(m.words)) * 10 < m.of("n_words"))),
-]
 #: Characters of scripts that write no spaces between words, with their punctuation and wide forms.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}]"
 
 
-def distinct(m: Measures) -> Column:
-    return F.size(F.array_distinct(m.words)).cast("long")
+def too_long(m: Measures) -> Column:
+    """Words of over 20 characters on average, unless a fifth of the characters are of scripts without spaces."""
+    return (m.of("word_chars") > 20 * m.of("n_words")) & (F.regexp_count(m.text, F.lit(UNSPACED)) * 5 < m.of("word_chars"))
 
 
-#: The same for all lengths and scripts: words are too long only where under a fifth of the characters are of unspaced scripts, and
-#: distinct words are held against a tenth of all words and, from 5,000 words on, against the root of 50 times their number (vocabulary grows about so).
-WHOLE_RULES = {
-    "word_length": Rule("word_length", lambda m: ((m.of("word_chars") > 20 * m.of("n_words")) & (F.regexp_count(m.text, F.lit(UNSPACED)) * 5 < m.of("word_chars"))) | (m.of("word_chars") < 2 * m.of("n_words"))),
-    "few_distinct_words": Rule("few_distinct_words", lambda m: (m.of("n_words") >= 50) & let(distinct(m), lambda d: (d * 10 < m.of("n_words")) & (d * d < 50 * m.of("n_words")))),
-}
-MORE_RULES = [WHOLE_RULES.get(r.name, r) for r in SQL_RULES]
+def few_distinct(m: Measures) -> Column:
+    """Distinct words are held against a tenth of all words and against the root of 50 times their number, which is less from 5,000 words on:
+    vocabulary grows about as the root of a text's length."""
+    d = F.size(F.array_distinct(m.words)).cast("long")
+    return (m.of("n_words") >= 50) & let(d, lambda d: (d * 10 < m.of("n_words")) & (d * d < 50 * m.of("n_words")))
+
+
+#: Signs of boilerplate and noise, for texts of any length and script.
+MORE_RULES = [
+    Rule("symbols", lambda m: m.of("n_symbols") * 20 > m.of("word_chars")),
+    Rule("word_length", lambda m: too_long(m) | (m.of("word_chars") < 2 * m.of("n_words"))),
+    Rule("duplicate_lines", lambda m: m.of("n_dup_lines") * 10 > F.size(F.split(m.text, "\n")) * 4),
+    Rule("capitals", lambda m: F.regexp_count(m.text, F.lit(r"\p{Lu}")) * 2 > m.of("word_chars")),
+    Rule("shouting", lambda m: F.regexp_count(m.text, F.lit("!!")) * 4 > m.of("n_words")),
+    Rule("few_distinct_words", few_distinct),
+]
 
 
 def whole(text: Column) -> Column:
@@ -133,34 +134,52 @@ def judged(text: Column, cascade: list[Rule], counts: bool) -> Column:
     return let(whole(text), lambda t: let(words(t), lambda w: of(t, w)))
 
 
-def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 400) -> list[Rule]:
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """The rows of the least hashes: an even sample of the whole table, read once, at most rows of which leave a task."""
+    return settle(docs.select("text").orderBy(F.xxhash64("doc_id", "text")).limit(rows))
+
+
+def ordered(docs: DataFrame, rules: list[Rule], sample_rows: int = 1000, clear: float = 0.1) -> list[Rule]:
     """The rules by rejections per second, as a sample of sample_rows rows shows them; ties by name.
 
-    The sample decides the order alone, never a verdict: a cascade rejects the same documents in any order."""
-    sample = settle(docs.select("text").limit(sample_rows))
+    A rule's time is the least of three runs less that of the same job without a rule; the sample is read over and over in
+    one job until that is clear seconds at least. The sample decides the order alone, never a verdict: a cascade rejects the same documents in any order."""
+    sample = sampled(docs, sample_rows)
+    if sample.isEmpty():
+        return sorted(rules, key=lambda r: r.name)
 
-    def seconds(cascade: list[Rule]) -> tuple[float, int]:
+    def seconds(cascade: list[Rule], times: int) -> tuple[float, int]:
+        rows = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("time"))
         began = time.perf_counter()
-        n = sample.select(judged(F.col("text"), cascade, False)["rejected_by"].alias("r")).agg(F.count("r")).first()[0]
-        return time.perf_counter() - began, n
+        n = rows.select(judged(F.col("text"), cascade, False)["rejected_by"].alias("r")).agg(F.count("r")).first()[0]
+        return time.perf_counter() - began, n // times
+
+    def least(cascade: list[Rule], times: int) -> tuple[float, int]:
+        return min(seconds(cascade, times) for _ in range(3))
 
-    seconds([])
-    idle = seconds([])[0]
+    idle = least([], 1)[0]
     worth = {}
     for r in rules:
-        s, n = seconds([r])
-        worth[r.name] = n / max(s - idle, 1e-3)
+        times = 1
+        s, n = least([r], times)
+        while s - idle < clear and times < 256:
+            times *= 4
+            s, n = least([r], times)
+        worth[r.name] = n * times / max(s - idle, 1e-9)
     return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
-def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 400, counts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 1000, counts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Judge each document by a cascade of rules, the one that rejects most per second first; later rules run
     only on what earlier ones passed.
 
     Returns one row for each row of docs: doc_id, the five counts and base_failed (fewer than 10 words, or over 20 %
     of the words in repeated 5-word windows), unless counts is false, kept, rejected_by (the first rule in the cascade's
-    order that rejects; null if kept) and the columns in carry. Null and empty texts have no words and fail."""
+    order that rejects; null if kept) and the columns in carry, whatever their names. Null and empty texts have no words and fail; a null doc_id
+    stays null; repeated rows are judged alike; an empty table gives no rows; texts of any length are judged whole, by the same rules.
+    Which of several rules that reject a document is named depends on measured times; kept does not."""
     cascade = ordered(docs, BASE_RULES + (MORE_RULES if rules is None else rules), sample_rows)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), cascade, counts).alias("_j"), *[F.col(c) for c in carry if c != "doc_id"])
+    more = [c for c in carry if c != "doc_id"]
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), judged(F.col("text"), cascade, counts).alias("verdict"), F.struct(F.lit(0).alias("doc_id"), *more).alias("carried"))
     fields = [*COUNTS, "base_failed", "rejected_by"] if counts else ["rejected_by"]
-    return out.select("doc_id", *[F.col(f"_j.{f}").alias(f) for f in fields], F.col("_j.rejected_by").isNull().alias("kept"), *[c for c in carry if c != "doc_id"])
+    return out.select("doc_id", *[F.col("verdict")[f].alias(f) for f in fields], F.col("verdict")["rejected_by"].isNull().alias("kept"), *[F.col("carried")[c].alias(c) for c in more])
