@@ -10,16 +10,17 @@ from .common import small, texts
 
 #: Base kinds in their order; the method's own kinds come after them.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
+LOWER = {c: c + 32 for c in range(65, 91)}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"""://[^\x00-\x20"'<>\\^`{|}]+""")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+SCHEME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
-ACCOUNT = re.compile(r"""(?:\x20?(?:number|no\.?|nr\.?|id))?[\x20:=#"'.-]{1,4}([0-9A-Z](?:[\x20-]?[0-9A-Z]){5,29})""")
-#: Words that announce an account or identity number; in lower case, capitals and capitalised.
+ACCOUNT = re.compile(r"""(?:\x20?(?i:number|no\.?|nr\.?|id))?[\x20:=#"'.-]{1,4}([0-9A-Z](?:[\x20-]?[0-9A-Z]){5,29})""")
+#: Words that announce an account or identity number, in any case.
 CUES = ("account", "acct", "iban", "ssn", "passport", "routing")
 
 
@@ -45,18 +46,19 @@ def automaton():
         a.add_word(anchor, anchor if anchor in "@+" else "0")
     a.add_word("://", "/")
     for cue in CUES:
-        for form in (cue, cue.upper(), cue.capitalize()):
-            a.add_word(form, "c")
+        a.add_word(cue, "c")
     a.make_automaton()
     return a
 
 
 def find(text: str, anchors) -> list[tuple[int, int, int]]:
-    """(start, place in KINDS, end), sorted. Of the base kinds exactly the leftmost non-overlapping matches that pass."""
+    """(start, place in KINDS, end), sorted. Of the base kinds exactly the leftmost non-overlapping matches that pass.
+
+    The automaton runs over the text in ASCII lower case, so that a cue is found however it is written."""
     out = []
     n = len(text)
     mail = dotted = spaced = phone = url = account = 0  # where the next match of each may start
-    for i, kind in anchors.iter(text):
+    for i, kind in anchors.iter(text.translate(LOWER)):
         if kind == "0":
             # a digit after a digit (card: also after one space or hyphen and a digit) belongs to a run already expanded
             if i >= dotted:
@@ -90,13 +92,17 @@ def find(text: str, anchors) -> list[tuple[int, int, int]]:
                 if 9 <= sum(map(str.isdigit, m[0])) <= 15:
                     out.append((i, 3, phone))
         elif kind == "/":
-            start = i - 2
-            s = SCHEME.search(text, max(url, start - 12), start)
+            start = scheme = i - 2
+            while scheme > url and text[scheme - 1] in SCHEME_CHARS:
+                scheme -= 1
+            while scheme < start and not (text[scheme].isascii() and text[scheme].isalpha()):
+                scheme += 1  # a scheme starts with a letter
             m = URL.match(text, start)
-            if s and m:
-                url = start + len(m[0].rstrip(".,;:!?)]"))
-                if url > start + 3:
-                    out.append((s.start(), 4, url))
+            if scheme < start and m:
+                end = start + len(m[0].rstrip(".,;:!?)]"))
+                if end > start + 3:
+                    url = end
+                    out.append((scheme, 4, url))
         elif i >= account:
             m = ACCOUNT.match(text, i + 1)
             if m:
@@ -120,7 +126,8 @@ def personal_data(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     The base kinds email, ip, card and phone are as fixed patterns define them, leftmost non-overlapping each, a match
     that fails its check being dropped; url (a scheme and what follows) and account (a number after a cue; IBANs with their check
     digits) are added. Returns one row for each row of docs: doc_id, spans as array<struct<start, kind, end>> in code points,
-    end exclusive, kind a name in KINDS, by start, then by the order of KINDS. Null and empty texts have none."""
+    end exclusive, kind a name in KINDS, by start, then by the order of KINDS. Null and empty texts have none; repeated rows each get
+    their own; an empty table gives no rows; texts of any length are read whole."""
     source = texts(docs, *carry)
     schema = "doc_id long, spans array<struct<start: int, kind: string, end: int>>" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
 
