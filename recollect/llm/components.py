@@ -13,7 +13,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     to another node and a smaller node in its component.
 
     Large-star ties each node's larger neighbours to its smallest neighbour; small-star does so with the smaller
-    ones. Rounds needed grow with the logarithm of the nodes; each is checkpointed. Raises if max_rounds is not enough."""
+    ones. Rounds needed grow with the logarithm of the nodes; each is checkpointed, and so is each list of smallest neighbours, apart from
+    the edges it came from, so that Spark can split the edges of a hub in the joins. Raises if max_rounds is not enough."""
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())  # a > b
     mark = None
     for _ in range(max_rounds):
@@ -22,9 +23,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        e = both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        low = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        e = settle(both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = settle(e.groupBy("a").agg(F.min("b").alias("m")))
         e = e.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         e = settle(e)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -93,7 +93,8 @@ def links(fps: DataFrame, distance: int = 3, chunk: int = CHUNK, per_node: float
     n = fps.count()
     every = masks(n, distance, per_node)
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(every)])).alias("x")).select("x.t", "x.k", "fp")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    # kept apart from their aggregation, so that Spark can split a hot key's rows in the join
+    sizes = settle(keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(sizes, ["t", "k"]).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
     met = met.withColumn("c", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     # chunk c meets every other chunk; alone, it meets itself
@@ -132,10 +133,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
 
     Documents with equal fingerprints, or fingerprints at most distance bits apart, are linked. Copies fold into one
     fingerprint before any pairing. Null, empty and blank texts have fingerprint 0 and link like any other. Null
-    doc_ids take part in links but never become a component_id while another doc_id can be it."""
+    doc_ids take part in links but never become a component_id while another doc_id can be it. Repeated rows each get their row;
+    an empty table gives no rows; texts of any length count whole; columns other than doc_id and text are ignored."""
     prints = settle(fingerprints(docs, shingle))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes.select("fp"), distance))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rooted = settle(rooted)
+    low = settle(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
+    # settled, so that Spark can split the rows of a text that is copied without end
+    ids = settle(rooted.join(low, "root").select("fp", "component_id"))
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
