@@ -10,8 +10,9 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import U64, mix, raw, small
+from .common import U64, mix, small
 
 #: Pre-tokens that a task remembers at most; past it the memory starts anew.
 MEMO = 300_000
@@ -147,18 +148,20 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: tuple[str, ...]
     each match of pattern apart, without special tokens; then decode the ids.
 
     Returns one row for each row of docs: doc_id, n_tokens, the outputs asked for of ids (array<int>), decoded (binary),
-    ids_sha256 (of little-endian unsigned 32-bit integers) and decoded_sha256, and the columns in carry. Null and
-    empty texts have no tokens. The ids of one text are in memory at a time, and at most MEMO pre-tokens."""
+    ids_sha256 (of little-endian unsigned 32-bit integers) and decoded_sha256, and the columns in carry, whatever their names. Null and
+    empty texts have no tokens; null doc_ids and repeated rows each get their row; an empty table gives no rows. The ids of one text, of any
+    length, are in memory at a time, and at most MEMO pre-tokens."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     tokens = read_ranks(vocabulary)
     table = PerfectHash.build(tokens)
     sent = spark.sparkContext.broadcast((tokens, table.n, table.seeds, table.slots))
-    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("binary", pa.binary()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
-    source = raw(docs, *carry).withColumn("text", F.col("text").cast("string"))
-    n_carry = len(carry)
-    schema = "doc_id long, n_tokens long, " + "".join(f"{o} {kinds[o][0]}, " for o in outputs) + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+    kinds = {"ids": (ArrayType(IntegerType()), pa.list_(pa.int32())), "decoded": (BinaryType(), pa.binary()), "ids_sha256": (StringType(), pa.string()), "decoded_sha256": (StringType(), pa.string())}
+    arrow = {o: kinds[o][1] for o in outputs}
+    more = [c for c in carry if c != "doc_id"]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("doc_id"), *more).alias("carried"))
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()), *(StructField(o, kinds[o][0]) for o in outputs), source.schema["carried"]])
 
     def run(batches):
         tokens, *table = sent.value
@@ -178,7 +181,7 @@ def bpe(docs: DataFrame, vocabulary: str, pattern: str, outputs: tuple[str, ...]
                         got["decoded"].append(back)
                     if "decoded_sha256" in got:
                         got["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-            cols = [b.column(0), pa.array(n, pa.int64()), *(pa.array(got[o], kinds[o][1]) for o in outputs), *b.columns[2 : 2 + n_carry]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *outputs, *b.schema.names[2:]])
+            cols = [b.column(0), pa.array(n, pa.int64()), *(pa.array(got[o], arrow[o]) for o in outputs), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", *outputs, "carried"])
 
-    return source.mapInArrow(run, schema.rstrip(", "))
+    return source.mapInArrow(run, schema).select("doc_id", "n_tokens", *outputs, *[F.col("carried")[c].alias(c) for c in more])

@@ -152,7 +152,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     """Score every whole text: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
     Rows whose crc32(doc_id as text) is divisible by 5 are held out of training. Labels, lang, source and doc_id are no
-    inputs. Null and empty texts have a score too. A null doc_id is not held out."""
+    inputs. Null and empty texts have a score too. A null doc_id is not held out. Repeated rows score alike; an empty table gives no rows;
+    texts of any length are read whole; columns other than doc_id and text are ignored."""
     trees = model or train(docs, labels, **options)
     sent = docs.sparkSession.sparkContext.broadcast((trees.feature, trees.cut, trees.leaf, trees.base))
 

@@ -1,0 +1,24 @@
+"""Every corpus query that has SQL, against it."""
+
+import os
+
+import pytest
+
+duckdb = pytest.importorskip("duckdb")
+
+from recollect.llm import queries as Q  # noqa: E402
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(Q.oracle_sql()[name]).fetch_df()
+    got = Q.queries()[name](spark, SF).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    rows = lambda df: sorted(map(str, df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
