@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -88,19 +88,11 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def chosen_sets(docs: DataFrame, wanted: DataFrame, shingle: int, most_log2_bits: int = 27) -> DataFrame:
-    """(key, set): shingle sets as bytes of the rows whose key, a hash of doc_id and text_hash, is in wanted.
+    """(key, set): shingle sets as bytes of the rows whose row_key() is in wanted.
 
     A Bloom filter of the keys goes to every task (past its limit it lets more rows through), so no other text is sent."""
-    log2 = bloom.log2_bits(wanted.count(), most=most_log2_bits)
-
-    def fill(batches):
-        bits = np.zeros((1 << log2) // 8, np.uint8)
-        for b in batches:
-            bloom.add(bits, b.column(0).to_numpy().view(np.uint64), log2)
-        yield from bloom.segments(bits)
-
-    held, _ = bloom.merge(wanted.select("key").mapInArrow(fill, bloom.SCHEMA), log2)
-    sent = docs.sparkSession.sparkContext.broadcast(held.tobytes())
+    held, log2 = bloom.of(wanted.select("key"), most_log2_bits)
+    sent = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
         import pyarrow as pa
@@ -110,23 +102,44 @@ def chosen_sets(docs: DataFrame, wanted: DataFrame, shingle: int, most_log2_bits
             at = np.flatnonzero(bloom.holds(bits, b.column(0).to_numpy().view(np.uint64), log2)).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([shingle_set(b.column(1)[i].as_py(), shingle).tobytes() for i in at], pa.binary())], names=["key", "set"])
 
-    rows = raw(docs).select(F.xxhash64("doc_id", F.xxhash64("text")).alias("key"), "text").mapInArrow(run, "key long, set binary")
+    rows = raw(docs).select(row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"), "text").mapInArrow(run, "key long, set binary")
     return rows.groupBy("key").agg(F.first("set").alias("set"))
 
 
-def similar_groups(docs: DataFrame, distance: int = 9, shingle: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    """One number for a doc_id (also null) and a text."""
+    return F.xxhash64(doc_id, text_hash)
+
+
+def similar_rows(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, text_hash (XXH64 of the text, null: empty), n and first, for each distinct doc_id and text: n rows have them, and first
+    is true if they are the first of their group of near copies (by doc_id, nulls last, then text_hash). options are those of similar_groups()."""
+    rows = settle(prints(docs))
+    low = settle(_grouped(docs, rows, **options))
+    first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))
+    # the groups are settled, so that Spark can split the rows of a text that is copied without end
+    return rows.join(low, "node").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max(first).alias("first"))
+
+
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
     """One row for each group of near copies: group, and doc_id and text_hash (XXH64 of the text, null: empty) of its first
-    row by doc_id (nulls last), then text_hash.
+    row by doc_id (nulls last), then text_hash. options: distance, shingle, percent, chunk.
 
     Texts of equal lower-case words fold into one node. Nodes whose three-word SimHash fingerprints are connected by steps
     of distance bits at most make a cluster; in it, every two nodes are compared, and those whose sets of word shingles have
     a Jaccard similarity of percent or more are linked. Groups are what links connect. A cluster with more than chunk nodes, or
     more than CHUNK_BYTES of sets, is dealt out as pairs of chunks over many tasks, so that no link is lost and no task grows."""
+    return _grouped(docs, settle(prints(docs)), **options).groupBy("group").agg(F.min("low").alias("low")).select("group", "low.doc_id", "low.text_hash")
+
+
+def _grouped(docs: DataFrame, rows: DataFrame, distance: int = 9, shingle: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
+    """(node, group, low): the group of each node, and the doc_id and text_hash of the group's first row. rows: prints(docs)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("low")
-    nodes = settle(prints(docs).groupBy("node").agg(F.min("fp").alias("fp"), F.max("words").alias("words"), first))
+    nodes = settle(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.max("words").alias("words"), first))
     roots = components(links(nodes.select("fp").distinct(), distance, per_node=PER_NODE, meet=close_pairs)).withColumnsRenamed({"node": "fp", "root": "cluster"})
-    placed = nodes.join(roots, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")).withColumn("key", F.xxhash64("low.doc_id", "low.text_hash"))
-    sizes = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1")
+    placed = settle(nodes.join(roots, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")).withColumn("key", row_key(F.col("low.doc_id"), F.col("low.text_hash"))))
+    # kept apart from their aggregation, so that Spark can split a huge cluster's or group's rows in the joins
+    sizes = settle(placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1"))
     parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") * 8 / CHUNK_BYTES)).cast("int")
     wanted = settle(placed.select("cluster", "node", "key").join(sizes.select("cluster", parts.alias("parts")), "cluster"))
     met = wanted.join(chosen_sets(docs, wanted, shingle), "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -155,5 +168,6 @@ def similar_groups(docs: DataFrame, distance: int = 9, shingle: int = 5, percent
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     linked = components(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long"))
-    grouped = nodes.select("node", "low").join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("low").alias("low"))
-    return grouped.select("group", "low.doc_id", "low.text_hash")
+    grouped = settle(nodes.select("node", "low").join(linked, "node", "left").select("node", "low", F.coalesce("root", "node").alias("group")))
+    lows = settle(grouped.groupBy("group").agg(F.min("low").alias("low")))
+    return grouped.select("node", "group").join(lows, "group").select("node", "group", "low")
