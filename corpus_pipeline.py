@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.llm.bloom import halves
 from recollect.llm.bpe import bpe
-from recollect.llm.common import checkpoint_dir
+from recollect.llm.common import checkpoint_dir, remove, settle
 from recollect.llm.decontam import decontaminate
 from recollect.llm.lines import line_dedup
 from recollect.llm.rules import quality_rules
-from recollect.llm.similar import similar_groups
+from recollect.llm.similar import row_key, similar_rows
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,11 +30,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the first by doc_id (nulls last), then by a hash of the text, then by the
-    other columns. Near copies are 80 % alike on five-word shingles; SimHash at 9 bits finds the candidates."""
-    first = similar_groups(docs, distance=9, shingle=5, percent=80).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    rows = rows.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
-    return rows.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]])
+    other columns. Near copies are 80 % alike on five-word shingles; SimHash at 9 bits finds the candidates.
+
+    Only rows that go, or share doc_id and text with others, are sent to meet that decision; all others stay where they are."""
+    rows = settle(similar_rows(docs, distance=9, shingle=5, percent=80))
+    busy = rows.where("n > 1 or not first")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    whole = docs.select(row_key(F.col("doc_id"), text_hash).alias("key"), text_hash.alias("text_hash"), *COLUMNS)
+    alone, met = halves(whole, busy.select(row_key(F.col("doc_id"), F.col("text_hash"))))
+    first = rows.where("first").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    met = met.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    one = met.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]])
+    return alone.select(*COLUMNS).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written as Parquet to the shared folder and read again."""
+    """All stages over documents; each one's result is written as Parquet to the shared folder and read again, and
+    removed once the next one's stands. The last one's stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
