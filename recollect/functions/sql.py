@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .extract import readable
-from .text import nfkc
 
 READABLE = StructType([StructField("title", StringType()), StructField("author", StringType()), StructField("text", StringType()), StructField("ok", BooleanType())])
+NFKC = "reflect('com.ibm.icu.text.Normalizer', 'compose', t, true)"
 
 
 @F.pandas_udf(READABLE)
@@ -20,6 +20,7 @@ def extract_readable(html):
 
 
 def register(spark: SparkSession) -> None:
-    """Make nfkc(text) and extract_readable(html) known to SQL."""
-    spark.udf.register("nfkc", nfkc)
+    """Make nfkc(text), normalize_text(text) and extract_readable(html) known to SQL for this session."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION nfkc(t STRING) RETURNS STRING RETURN CASE WHEN t IS NULL THEN NULL ELSE {NFKC} END")
+    spark.sql(rf"CREATE OR REPLACE TEMPORARY FUNCTION normalize_text(t STRING) RETURNS STRING RETURN CASE WHEN t IS NULL THEN '' ELSE lower(trim(regexp_replace({NFKC}, r'(?U)[\s\x{{1c}}-\x{{1f}}]+', ' '))) END")
     spark.udf.register("extract_readable", extract_readable)

@@ -1,16 +1,16 @@
-"""Text functions as column expressions; Python only for full NFKC folding."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from . import words
 
 CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in words.CJK_BLOCKS)
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+#: Characters that NFKC keeps as they are and that never join the one before them: ASCII, Latin, Cyrillic and Greek letters, common
+#: punctuation, kana, ideographs, hangul syllables. A text of others may change.
+STEADY = r"\x{0}-\x{9F}\x{A1}-\x{A7}\x{A9}\x{AB}-\x{AE}\x{B0}\x{B1}\x{B6}\x{B7}\x{BB}\x{BF}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}\x{388}-\x{3CE}\x{400}-\x{482}\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{3001}-\x{3015}\x{3041}-\x{3096}\x{30A1}-\x{30FE}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}"
 STOP = sorted({*words.STOPWORDS, *words.FUNCTION_CHARS, *words.GENRE_WORDS})
 
 
@@ -29,19 +29,16 @@ def clean(text: Column) -> Column:
     return squeeze(F.translate(text, "​", " "))
 
 
-def normalize(text: Column) -> Column:
-    """Full-width forms made narrow, white space squeezed, lower case. For all of NFKC pass nfkc(text)."""
-    text = F.coalesce(text, F.lit(""))
-    # translate() looks up every character; most texts have none to change
-    return F.lower(squeeze(F.when(text.rlike(f"[{WIDE[0]}-{WIDE[-2]}{WIDE[-1]}]"), F.translate(text, WIDE, NARROW)).otherwise(text)))
-
+def nfkc(text: Column) -> Column:
+    """Unicode's compatibility form (NFKC), by the ICU library that Spark has for its collations; only texts that hold a
+    character which it may change go there."""
+    icu = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(text.rlike(f"[^{STEADY}]"), icu).otherwise(text)
 
-@F.pandas_udf(StringType())
-def nfkc(text):
-    """All of NFKC; the slow way, for text that full-width folding does not settle."""
-    import unicodedata
 
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def normalize(text: Column) -> Column:
+    """NFKC, white space squeezed, lower case; null becomes empty."""
+    return F.lower(squeeze(nfkc(F.coalesce(text, F.lit("")))))
 
 
 def count_of(text: Column, chars: str) -> Column:

@@ -18,8 +18,8 @@ GENRE_WORDS = """
 做法 方法 方式 情况 东西 地方 内容 问题 区别 意思
 """.split()
 
-#: Ideographs with extensions A and B and compatibility forms, kana, hangul syllables: first and last code points.
-CJK_BLOCKS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF), (0x3040, 0x30FF), (0xAC00, 0xD7AF))
+#: Kana, ideographs (extension A, the main block, compatibility forms, extension B) and hangul syllables: first and last code points, in code-point order.
+CJK_BLOCKS = ((0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF))
 
 #: A word of Latin letters and digits in normalised text.
 WORD = r"[a-z0-9][a-z0-9'_+#.\-]*"

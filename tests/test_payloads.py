@@ -51,6 +51,7 @@ def test_vectors_upkeep(spark):
 
 def test_sql_names(spark):
     register(spark)
+    assert spark.sql("select normalize_text(' ＡＢ  ﬁ ') as n, normalize_text(null) as e, nfkc(cast(null as string)) as z").first() == ("ab fi", "", None)
     r = spark.sql("select nfkc('ＡＢ') as n, extract_readable('<title>T</title>').title as t").first()
     assert (r.n, r.t) == ("AB", "T")
 

@@ -62,6 +62,24 @@ def test_normalize(ask):
     assert ask(T.nfkc, ["ﬁ ① ㈱", None]) == ["fi 1 (株)", None]
 
 
+def test_all_of_nfkc(spark):
+    """Each code point alone and between letters, and sequences that join: as unicodedata has it."""
+    import unicodedata
+
+    # what newer versions of Unicode than Python's assign is left out
+    points = [c for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    texts = [f"e{chr(c)}a" for c in points] + ["e\u0301 \u1100\u1161\u11a8 ｶﾞｷﾞ", "ﬁne ｶﾅ x² ①", "㈱ ½ Ａ\u0301", "a\u0301\u0323"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    wrong = [(hex(points[r.i]) if r.i < len(points) else texts[r.i], r.v) for r in df.select("i", T.nfkc(F.col("t")).alias("v")).collect() if r.v != unicodedata.normalize("NFKC", texts[r.i])]
+    assert not wrong, wrong[:10]
+
+
+def test_tokens_after_folding(ask):
+    texts = ["ﬁne ｶﾅ x² ①", "Ｒｅｄｉｓ－Ａ", "café au lait", "cafe\u0301 au lait", "㍿ ㌔"]
+    assert ask(T.tokenize, texts) == [tokens(t) for t in texts]
+    assert ask(T.tokenize, texts[:1])[0][:2] == ["fine", "カ"]
+
+
 def test_script(ask):
     assert ask(T.script_of, ["plain words", "向量数据库入门", "ab", "mixed 数据库 abc", "1234"]) == ["latin", "cjk", "mixed", "mixed", "mixed"]
     assert ask(T.weighted_length, ["abcd", "数据库入", "ab数"]) == [4, 10, 4]
