@@ -22,33 +22,59 @@ COMMENTS = "array<struct<text:string,author:string,likes:int,replies:array<strin
 
 
 
+#: Where a scan's row comes from: the file's name without its ending, the row's number in the file, its place among all rows.
+PLACE = ("file", "idx", "scan")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (path, block, n, row) with file, idx and scan for path, block and n.
+
+    A file comes in blocks (splits), n grows within each; the row's number in its file counts from 0. Rows are counted block
+    by block, and a running sum over blocks, one row for each split, places them, so that no file is one task's work.
+    scan orders all rows: by path, then by place."""
+    placed = rows.withColumn("nth", F.row_number().over(W.partitionBy("path", "block").orderBy("n")) - 1)
+    blocks = rows.groupBy("path", "block").count()
+    before = F.coalesce(F.sum("count").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = placed.join(blocks.select("path", "block", before.alias("before")), ["path", "block"]).withColumn("idx", (F.col("before") + F.col("nth")).cast("long"))
+    stem = F.regexp_replace(F.try_url_decode(F.element_at(F.split("path", "/"), -1)), r"(?<=.)\.[^.]*$", "")
+    return out.select(stem.alias("file"), "idx", F.struct("path", "idx").alias("scan"), "row")
+
+
+def place() -> list[Column]:
+    """path, block and n of a line that is being read: ids grow along a split."""
+    return [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")]
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, n, v) of every line."""
+    return spark.read.text(path).select(*place(), F.trim("value").alias("v"))
+
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, row): every line that is not blank, a JSON object as variant."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("idx"), F.trim("value").alias("v")).where("v <> ''")
-    return lines.select("idx", F.parse_json("v").alias("row"))
+    """(file, idx, scan, row): every line that is not blank, a JSON object as variant."""
+    return numbered(file_lines(spark, path).where("v <> ''").select("path", "block", "n", F.parse_json("v").alias("row")))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, row) of whole-file JSON: a list, or an object that has it under items."""
-    whole = spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("file"), F.parse_json("value").alias("doc"))
+    """(file, idx, scan, row) of whole-file JSON: a list, or an object that has it under items."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("doc"))
     items = F.coalesce(F.try_variant_get("doc", "$.items", "array<variant>"), F.try_variant_get("doc", "$", "array<variant>"))
-    return whole.select("file", F.posexplode(items).alias("pos", "row")).select((F.col("file") + F.col("pos")).alias("idx"), "row")
+    return numbered(whole.select("path", F.lit(0).alias("block"), F.posexplode(items).alias("n", "row")))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, row) of a CSV with a header, all values strings."""
+    """(file, idx, scan, row) of a CSV with a header, all values strings."""
     df = spark.read.csv(path, header=True)
-    return df.select(F.monotonically_increasing_id().alias("idx"), F.parse_json(F.to_json(F.struct(*df.columns))).alias("row"))
+    return numbered(df.select(*place(), F.parse_json(F.to_json(F.struct(*df.columns))).alias("row")))
 
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, row) of a list of URLs; blank lines and # lines drop out."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("idx"), F.trim("value").alias("v")).where("v <> '' and v not like '#%'")
-    return lines.select("idx", F.parse_json(F.to_json(F.struct(F.col("v").alias("url"), F.col("v").alias("title")))).alias("row"))
+    """(file, idx, scan, row) of a list of URLs; blank lines and # lines drop out."""
+    lines = file_lines(spark, path).where("v <> '' and v not like '#%'")
+    return numbered(lines.select("path", "block", "n", F.parse_json(F.to_json(F.struct(F.col("v").alias("url"), F.col("v").alias("title")))).alias("row")))
 
 
-READERS = {"jsonl": read_jsonl, "json": read_json, "csv": read_csv}
+READERS = {"jsonl": read_jsonl, "json": read_json, "csv": read_csv, "txt": read_urls}
 
 
 def get(name: str, kind: str = "string") -> Column:
@@ -83,22 +109,26 @@ def comments_of(row: str = "row") -> Column:
 
 
 def as_items(rows: DataFrame, name: str = "local", stem: str = "", now: float = 0.0) -> DataFrame:
-    """Saved items from (idx, row). A row without an id of its URL takes its own id, else name-idx; a missing title
-    names its place, a missing folder the file, a missing time is now. idx orders the rows; it need not be gapless."""
+    """Saved items from what a reader gives. A row without an id of its URL takes its own id, else name-idx; a missing title
+    names its place, a missing folder the file (or stem, where given), a missing time is now.
+
+    idx counts in each file. Where there are several files, name-idx would name different things alike, so the file's name is part of it."""
     who = identify(canonical_url(pick("url")))
-    known = rows.select("idx", "row", who.alias("w"))
+    several = rows.select("scan.path").distinct().limit(2).count() > 1
+    known = rows.select("file", "idx", "scan", "row", who.alias("w"))
     or_else = lambda c, other: F.coalesce(F.nullif(c, F.lit("")), other)
     source = or_else(F.col("w.source"), F.lit(name))
-    source_id = or_else(F.col("w.source_id"), or_else(get("id"), F.concat(F.lit(f"{name}-"), F.col("idx").cast("string"))))
+    own = F.concat_ws("-", F.lit(name), *(["file"] if several else []), F.col("idx").cast("string"))
+    source_id = or_else(F.col("w.source_id"), or_else(get("id"), own))
     kind = or_else(get("media_kind"), F.when(F.col("w.source") == "", "video").otherwise(F.col("w.media_kind")))
     saved = F.coalesce(F.nullif(get("saved_at", "double"), F.lit(0.0)), F.lit(now))
     return known.select(
         F.concat_ws(":", source, source_id).alias("id"), source.alias("source"), source_id.alias("source_id"), kind.alias("media_kind"),
         or_else(pick("title"), F.concat(F.lit("Item "), (F.col("idx") + 1).cast("string"))).alias("title"), pick("url").alias("url"), pick("author").alias("author"),
-        pick("description").alias("description"), pick("thumbnail").alias("thumbnail"), or_else(pick("folder"), F.lit(stem)).alias("folder"),
+        pick("description").alias("description"), pick("thumbnail").alias("thumbnail"), or_else(pick("folder"), F.lit(stem) if stem else F.col("file")).alias("folder"),
         F.coalesce(get("duration", "double").cast("int"), F.lit(0)).alias("duration"), saved.alias("saved_at"),
         F.coalesce(F.filter(get("tags", "array<string>"), lambda t: t.isNotNull() & (t != "")), F.array().cast("array<string>")).alias("tags"),
-        segments_of().alias("segments"), comments_of().alias("comments"), "idx",
+        segments_of().alias("segments"), comments_of().alias("comments"), F.col("scan").alias("idx"),
     )
 
 
