@@ -1,18 +1,27 @@
-"""Inverted index and hashed vectors as DataFrames."""
+"""Inverted index and hashed vectors as tables: built once, kept in files sorted by what a search asks for, read in part."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.text import tokenize
+from ..functions.text import script_of, tokenize
+
+#: Values up to which a filter names each of them, so that it reaches the row groups' statistics.
+NAMED = 2048
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; otherwise Spark joins it as it sees fit."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def named(column: str, values: list) -> Column:
+    """column is one of the values, as a balanced tree of equalities: Spark pushes a long IN to Parquet as its range alone."""
+    level = [F.col(column) == v for v in sorted(values)] or [F.lit(False)]
+    while len(level) > 1:
+        level = [reduce(Column.__or__, level[i : i + 2]) for i in range(0, len(level), 2)]
+    return level[0]
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
@@ -121,78 +130,174 @@ def prefixed(text: Column, role: str) -> Column:
     return F.concat(F.lit(f"{role}: "), text)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, id_type: str = "string", block: int = 2048) -> DataFrame:
-    """(qid, chunk_id, score): the k passages of highest cosine for each query, zero and negative ones included.
+@dataclass(frozen=True)
+class Index:
+    """What searches read: postings (token, chunk_id, tf, doc_len), terms (token, df), chunks (chunk_id, item_id, kind, script, and source where
+    there is one), packs (see packed()), and the corpus statistics."""
+
+    postings: DataFrame
+    terms: DataFrame
+    chunks: DataFrame
+    packs: DataFrame
+    n_chunks: int
+    avg_len: float
+    max_df: int
+
+    @staticmethod
+    def of(chunks: DataFrame, vectors: DataFrame, cfg: Settings = Settings()) -> Index:
+        """Over tokenised passages and their vectors as they are; nothing is stored."""
+        posts, stats = postings(chunks).select("token", "chunk_id", "tf", "doc_len"), corpus_stats(chunks, cfg).first()
+        return Index(posts, term_stats(posts), described(chunks), packed(vectors), stats.n_chunks, stats.avg_len or 1.0, stats.max_df)
+
+    @staticmethod
+    def write(chunks: DataFrame, vectors: DataFrame, root: str, cfg: Settings = Settings()) -> Index:
+        """Store all tables under root: postings and terms sorted by token, passages by chunk_id, vectors in packs.
+
+        Postings are dealt by (token, chunk_id), so that a token of any number of passages parts among files."""
+        spark, parts = chunks.sparkSession, max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        keep = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}")
+        each = chunks.select("chunk_id", "doc_len", F.explode("tokens").alias("token")).repartitionByRange(parts, "token", "chunk_id")
+        keep(each.groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")).sortWithinPartitions("token", "chunk_id"), "postings")
+        keep(term_stats(spark.read.parquet(f"{root}/postings")).repartitionByRange(max(1, parts // 4), "token").sortWithinPartitions("token"), "terms")
+        keep(described(chunks).repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id"), "chunks")
+        keep(packed(vectors), "packs")
+        keep(corpus_stats(chunks, cfg).coalesce(1), "stats")
+        return Index.read(spark, root)
+
+    @staticmethod
+    def read(spark: SparkSession, root: str) -> Index:
+        stats = spark.read.parquet(f"{root}/stats").first()
+        return Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "chunks", "packs")), stats.n_chunks, stats.avg_len or 1.0, stats.max_df)
+
+    def of_tokens(self, terms: DataFrame) -> Index:
+        """The part of postings and terms that these tokens (terms.token) have: of few tokens, only their row groups are read."""
+        few = [r.token for r in terms.select("token").distinct().limit(NAMED + 1).collect()]
+        if len(few) <= NAMED:
+            return replace(self, postings=self.postings.where(named("token", few)), terms=self.terms.where(named("token", few)))
+        wanted = terms.select("token").distinct()
+        return replace(self, postings=self.postings.join(wanted, "token", "left_semi"), terms=self.terms.join(wanted, "token", "left_semi"))
+
+
+def described(chunks: DataFrame) -> DataFrame:
+    """What a search has to know of a passage besides its tokens."""
+    own = [c for c in ("item_id", "kind", "source", "comparable") if c in chunks.columns]
+    return chunks.select("chunk_id", *own, (script_of(F.col("text")) if "text" in chunks.columns else F.lit("mixed")).alias("script"))
+
+
+def packed(vectors: DataFrame, size: int = 4096) -> DataFrame:
+    """Vectors (chunk_id, idx, val) in rows of up to size of them, each task for itself, ordered by chunk_id: ids, n (cells of each), idx, val."""
+    if "ids" in vectors.columns:
+        return vectors
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
 
-    vectors: chunk_id, idx, val; queries: qid, idx, val; both of unit length. The queries come in blocks of that
-    many, each broadcast as a matrix of fixed size. A task multiplies its batches with the block and keeps its own k
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def pack(held):
+            t = pa.Table.from_batches(held).combine_chunks()
+            t = t.take(pc.sort_indices(t.column("chunk_id")))
+            n = pc.fill_null(pc.list_value_length(t.column("idx")), 0)
+            cols = [t.column("chunk_id"), n, pc.list_flatten(t.column("idx")), pc.list_flatten(t.column("val"))]
+            kinds = [t.schema.field("chunk_id").type, pa.int32(), pa.int32(), pa.float64()]
+            flat = [pa.concat_arrays(c.chunks).cast(k) if c.num_chunks else pa.array([], k) for c, k in zip(cols, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in flat], names=["ids", "n", "idx", "val"])
+
+        held, rows = [], 0
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                part = b.slice(at, size - rows)
+                held.append(part)
+                rows += part.num_rows
+                at += part.num_rows
+                if rows == size:
+                    yield pack(held)
+                    held, rows = [], 0
+        if rows:
+            yield pack(held)
+
+    return vectors.select("chunk_id", "idx", "val").mapInArrow(run, f"ids array<{kind}>, n array<int>, idx array<int>, val array<double>")
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of scores the k largest, of equals those of the smallest ids; ids ascend and name the columns."""
+    if scores.shape[1] <= k:
+        return scores, np.broadcast_to(ids, scores.shape)
+    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, [scores.shape[1] - k]]
+    over, level = scores > cut, scores == cut
+    take = over | (level & (np.cumsum(level, axis=1) <= k - over.sum(axis=1, keepdims=True)))
+    at = np.nonzero(take)[1].reshape(len(scores), k)
+    return np.take_along_axis(scores, at, axis=1), ids[at]
+
+
+def merge_best(a, b, k: int):
+    """The k best of two such lists."""
+    s, ids = np.concatenate((a[0], b[0]), axis=1), np.concatenate((a[1], b[1]), axis=1)
+    rank = np.unique(ids, return_inverse=True)[1].reshape(s.shape)
+    rows = np.repeat(np.arange(len(s)), s.shape[1])
+    order = np.lexsort((rank.ravel(), -s.ravel(), rows)).reshape(s.shape)[:, :k] if s.size else np.zeros(s.shape, np.int64)
+    return s.ravel()[order], ids.ravel()[order]
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int, block: int = 1024, most_broadcast: int = 16_384) -> DataFrame:
+    """(qid, chunk_id, score, rank): the k passages of highest cosine for each query, zero and negative ones included.
+
+    vectors: chunk_id, idx, val, or packs of them; queries: qid, idx, val; all of unit length. Queries come in block rows of about that many
+    vectors, formed on Spark; every pack meets every block. Up to most_broadcast queries the blocks are broadcast and the packs are read once; beyond that
+    Spark pairs the partitions of packs and blocks. A task multiplies pack by block and keeps its own k
     best of each query, so that what is shuffled is k rows a task and query. Scores are rounded to 9 places, ties go by chunk_id."""
+    import pyarrow as pa
     from pyspark.sql import Window as W
 
-    spark = vectors.sparkSession
+    from .shared import settle
 
-    def scan(sent):
-        def run(batches):
-            import pyarrow as pa
-            import pyarrow.compute as pc
+    types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    packs = packed(vectors)
+    q_kind, c_kind = queries.schema["qid"].dataType.simpleString(), packs.schema["ids"].dataType.elementType.simpleString()
+    q_type, c_type, width = types[q_kind], types[c_kind], max(64, dimensions)
+    asked = settle(queries.select("qid", "idx", "val"))
+    n = asked.count()
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-n // block)))).cast("int"))
+    blocks = settle(numbered.groupBy("block").agg(F.collect_list(F.struct("qid", "idx", "val")).alias("asked")))
 
-            qids, matrix = sent.value
-            best_s, best_c = np.zeros((len(qids), 0)), np.zeros((len(qids), 0), object)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = np.array(b.column(0).to_pylist(), object)
-                x = np.zeros((b.num_rows, dimensions))
-                lists, vals = b.column(1), b.column(2)
-                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                x[np.repeat(np.arange(b.num_rows), n), lists.flatten().to_numpy()] = vals.flatten().to_numpy()
-                s = np.concatenate((best_s, np.round(matrix @ x.T, 9) + 0.0), axis=1)
-                c = np.concatenate((best_c, np.broadcast_to(ids, (len(qids), len(ids)))), axis=1)
-                keep_s, keep_c = [], []
-                for row, own in zip(s, c, strict=True):
-                    if len(row) > k:
-                        # everything above the k-th score, and of its equals the smallest ids
-                        cut = np.partition(row, len(row) - k)[len(row) - k]
-                        top = np.flatnonzero(row > cut)
-                        tied = np.flatnonzero(row == cut)
-                        tied = tied[np.argsort(own[tied], kind="stable")][: k - len(top)]
-                        at = np.concatenate((top, tied))
-                        row, own = row[at], own[at]
-                    keep_s.append(row)
-                    keep_c.append(own)
-                best_s, best_c = np.array(keep_s), np.array(keep_c, object).reshape(len(qids), -1)
-            for i in range(0, len(qids), 256):
-                part = slice(i, i + 256)
-                width = best_s.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(qids, object)[part], width).tolist(), q_type), pa.array(best_c[part].ravel().tolist(), c_type), pa.array(best_s[part].ravel())], names=["qid", "chunk_id", "score"])
-
-        return run
+    def dense(n, idx, val):
+        x = np.zeros((len(n), width))
+        x[np.repeat(np.arange(len(n)), n), idx] = val
+        return x
 
-    import pyarrow as pa
+    def run(batches):
+        import pyarrow.compute as pc
 
-    types = {"string": pa.string(), "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32()}
-    q_kind, c_kind = queries.schema["qid"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
-    q_type, c_type = types[q_kind], types[c_kind]
-    source = vectors.select("chunk_id", "idx", "val")
-    out = None
-
-    def blocks():
-        ids, rows = [], []
-        for r in queries.select("qid", "idx", "val").toLocalIterator():
-            x = np.zeros(dimensions)
-            x[list(r.idx or ())] = r.val or 0
-            ids.append(r.qid)
-            rows.append(x)
-            if len(ids) == block:
-                yield ids, np.stack(rows)
-                ids, rows = [], []
-        if ids:
-            yield ids, np.stack(rows)
-
-    for pair in blocks():
-        one = source.mapInArrow(scan(spark.sparkContext.broadcast(pair)), f"qid {q_kind}, chunk_id {c_kind}, score double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], f"qid {q_kind}, chunk_id {c_kind}, score double, rank int")
+        matrices: dict[int, tuple] = {}
+        best: dict[int, tuple] = {}
+
+        def out(b):
+            (s, c), qids = best.pop(b), matrices[b][0]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, s.shape[1]).tolist(), q_type), pa.array(c.ravel().tolist(), c_type), pa.array(s.ravel())], names=["qid", "chunk_id", "score"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, n, idx, val = (batch.column(j)[i].values for j in range(4))
+                if not len(ids):
+                    continue
+                b = batch.column(4)[i].as_py()
+                if b not in matrices:
+                    if len(matrices) >= 16:  # what a task holds stays bounded
+                        for old in list(best):
+                            yield out(old)
+                        matrices.clear()
+                    rows = batch.column(5)[i].values
+                    lists = rows.field("idx")
+                    count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                    matrices[b] = np.array(rows.field("qid").to_pylist()), dense(count, pc.list_flatten(lists).to_numpy(), pc.list_flatten(rows.field("val")).to_numpy())
+                x = dense(n.to_numpy(), idx.to_numpy(), val.to_numpy())
+                new = best_of(np.round(matrices[b][1] @ x.T, 9) + 0.0, np.array(ids.to_pylist()), k)
+                best[b] = merge_best(best[b], new, k) if b in best else new
+        for b in list(best):
+            yield out(b)
+
+    pairs = packs.crossJoin(F.broadcast(blocks) if n <= most_broadcast else blocks).select("ids", "n", "idx", "val", "block", "asked")
+    scores = pairs.mapInArrow(run, f"qid {q_kind}, chunk_id {c_kind}, score double")
     w = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

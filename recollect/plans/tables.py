@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import tokenised
-from ..operators.shared import settle, spread
+from ..config import Settings
+from ..functions.text import tokenize
+from ..operators.index import Index, hashed, tokenised
+from ..operators.shared import checkpoint_dir, settle, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,30 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(tokenised(lines.select(F.format_string("%012d:%06d", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("item_id"), "source", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("body").alias("kind"), "text")))
 
 
+#: Indexes that this process has built: by session, table folder, state of the table and what is indexed.
+_BUILT: dict[tuple, tuple[Index, DataFrame]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, what=passages) -> tuple[Index, DataFrame]:
+    """The index over what(spark, sf_dir), with sqlhash vectors, and the passages themselves, sorted by chunk_id.
+
+    Built on first use and kept in the shared folder for the session; a table that has been written anew is indexed anew."""
+    state = read(spark, sf_dir, "documents").agg(F.count("*"), F.max("_metadata.file_modification_time"), F.max("_metadata.file_size")).first()
+    key = (spark.sparkContext.applicationId, sf_dir, what.__name__, *state)
+    if key not in _BUILT:
+        root = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        chunks = what(spark, sf_dir)
+        built = Index.write(chunks, hashed(chunks, Settings().dimensions, ("chunk_id",)), root)
+        chunks.sortWithinPartitions("chunk_id").write.option("compression", "zstd").parquet(f"{root}/passages")
+        _BUILT[key] = built, spark.read.parquet(f"{root}/passages")
+    return _BUILT[key]
+
+
+def question_vectors(questions: DataFrame) -> DataFrame:
+    """The sqlhash vectors of (qid, text)."""
+    return hashed(questions.withColumn("tokens", tokenize(F.col("text"))), Settings().dimensions, ("qid",))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions import text as T
 from ..operators import index, retrieve
-from ..operators.shared import spread
-from ..plans.tables import passages, questions, read, whole_documents
+from ..operators.shared import settle, spread
+from ..plans.tables import question_vectors, questions, read, stored, whole_documents
 from .base import query
 
 # --- SQL pieces -------------------------------------------------------------------------------------------------------
@@ -62,12 +62,17 @@ def topk_sql(scores: str, k: int, out: str, where: str = "true") -> str:
     return f"{out} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM {scores} WHERE {where}) WHERE rank <= {k})"
 
 
+def _terms(spark, sf_dir):
+    return settle(index.query_terms(retrieve.asked_of(questions(spark, sf_dir))))
+
+
 # --- text and index ---------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {DOCS}, {bm25_sql('_docs')}, {topk_sql('bm', 10, 'best', 'score > 0')} SELECT qid, chunk_id AS doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
 def bm25_topk(spark, sf_dir):
-    best = retrieve.lexical_topk(whole_documents(spark, sf_dir), questions(spark, sf_dir), 10)
+    docs, terms = stored(spark, sf_dir, whole_documents)[0], _terms(spark, sf_dir)
+    best = retrieve.lexical_topk(docs, terms, 10)
     return best.select("qid", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
@@ -100,7 +105,7 @@ def max_df_prune(spark, sf_dir):
 
 @query(f"WITH {DOCS}, {bm25_sql('_docs')} SELECT qid, token, round(ln(1 + n / df), 6) AS weight FROM qtok JOIN df USING (token) CROSS JOIN st WHERE length(token) >= 2")
 def idf_weights(spark, sf_dir):
-    return retrieve.coverage_terms(whole_documents(spark, sf_dir), questions(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return retrieve.coverage_terms(stored(spark, sf_dir, whole_documents)[0], _terms(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -142,12 +147,6 @@ def dense_topk_embeddings(spark, sf_dir):
     return best.select("qid", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
-def _vectors(spark, sf_dir, chunks):
-    q = questions(spark, sf_dir).withColumn("tokens", T.tokenize(F.col("text")))
-    dims = Settings().dimensions
-    return index.hashed(chunks, dims, ("chunk_id",)), index.hashed(q, dims, ("qid",))
-
-
 def dense_sql(source: str = "lines", asked: str = ASKED) -> str:
     """CTEs from tok and source, ending in ds(qid, chunk_id, score): all cosines."""
     return f"""{sqlhash_sql("tok", "chunk_id", "cv")},
@@ -171,9 +170,8 @@ def hash_embed_blake2b(spark, sf_dir):
 
 @query(f"WITH {LINES}, {tokens_sql('lines', 'chunk_id')}, {dense_sql()}, {topk_sql('ds', 40, 'best')} SELECT qid, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM best")
 def dense_topk_sqlhash(spark, sf_dir):
-    chunks = passages(spark, sf_dir)
-    cv, qv = _vectors(spark, sf_dir, chunks)
-    return index.dense_topk(cv, qv, 40, 512).withColumn("score", F.round("score", 6))
+    index_, q = stored(spark, sf_dir)[0], questions(spark, sf_dir)
+    return index.dense_topk(index_.packs, question_vectors(q), 40, Settings().dimensions).withColumn("score", F.round("score", 6))
 
 
 def fused_sql(asked: str = ASKED, dense: str = "true") -> str:
@@ -206,37 +204,32 @@ i2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY nth) AS rank FROM
 items AS (SELECT qid, item_id, round(score / top, 5) AS score, round(confidence, 6) AS confidence, chunk_ids, CAST(rank AS INTEGER) AS rank FROM i2 WHERE rank <= 5)"""
 
 
-def _fused(spark, sf_dir, chunks):
-    cv, qv = _vectors(spark, sf_dir, chunks)
-    pool = Settings().pool(40)
-    return retrieve.fuse(index.dense_topk(cv, qv, pool, 512), retrieve.lexical_topk(chunks, questions(spark, sf_dir), pool), pool)
-
-
 @query(f"WITH {FUSED} SELECT qid, chunk_id, round(fused, 9) AS fused, round(dense, 6) AS dense, round(lexical, 6) AS lexical, CAST(place AS INTEGER) AS place FROM fz")
 def rrf_fuse(spark, sf_dir):
-    out = _fused(spark, sf_dir, passages(spark, sf_dir))
+    index_, q, pool = stored(spark, sf_dir)[0], questions(spark, sf_dir), Settings().pool(40)
+    out = retrieve.fuse(index.dense_topk(index_.packs, question_vectors(q), pool, Settings().dimensions), retrieve.lexical_topk(index_, _terms(spark, sf_dir), pool), pool)
     return out.select("qid", "chunk_id", F.round("fused", 9).alias("fused"), F.round("dense", 6).alias("dense"), F.round("lexical", 6).alias("lexical"), "place")
 
 
 @query(f"WITH {FUSED}, {HITS} SELECT qid, chunk_id, item_id, kind, round(score, 9) AS score, CAST(nth AS INTEGER) AS nth, CAST(hit AS INTEGER) AS hit FROM hits")
 def search_chunks(spark, sf_dir):
     """Fused passages, four at most of one item."""
-    chunks = passages(spark, sf_dir)
-    hits = retrieve.search_chunks(chunks, questions(spark, sf_dir), *_vectors(spark, sf_dir, chunks))
+    q = questions(spark, sf_dir)
+    hits = retrieve.search_chunks(stored(spark, sf_dir)[0], q, question_vectors(q))
     return hits.select("qid", "chunk_id", "item_id", "kind", F.round("score", 9).alias("score"), "nth", "hit")
 
 
 @query(f"WITH {FUSED}, {HITS}, {COVER} SELECT qid, chunk_id, round(coverage, 6) AS coverage, round(confidence, 6) AS confidence FROM conf")
 def coverage_confidence(spark, sf_dir):
-    chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    hits = retrieve.search_chunks(chunks, q, *_vectors(spark, sf_dir, chunks))
-    return retrieve.with_confidence(hits, chunks, q).select("qid", "chunk_id", F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"))
+    index_, q = stored(spark, sf_dir)[0], questions(spark, sf_dir)
+    hits = retrieve.search_chunks(index_, q, question_vectors(q))
+    return retrieve.with_confidence(hits, index_, _terms(spark, sf_dir)).select("qid", "chunk_id", F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"))
 
 
 @query(f"WITH {FUSED}, {HITS}, {COVER}, {ITEMS} SELECT * FROM items")
 def search_items(spark, sf_dir):
-    chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    out = retrieve.search_items(chunks, q, *_vectors(spark, sf_dir, chunks))
+    q = questions(spark, sf_dir)
+    out = retrieve.search_items(stored(spark, sf_dir)[0], q, question_vectors(q))
     return out.select("qid", "item_id", "score", F.round("confidence", 6).alias("confidence"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "rank")
 
 
@@ -246,15 +239,13 @@ LEXICAL = COVER.replace(COVER[COVER.index("round(CAST(0.55") : COVER.index(" AS
 @query(f"WITH {fused_sql(dense='false')}, {HITS}, {LEXICAL}, {ITEMS} SELECT qid, item_id, score, confidence, rank FROM items")
 def search_items_lexical(spark, sf_dir):
     """Without comparable vectors: lexical candidates alone, confidence from coverage."""
-    chunks, q = passages(spark, sf_dir), questions(spark, sf_dir)
-    cv, qv = _vectors(spark, sf_dir, chunks)
-    out = retrieve.search_items(chunks, q, cv.limit(0), qv, comparable=False)
+    out = retrieve.search_items(stored(spark, sf_dir)[0], questions(spark, sf_dir), None)
     return out.select("qid", "item_id", "score", F.round("confidence", 6).alias("confidence"), "rank")
 
 
 @query(f"WITH {FUSED}, {hits_sql("source IN ('src0', 'src3')").replace('item_id, kind, text', 'item_id, kind, text, source')} SELECT qid, chunk_id, item_id, CAST(hit AS INTEGER) AS hit FROM hits")
 def search_chunks_by_source(spark, sf_dir):
     """Sources are filtered after the pool is cut."""
-    chunks = passages(spark, sf_dir)
-    hits = retrieve.search_chunks(chunks, questions(spark, sf_dir), *_vectors(spark, sf_dir, chunks), sources=["src0", "src3"])
-    return hits.select("qid", "chunk_id", "item_id", "hit")
+    q = questions(spark, sf_dir)
+    hits = retrieve.search_chunks(stored(spark, sf_dir)[0], q, question_vectors(q), sources=["src0", "src3"])
+    return hits.select("qid", "chunk_id", "item_id", "hit")
\ No newline at end of file
