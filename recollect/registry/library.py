@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -11,10 +13,11 @@ from ..operators import chunking, index, retrieve
 from ..operators import library as L
 from ..operators.shared import settle, spread
 from ..plans import context as C
-from ..plans.tables import event_log, items, passages, questions, read, whole_documents
+from ..plans import ingest as G
+from ..plans.tables import event_log, items, passages, question_vectors, questions, read, stored, whole_documents
 from ..streaming import streams
 from .base import query
-from .retrieval import COVER, DOCS, ITEMS, bm25_sql, dense_sql, fused_sql, hits_sql, sentences_sql, topk_sql
+from .retrieval import COVER, DOCS, ITEMS, LINES, bm25_sql, dense_sql, fused_sql, hits_sql, sentences_sql, sqlhash_sql, tokens_sql, topk_sql
 
 IT = """_l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic_ FROM labels GROUP BY doc_id),
 it AS (SELECT source || ':' || doc_id AS id, source, CAST(doc_id AS VARCHAR) AS source_id, substr(split_part(text, chr(10), 1), 1, 300) AS title, source AS author,
@@ -45,9 +48,27 @@ def canonical_url(spark, sf_dir):
     return pages.select("page_id", "canonical", identity.url_digest(F.col("canonical")).alias("digest"))
 
 
-@query(f"WITH {CANON} SELECT page_id, 'web' AS source, substr(sha1(canonical), 1, 16) AS source_id, 'post' AS media_kind, '网页 / Web' AS label FROM canon")
+SITES = """_a AS (SELECT page_id, url, page_id % 12 AS k, CAST(page_id AS VARCHAR) AS p, sha1(CAST(page_id AS VARCHAR)) AS h FROM pages)"""
+
+
+@query(f"""WITH {CANON}, {SITES}
+SELECT page_id, CASE k WHEN 0 THEN 'youtube' WHEN 1 THEN 'youtube' WHEN 2 THEN 'bilibili' WHEN 3 THEN 'zhihu' WHEN 4 THEN 'zhihu' WHEN 5 THEN 'reddit' WHEN 6 THEN 'x' WHEN 7 THEN 'github' WHEN 8 THEN 'medium' WHEN 9 THEN 'weibo' WHEN 10 THEN '' ELSE 'web' END AS source,
+  CASE k WHEN 0 THEN substr(h, 1, 11) WHEN 1 THEN substr(h, 1, 11) WHEN 2 THEN 'BV' || substr(h, 1, 10) WHEN 3 THEN p || '-' || 7 * page_id WHEN 4 THEN p WHEN 5 THEN substr(h, 1, 6) WHEN 6 THEN p
+    WHEN 7 THEN substr(sha1('https://github.com/u/r' || p), 1, 16) WHEN 8 THEN substr(h, 1, 12) WHEN 9 THEN p WHEN 10 THEN '' ELSE substr(sha1(canonical), 1, 16) END AS source_id,
+  CASE WHEN k < 3 THEN 'video' ELSE 'post' END AS media_kind,
+  CASE k WHEN 0 THEN 'youtube' WHEN 1 THEN 'youtube' WHEN 2 THEN 'bilibili' WHEN 3 THEN '知乎' WHEN 4 THEN '知乎' WHEN 5 THEN 'Reddit' WHEN 6 THEN 'X / Twitter' WHEN 7 THEN 'GitHub' WHEN 8 THEN 'Medium' WHEN 9 THEN '微博' WHEN 10 THEN '' ELSE '网页 / Web' END AS label
+FROM _a JOIN canon USING (page_id)""")
 def identify_source(spark, sf_dir):
-    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", identity.identify(identity.canonical_url(F.col("url"))).alias("w"))
+    """Pages under addresses of many sites: eleven of twelve have theirs written anew from page_id, the rest keep their own."""
+    p, h = F.col("page_id").cast("string"), F.sha1(F.col("page_id").cast("string"))
+    url = F.col("url")
+    for k, parts in enumerate((
+        ("https://www.youtube.com/watch?list=x&v=", F.substring(h, 1, 11), "&t=5"), ("http://youtu.be/", F.substring(h, 1, 11), "?si=q"), ("https://www.bilibili.com/video/BV", F.substring(h, 1, 10), "/?spm_id_from=1"),
+        ("http://www.zhihu.com/question/", F.concat(p, F.lit("/answer/"), (F.col("page_id") * 7).cast("string")), "?utm_source=a"), ("zhuanlan.zhihu.com/p/", p, "#top"), ("https://old.reddit.com/r/x/comments/", F.substring(h, 1, 6), "/title"),
+        ("https://twitter.com/u/status/", p, ""), ("https://github.com:443/u/r", p, "/"), ("https://someone.medium.com/a-title-", F.substring(h, 1, 12), ""), ("https://m.weibo.cn/detail/", p, ""), ("", F.lit(""), ""),
+    )):
+        url = F.when(F.col("page_id") % 12 == k, F.concat(F.lit(parts[0]), parts[1], F.lit(parts[2]))).otherwise(url)
+    pages = spread(read(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", identity.identify(identity.canonical_url(url)).alias("w"))
     return pages.select("page_id", "w.source", "w.source_id", "w.media_kind", identity.label_of(F.col("w.source")).alias("label"))
 
 
@@ -221,6 +242,55 @@ def hydrate(spark, sf_dir):
     return L.hydrated(links.drop("html"), got)
 
 
+def _library(spark, sf_dir):
+    """A library that holds the labelled documents as they are, toxic ones as they were under another folder, and no passages yet."""
+    own = items(spark, sf_dir).where("labelled").withColumn("folder", F.when(F.col("toxic"), "old").otherwise(F.col("folder")))
+    body = F.array_join(chunking.paragraphs(F.col("text")), "")
+    own = own.withColumn("content_hash", identity.content_hash(F.col("title"), F.col("author"), F.col("description"), F.col("folder"), F.col("tags"), F.col("duration"), body)).withColumn("thumbnail", F.lit(""))
+    empty = G.Library.empty(spark)
+    return replace(empty, items=empty.items.unionByName(own.select(*empty.items.columns)))
+
+
+@query(f"""WITH {IT}, s AS (SELECT *, CASE WHEN doc_id % 50 = 7 THEN 'failed' WHEN NOT labelled THEN 'added' WHEN toxic THEN 'updated' ELSE 'skipped' END AS state FROM it)
+SELECT id, state, CASE WHEN state = 'failed' THEN 'unreadable' END AS error, state NOT IN ('failed', 'skipped') AS has_chunks FROM s""")
+def ingest_run(spark, sf_dir):
+    """Documents come in anew, one in fifty unreadable: diff, passages, tokens, vectors, merge, in one plan."""
+    segments = F.transform(chunking.paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end")))
+    rows = items(spark, sf_dir).withColumns({"idx": F.col("doc_id"), "segments": segments, "comments": F.array().cast(G.COMMENTS), "thumbnail": F.lit(""), "error": F.when(F.col("doc_id") % 50 == 7, "unreadable")}).drop("text", "has_transcript", "transcript_source")
+    library, outcomes = G.ingest(_library(spark, sf_dir), rows, now=1.0)
+    stored = library.chunks.select(F.col("item_id").alias("id")).distinct().withColumn("has_chunks", F.lit(True))
+    return outcomes.join(stored, "id", "left").select("id", "state", "error", F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"))
+
+
+@query(f"""WITH {CANON}, r AS (SELECT page_id, page_id % 50 = 3 AS bad, CASE WHEN page_id % 50 <> 3 THEN row_number() OVER (PARTITION BY page_id % 50 = 3, canonical ORDER BY page_id) END AS n FROM canon)
+SELECT page_id, CASE WHEN bad THEN 'failed' WHEN n = 1 THEN 'added' ELSE 'skipped' END AS state, CASE WHEN bad THEN 'capture needs a url' END AS error FROM r""")
+def capture_many(spark, sf_dir):
+    """Pages saved as bare links, one in fifty without an address; one address saved again changes nothing."""
+    none = F.lit("")
+    rows = spread(read(spark, sf_dir, "pages")).select(
+        F.col("page_id").alias("idx"), F.when(F.col("page_id") % 50 == 3, "").otherwise(F.col("url")).alias("url"), none.alias("title"), none.alias("author"), none.alias("text"), none.alias("excerpt"), none.alias("folder"),
+        F.array().cast("array<string>").alias("tags"), F.lit(1.0).alias("saved_at"), F.array().cast(G.COMMENTS).alias("comments"),
+    )
+    _, outcomes, _ = G.capture_many(G.Library.empty(spark), rows, now=1.0)
+    return outcomes.select(F.col("idx").alias("page_id"), "state", "error")
+
+
+def _indexed(spark, sf_dir):
+    """A library of all lines, none of them embedded."""
+    chunks = stored(spark, sf_dir)[1]
+    empty = G.Library.empty(spark)
+    rows = chunks.select("chunk_id", "item_id", "source", "ordinal", "kind", "text", F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), "tokens", "doc_len")
+    return replace(empty, chunks=empty.chunks.unionByName(rows))
+
+
+@query(f"""WITH {LINES}, {tokens_sql('lines', 'chunk_id')}, {sqlhash_sql('tok', 'chunk_id', 'cv')}, c AS (SELECT chunk_id, count(*) AS cells, round(sum(w * w), 6) AS norm FROM cv GROUP BY ALL)
+SELECT chunk_id, 'sql-hash:512' AS embedder, coalesce(cells, 0) AS cells, coalesce(norm, 0) AS norm FROM lines LEFT JOIN c USING (chunk_id)""")
+def reindex(spark, sf_dir):
+    """All stored passages embedded by another backend."""
+    v = G.reindex(_indexed(spark, sf_dir), "sql-hash").vectors
+    return v.select("chunk_id", "embedder", F.size("idx").cast("long").alias("cells"), F.round(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
 @query("SELECT event_id, ts, CASE WHEN event_type = 'click' THEN 'fired' ELSE event_type END AS kind, CAST(user_id AS VARCHAR) AS item_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_events(spark, sf_dir):
     return L.recent_events(event_log(spark, sf_dir)).select("event_id", "ts", "kind", "item_id")
@@ -240,25 +310,38 @@ def capture_rows(spark, sf_dir):
 
 # --- context ----------------------------------------------------------------------------------------------------------
 
-CONTEXT = """SELECT doc_id AS qid, trim(concat_ws(chr(10), nullif(substr(split_part(text, chr(10), 1), 1, 300), ''), source, lang, nullif(substr(text, 1, 600), ''))) AS text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 0)"""
-QUIET = "item_id <> CAST(qid AS VARCHAR) AND item_id NOT IN (SELECT source_id FROM it WHERE status <> 'active')"
+#: Every twentieth document is a page at hand: of three, one is blank, one is as stored, one is about something else.
+CONTEXT = """SELECT doc_id AS qid, trim(concat_ws(chr(10), nullif(substr(split_part(text, chr(10), 1), 1, 300), ''), source, lang, nullif(substr(text, 1, 600), ''))) AS text FROM documents WHERE doc_id % 60 = 20
+  UNION ALL SELECT doc_id, 'zzqx' || doc_id FROM documents WHERE doc_id % 60 = 40"""
+QUIET = "(item_id <> CAST(qid AS VARCHAR) OR qid % 60 = 40) AND item_id NOT IN (SELECT source_id FROM it WHERE status <> 'active')"
 
 
 def _contexts(spark, sf_dir):
-    """Every document of low quality is a page at hand."""
-    low = items(spark, sf_dir).where("low")
-    return low.select(F.col("doc_id").alias("qid"), F.lit("doc").alias("source"), "source_id", "title", "author", "description", "tags")
-
-
-def _related(spark, sf_dir):
-    own = settle(items(spark, sf_dir).drop("text").withColumn("id", F.concat(F.lit("doc:"), F.col("source_id"))))
-    chunks = passages(spark, sf_dir).withColumn("item_id", F.concat(F.lit("doc:"), F.col("item_id")))
-    contexts, dims = _contexts(spark, sf_dir), Settings().dimensions
-    hits = C.relate(contexts, own, chunks, index.hashed(chunks, dims, ("chunk_id",)), lambda q: index.hashed(q, dims, ("qid",)))
-    return contexts, own, chunks, settle(hits)
+    own = items(spark, sf_dir).where("doc_id % 20 = 0")
+    blank, strange = F.col("doc_id") % 60 == 0, F.col("doc_id") % 60 == 40
+    text_of = lambda c, other: F.when(blank, "").when(strange, other).otherwise(F.col(c)).alias(c)
+    none = F.array().cast("array<string>")
+    return own.select(
+        F.col("doc_id").alias("qid"), F.when(blank, "").otherwise("doc").alias("source"), text_of("source_id", F.concat(F.lit("elsewhere"), F.col("source_id"))), text_of("title", F.concat(F.lit("zzqx"), F.col("source_id"))), text_of("author", F.lit("")),
+        text_of("description", F.lit("")), F.when(blank | strange, none).otherwise(F.col("tags")).alias("tags"),
+    )
+
+
+def _related(spark, sf_dir, cfg=Settings()):
+    """(contexts, items, passages, hits) with ids of one spelling: the document's number."""
+    own = settle(items(spark, sf_dir).drop("text"))
+    index_, chunks = stored(spark, sf_dir)
+    contexts = settle(_contexts(spark, sf_dir))
+    # items are doc:<number> where contexts name them; passages have the bare number
+    named = own.withColumn("id", F.concat(F.lit("doc:"), F.col("source_id")))
+    prefixed = replace(index_, chunks=index_.chunks.withColumn("item_id", F.concat(F.lit("doc:"), F.col("item_id"))))
+    hits = C.relate(contexts, named, prefixed, lambda q: index.hashed(q, cfg.dimensions, ("qid",)), cfg)
+    return contexts, named, chunks, settle(hits)
 
 
 RELATED = f"{IT}, {fused_sql(CONTEXT)}, {hits_sql(QUIET)}, {COVER}, {ITEMS}"
+CODES = """codes AS (SELECT d.doc_id AS qid, i.item_id AS hit, CASE WHEN d.doc_id % 60 = 0 THEN 'empty_context' WHEN i.item_id IS NOT NULL THEN '' WHEN d.doc_id % 60 = 20 THEN 'self_saved' ELSE 'no_match' END AS code
+  FROM documents d LEFT JOIN items i ON i.qid = d.doc_id AND i.rank = 1 WHERE d.doc_id % 20 = 0)"""
 
 
 @query(f"WITH {RELATED} SELECT qid, item_id, score, confidence, rank FROM items")
@@ -268,15 +351,42 @@ def relate_batch(spark, sf_dir):
     return hits.select("qid", F.substring(F.col("item_id"), 5, 40).alias("item_id"), "score", F.round("confidence", 6).alias("confidence"), "rank")
 
 
-@query(f"WITH {RELATED}, c AS ({CONTEXT}) SELECT c.qid, i.item_id IS NOT NULL AS fired, CASE WHEN i.item_id IS NOT NULL THEN '' ELSE 'self_saved' END AS reason_code, i.item_id AS top_item FROM c LEFT JOIN items i ON i.qid = c.qid AND i.rank = 1")
+@query(f"WITH {RELATED}, {CODES} SELECT qid, code = '' AS fired, code AS reason_code, CASE WHEN code = '' THEN hit END AS top_item FROM codes")
 def reason_codes(spark, sf_dir):
     contexts, own, _, hits = _related(spark, sf_dir)
     return C.reasons(contexts, hits, own).withColumn("top_item", F.substring(F.col("top_item"), 5, 40))
 
 
-@query()
+@query("SELECT doc_id AS qid, false AS fired, CASE WHEN doc_id % 60 = 0 THEN 'empty_context' ELSE 'library_too_small' END AS reason_code FROM documents WHERE doc_id % 20 = 0")
+def reason_codes_of_a_small_library(spark, sf_dir):
+    """A library that wants more items than there are stays silent."""
+    contexts, own = _contexts(spark, sf_dir), items(spark, sf_dir)
+    hits = spark.createDataFrame([], "qid long, item_id string, rank int")
+    return C.reasons(contexts, hits, own, Settings(min_library_items=10**12)).select("qid", "fired", "reason_code")
+
+
+@query(f"""WITH {RELATED}, {CODES}, n AS (SELECT qid, count(*) AS matched FROM items GROUP BY qid)
+SELECT 'fired' AS kind, 'doc' AS source, hit AS item_id, matched, md5(substr(split_part(text, chr(10), 1), 1, 120)) AS watching FROM codes c JOIN n ON n.qid = c.qid JOIN documents d ON d.doc_id = c.qid WHERE code = ''""")
+def fired_events(spark, sf_dir):
+    """What relating writes to the log: one row for each context that fires."""
+    contexts, own, _, hits = _related(spark, sf_dir)
+    rows = C.fired_events(contexts, hits, C.reasons(contexts, hits, own), F.lit(1.0)).withColumn("p", F.from_json("payload", "watching string, matched long"))
+    return rows.select("kind", "source", F.substring(F.col("item_id"), 5, 40).alias("item_id"), "p.matched", F.md5("p.watching").alias("watching"))
+
+
+QUOTE = """kept AS (SELECT i.qid, i.item_id, u.n, h.kind, l.text FROM items i, (SELECT unnest(range(1, 4)) AS n) u, lines l JOIN hits h ON h.chunk_id = l.chunk_id
+  WHERE i.rank = 1 AND h.qid = i.qid AND split_part(i.chunk_ids, ',', u.n) = l.chunk_id),
+best AS (SELECT qid, item_id, min_by(text, n) FILTER (WHERE kind = 'body') AS anchor, min_by(text, n) FILTER (WHERE kind = 'body' AND length(text) > 24) AS long_, min_by(text, n) FILTER (WHERE kind <> 'title' AND length(text) > 16) AS other FROM kept GROUP BY ALL),
+sq AS (SELECT qid, item_id, trim(regexp_replace(coalesce(anchor, ''), '\\s+', ' ', 'g')) AS t, coalesce(long_, other) AS quoted FROM best),
+fr AS (SELECT *, CASE WHEN length(t) <= 48 THEN t WHEN contains(substr(t, 1, 48), ' ') THEN regexp_replace(substr(t, 1, 48), ' [^ ]*$', '') ELSE substr(t, 1, 48) END AS a, regexp_replace(substr(t, -48), '^[^ ]* ', '') AS b FROM sq)"""
+
+
+@query(f"""WITH {RELATED}, {QUOTE}, n AS (SELECT qid, count(*) AS n FROM items GROUP BY qid)
+SELECT fr.qid, fr.item_id, 'You already saved ' || n || ' related item(s); the closest is “' || title || '” by ' || author || '. From it: ' AS lead, 'https://example.org/' || fr.item_id ||
+  CASE WHEN length(t) < 8 THEN '' ELSE '#:~:text=' || replace(url_encode(a), '-', '%2D') || CASE WHEN length(t) > 96 AND b <> '' AND b <> a THEN ',' || replace(url_encode(b), '-', '%2D') ELSE '' END END AS link
+FROM fr JOIN n ON n.qid = fr.qid JOIN it ON it.source_id = fr.item_id""")
 def explain_related(spark, sf_dir):
-    """Links and a sentence for the first hit of each context."""
+    """Links and a sentence for the first hit of each context; the sentence up to where it quotes."""
     contexts, own, chunks, hits = _related(spark, sf_dir)
     best = hits.where("rank = 1").select("qid", "item_id", F.posexplode("chunk_ids").alias("n", "chunk_id"))
     best = best.join(chunks.select("chunk_id", "kind", "text"), "chunk_id").groupBy("qid", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "kind", "text"))), lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"), F.lit(0.0).alias("start"))).alias("chunks"))
@@ -284,7 +394,8 @@ def explain_related(spark, sf_dir):
     asked = C.contexts_as_queries(contexts).select("qid", F.col("text").alias("asked"))
     full = best.join(n, "qid").join(asked, "qid").join(own.select(F.col("id").alias("item_id"), "title", "author", "url", "media_kind", "source"), "item_id")
     said = C.explanation(F.col("n"), F.col("title"), F.col("author"), C.quote(F.col("chunks"), text.tokenize(F.col("asked")), F.col("title")), F.col("asked"))
-    return full.select("qid", "item_id", said.alias("explanation"), C.deep_link(F.col("media_kind"), F.col("source"), F.col("url"), F.col("chunks")).alias("link"))
+    lead = F.regexp_extract(said, "(?s)^(.*?[.] From it: )", 1)
+    return full.select("qid", F.substring(F.col("item_id"), 5, 40).alias("item_id"), lead.alias("lead"), C.deep_link(F.col("media_kind"), F.col("source"), F.col("url"), F.col("chunks")).alias("link"))
 
 
 @query(f"""WITH {DOCS}, {bm25_sql("_docs")}, {dense_sql("_docs")}, {topk_sql("bm", 10, "a", "score > 0")}, {topk_sql("ds", 10, "b")},
@@ -294,10 +405,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, f) AS r
 SELECT qid, chunk_id AS key, round(score, 9) AS score, origins, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
 def federate(spark, sf_dir):
     """Lexical and dense answers as two libraries' lists."""
-    docs, q = whole_documents(spark, sf_dir), questions(spark, sf_dir)
-    vec = index.hashed(docs, 512, ("chunk_id",)), index.hashed(q.withColumn("tokens", text.tokenize(F.col("text"))), 512, ("qid",))
+    docs, q = stored(spark, sf_dir, whole_documents)[0], questions(spark, sf_dir)
+    terms = settle(index.query_terms(retrieve.asked_of(q)))
     one = lambda df: df.select("qid", F.col("chunk_id").alias("key"), "rank", F.lit(1).alias("n_chunks"), F.col("score").alias("confidence"), F.col("chunk_id").alias("payload"))
-    out = retrieve.federate([one(retrieve.lexical_topk(docs, q, 10)), one(index.dense_topk(*vec, 10, 512))])
+    out = retrieve.federate([one(retrieve.lexical_topk(docs, terms, 10)), one(index.dense_topk(docs.packs, question_vectors(q), 10, 512))])
     return out.select("qid", "key", F.round("score", 9).alias("score"), F.array_join(F.col("origins").cast("array<string>"), ",").alias("origins"), "rank")
 
 
@@ -322,6 +433,13 @@ def debounced_navigation(spark, sf_dir):
     return streams.debounce(events, "1400 seconds").select("key", "event_id", "n")
 
 
+@query("SELECT event_id, user_id AS key, event_type AS page FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type")
+def page_key_dedup(spark, sf_dir):
+    """A page that a user is on already is not looked at again; event types stand for pages."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("page"))
+    return streams.fresh_pages(events).select("event_id", "key", "page")
+
+
 @query("WITH m AS (SELECT user_id || ':' || event_type AS key, max(value) AS most FROM events GROUP BY ALL) SELECT user_id || ':' || event_type AS key, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.key = e.user_id || ':' || e.event_type AND most > 100)")
 def unmuted_events(spark, sf_dir):
     """Events of keys that are not muted for good (a key with a value above 100 is)."""

@@ -36,22 +36,40 @@ def unmuted(events: DataFrame, muted: DataFrame) -> DataFrame:
     return events.join(muted.select("key").distinct(), "key", "left_anti")
 
 
-def cooldown_stream(events: DataFrame, seconds: float = 45 * 60) -> DataFrame:
-    """The same on a stream of (key, event_id, us): the state of a key is its last fire; rows of one trigger are taken in time order."""
+def cooldown_stream(events: DataFrame, seconds: float = 45 * 60, delay: str = "10 minutes") -> DataFrame:
+    """The same on a stream of (key, event_id, us); rows of one trigger are taken in time order.
+
+    The state of a key is its last fire. It goes once the watermark, which lags by delay, has passed the time in which it can suppress
+    anything, so state grows with the keys of that time and not with all keys. A key's rows of one trigger are sorted in one
+    task; the trigger's size (maxFilesPerTrigger and the like) bounds them."""
     import pandas as pd
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["us", "event_id"])
+        rows = pd.concat([f[["event_id", "us"]] for f in frames]).sort_values(["us", "event_id"])
         fires = []
         for us in rows["us"]:
             on = last is None or us - last >= seconds * 1e6
             last = us if on else last
             fires.append(on)
         state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last / 1000 + seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "us": rows["us"], "fires": fires})
 
-    return events.groupBy("key").applyInPandasWithState(step, "key string, event_id long, us long, fires boolean", "last long", "append", "NoTimeout")
+    timed = events.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", delay)
+    return timed.groupBy("key").applyInPandasWithState(step, "key string, event_id long, us long, fires boolean", "last long", "append", "EventTimeTimeout")
+
+
+def fresh_pages(events: DataFrame) -> DataFrame:
+    """Of events (key, ts, event_id, page) those whose page is another than the key's event before had."""
+    from pyspark.sql import Window as W
+
+    before = F.lag("page").over(W.partitionBy("key").orderBy("ts", "event_id"))
+    first = F.row_number().over(W.partitionBy("key").orderBy("ts", "event_id")) == 1
+    return events.withColumn("_new", first | ~F.col("page").eqNullSafe(before)).where("_new").drop("_new")
 
 
 def debounce(events: DataFrame, gap: str = "1400 milliseconds") -> DataFrame:

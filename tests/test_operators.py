@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,11 +91,15 @@ def corpus(spark, n=60, seed=3):
     qs = [(k, " ".join(topics[k][:5])) for k in range(6)] + [(90, "nothing known here"), (91, "  ")]
     queries = spark.createDataFrame(qs, "qid long, text string")
     toks = queries.withColumn("tokens", index.tokenize(F.col("text")))
-    return rows, qs, chunks, queries, index.blake2b_vectors(chunks, 512, ("chunk_id",)), index.blake2b_vectors(toks, 512, ("qid",))
+    return rows, qs, index.Index.of(chunks, index.blake2b_vectors(chunks, 512, ("chunk_id",))), chunks, queries, index.blake2b_vectors(toks, 512, ("qid",))
+
+
+def terms_of(queries):
+    return index.query_terms(retrieve.asked_of(queries))
 
 
 def test_bm25(spark):
-    rows, qs, chunks, queries, _, _ = corpus(spark)
+    rows, qs, idx, _, queries, _ = corpus(spark)
     docs = {r[0]: r[4].split() for r in rows}
     n, avg = len(docs), sum(map(len, docs.values())) / len(docs)
     want = {}
@@ -105,31 +110,64 @@ def test_bm25(spark):
                 for c, tf in own.items():
                     idf = math.log(1 + (n - len(own) + 0.5) / (len(own) + 0.5))
                     want[q, c] = want.get((q, c), 0) + idf * tf * 2.4 / (tf + 1.4 * (0.28 + 0.72 * len(docs[c]) / avg))
-    got = {(r.qid, r.chunk_id): r.score for r in retrieve.bm25_scores(chunks, queries).collect()}
+    got = {(r.qid, r.chunk_id): r.score for r in retrieve.bm25_scores(idx, terms_of(queries)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
 
 
-def test_search(spark):
-    rows, qs, chunks, queries, cv, qv = corpus(spark)
-    hits = retrieve.search_chunks(chunks, queries, cv, qv, 40).collect()
+def test_search(spark, tmp_path):
+    rows, qs, idx, chunks, queries, qv = corpus(spark)
+    hits = retrieve.search_chunks(idx, queries, qv, 40).collect()
     per = {}
     for h in hits:
         per.setdefault((h.qid, h.item_id), []).append(h)
     assert max(map(len, per.values())) <= 4 and max(h.hit for h in hits) <= 40
-    found = retrieve.search_items(chunks, queries, cv, qv).collect()
+    found = retrieve.search_items(idx, queries, qv).collect()
     by = {}
     for r in sorted(found, key=lambda r: r["rank"]):
         by.setdefault(r.qid, []).append(r)
     for k in range(6):  # each topic's items, and no others
         assert by[k] and all(int(r.item_id[1:]) % 6 == k for r in by[k]) and len(by[k]) <= 5
     assert 90 not in by and 91 not in by
-    one = retrieve.search_items(chunks, queries.where("qid = 2"), cv, qv.where("qid = 2")).collect()
+    one = retrieve.search_items(idx, queries.where("qid = 2"), qv.where("qid = 2")).collect()
     assert sorted(map(str, one)) == sorted(map(str, by[2]))  # one query alone or among others
-    again = retrieve.search_items(chunks.repartition(7), queries, cv.repartition(5), qv).collect()
-    assert sorted(map(str, again)) == sorted(map(str, found))
-    only = retrieve.search_items(chunks, queries, cv, qv, sources=["s1"]).collect()
+    kept = index.Index.write(chunks.repartition(7), index.blake2b_vectors(chunks.repartition(5), 512, ("chunk_id",)), f"{tmp_path}/index")
+    again = retrieve.search_items(kept, queries, qv).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))  # stored or not, however it is dealt
+    only = retrieve.search_items(index.Index.read(spark, f"{tmp_path}/index"), queries, qv, sources=["s1"]).collect()
     assert only and all(int(r.item_id[1:]) % 2 for r in only)
-    assert not retrieve.search_items(chunks, queries, cv, qv, min_score=0.99).count()
+    assert not retrieve.search_items(kept, queries, qv, min_score=0.99).count()
+    silent = spark.createDataFrame([(by[2][0].item_id,)], "item_id string")
+    assert by[2][0].item_id not in {r.item_id for r in retrieve.search_items(kept, queries, qv, quiet=silent).collect() if r.qid == 2}
+    assert {r.qid for r in retrieve.search_items(kept, queries, None).collect()} <= set(range(6))
+
+
+def test_stored_search_reads_its_terms_alone(spark, tmp_path):
+    """The filter on tokens reaches the files, for few terms and for many."""
+    _, _, _, chunks, queries, _ = corpus(spark)
+    kept = index.Index.write(chunks, index.blake2b_vectors(chunks, 512, ("chunk_id",)), f"{tmp_path}/index")
+    plan = retrieve.bm25_scores(kept, terms_of(queries.where("qid = 2")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(token,") >= 2 and "PushedFilters: [Or(" in plan
+    want = {(r.qid, r.chunk_id): r.score for r in retrieve.bm25_scores(kept, terms_of(queries)).collect()}
+    old, index.NAMED = index.NAMED, 3
+    try:
+        assert {(r.qid, r.chunk_id): r.score for r in retrieve.bm25_scores(kept, terms_of(queries)).collect()} == want
+    finally:
+        index.NAMED = old
+
+
+def test_confidence_by_passage(spark):
+    """A passage without a comparable vector is judged by its words, others by both."""
+    rows, _, _, chunks, queries, qv = corpus(spark)
+    mixed = chunks.withColumn("comparable", F.col("chunk_id") < "030")
+    vectors = index.blake2b_vectors(mixed.where("comparable"), 512, ("chunk_id",))
+    idx = index.Index.of(mixed, vectors)
+    hits = retrieve.search_chunks(idx, queries, qv)
+    got = retrieve.with_confidence(hits, idx, terms_of(queries)).collect()
+    assert {r.chunk_id < "030" for r in got} == {True, False}
+    for r in got:
+        d, c = max(0, min(1, r.dense)), r.coverage
+        want = 0.55 * (0.45 * d + 0.55 * c) + 0.45 * math.sqrt(d * c) if r.chunk_id < "030" else 0.85 * c
+        assert abs(r.confidence - want) < 1e-6
 
 
 def test_confidence(spark):
@@ -144,7 +182,7 @@ def test_coverage_scripts(spark):
     terms = [("redis", 2.0), ("持久", 3.0), ("cache", 1.0)]
     rows = [("redis and cache in english words", ["redis", "cache"]), ("持久化是数据库的功能之一", ["持久"]), ("ab", ["redis"]), ("no match in english", ["other"])]
     df = spark.createDataFrame([(t, k, terms) for t, k in rows], "t string, k array<string>, terms array<struct<token:string,weight:double>>").coalesce(1)
-    got = [r.v for r in df.select(retrieve.coverage(F.col("terms"), F.col("k"), F.col("t")).alias("v")).collect()]
+    got = [r.v for r in df.select(retrieve.coverage(F.col("terms"), F.col("k"), index.script_of(F.col("t"))).alias("v")).collect()]
     assert [round(x, 6) for x in got] == [round(2 / 2.8, 6), round(1 / 1.8, 6), round((2 / 6) / 1.8, 6), 0.0]
 
 
@@ -152,8 +190,9 @@ def test_dense_ties_and_blocks(spark):
     vec = spark.createDataFrame([(f"c{i:02d}", [i % 3], [1.0 if i % 2 else -1.0]) for i in range(40)] + [("none", [], [])], "chunk_id string, idx array<int>, val array<double>").repartition(4)
     q = spark.createDataFrame([(k, [k], [1.0]) for k in range(3)], "qid long, idx array<int>, val array<double>")
     want = sorted((k, f"c{i:02d}", 1.0 if i % 3 == k and i % 2 else (-1.0 if i % 3 == k else 0.0)) for k in range(3) for i in range(40))
-    for block in (2, 100):
-        got = index.dense_topk(vec, q, 12, 3, block=block).collect()
+    for block, most, size in ((2, 100, 7), (100, 100, 4096), (1, 0, 5)):
+        got = index.dense_topk(index.packed(vec, size), q, 12, 3, block=block, most_broadcast=most).collect()
+        assert len(got) == 36
         for k in range(3):
             own = sorted([(c, s) for kk, c, s in want if kk == k] + [("none", 0.0)], key=lambda x: (-x[1], x[0]))[:12]
             assert [(r.chunk_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == k] == own
@@ -216,11 +255,11 @@ def test_capture_summary(spark):
 
 
 def test_relate(spark):
-    rows, _, chunks, _, cv, _ = corpus(spark)
+    rows, _, idx, chunks, _, _ = corpus(spark)
     items = spark.createDataFrame([item(i, id=f"i{i:03d}", status="muted" if i % 12 == 0 else "active") for i in range(60)], ITEM)
     ctx = "qid long, source string, source_id string, title string, author string, description string, tags array<string>"
     contexts = spark.createDataFrame([(1, "i", "x", "t0w0 t0w1 t0w2 t0w3 t0w4", "", "", []), (2, "", "", "", "", "", []), (3, "q", "9", "unheard of", "", "", [])], ctx)
-    hits = C.relate(contexts, items, chunks, cv, lambda q: index.blake2b_vectors(q, 512, ("qid",)))
+    hits = C.relate(contexts, items, idx, lambda q: index.blake2b_vectors(q, 512, ("qid",)))
     got = hits.collect()
     assert got and {r.qid for r in got} == {1} and all(int(r.item_id[1:]) % 12 == 6 for r in got)
     why = {r.qid: (r.fired, r.reason_code) for r in C.reasons(contexts, hits, items).collect()}
@@ -228,8 +267,26 @@ def test_relate(spark):
     few = {r.qid: r.reason_code for r in C.reasons(contexts, hits, items.limit(3)).collect()}
     assert few == {1: "library_too_small", 2: "empty_context", 3: "library_too_small"}
     me = spark.createDataFrame([(1, "i", "", "t0w0 t0w1 t0w2", "", "", [])], ctx).withColumn("source_id", F.lit("x"))
-    own = chunks.withColumn("item_id", F.when(F.col("item_id") == got[0].item_id, "i:x").otherwise(F.col("item_id")))
-    assert "i:x" not in {r.item_id for r in C.relate(me, items, own, cv, lambda q: index.blake2b_vectors(q, 512, ("qid",))).collect()}
+    own = replace(idx, chunks=idx.chunks.withColumn("item_id", F.when(F.col("item_id") == got[0].item_id, "i:x").otherwise(F.col("item_id"))))
+    assert "i:x" not in {r.item_id for r in C.relate(me, items, own, lambda q: index.blake2b_vectors(q, 512, ("qid",))).collect()}
+    one = C.relate(contexts, items, idx, lambda q: index.blake2b_vectors(q, 512, ("qid",)), sources=["s1"]).collect()
+    assert one == [] or all(int(r.item_id[1:]) % 2 for r in one)
+    log = C.fired_events(contexts, hits, C.reasons(contexts, hits, items), F.lit(5.0)).collect()
+    assert [(r.ts, r.kind, r.source, r.item_id) for r in log] == [(5.0, "fired", "i", min(got, key=lambda r: r["rank"]).item_id)]
+    assert json.loads(log[0].payload) == {"watching": "t0w0 t0w1 t0w2 t0w3 t0w4", "matched": len(got)}
+
+
+def test_relate_urls(spark):
+    """Bare URLs: unknown, unreadable, stored itself, read anew."""
+    _, _, idx, _, _, _ = corpus(spark)
+    items = spark.createDataFrame([item(i, id=f"i{i:03d}") for i in range(60)] + [item(99, id="youtube:abcdefghijk", title="t3w0 t3w1 t3w2 t3w3 t3w4", author="", description="")], ITEM)
+    urls = spark.createDataFrame([(1, ""), (2, "https://e.com/blank"), (3, "https://youtu.be/abcdefghijk"), (4, "https://e.com/read")], "qid long, url string")
+    pages = spark.createDataFrame([(4, "t1w0 t1w1 t1w2 t1w3 t1w4", "", "")], "qid long, title string, author string, text string")
+    hits, why = C.relate_urls(urls, items, idx, lambda q: index.blake2b_vectors(q, 512, ("qid",)), pages)
+    assert {r.qid: r.reason_code for r in why.collect()} == {1: "unknown_url", 2: "page_unreadable", 3: "", 4: ""}
+    assert {r.qid for r in hits.collect()} == {3, 4}
+    hits, why = C.relate_urls(urls, items, replace(idx, chunks=idx.chunks.limit(0)), lambda q: index.blake2b_vectors(q, 512, ("qid",)), pages)
+    assert {r.qid: r.reason_code for r in why.collect()} == {1: "unknown_url", 2: "page_unreadable", 3: "self_saved", 4: "no_match"}
 
 
 def test_links_and_quotes(spark):
@@ -275,7 +332,28 @@ def test_files(spark, tmp_path):
     assert (one.title, one.folder, one.source) == ("One", "F", "web")
     urls = files.as_items(files.read_urls(spark, f"{tmp_path}/u.txt")).orderBy("idx").collect()
     assert [r.title for r in urls] == ["https://e.com/x", "e.com/y"]
-    twice = files.as_items(files.read_jsonl(spark, f"{tmp_path}/a.jsonl")).unionByName(files.as_items(files.read_jsonl(spark, f"{tmp_path}/a.jsonl")).withColumn("idx", F.col("idx") + 100))
+    both = files.as_items(files.read_json(spark, f"{tmp_path}/*.json"))
+    assert sorted((r.id, r.title, r.folder) for r in both.where("id <> 'youtube:abcdefghijk'").collect()) == [("local:77", "Item 2", "l"), ("local:77", "Item 2", "o")]
+    (tmp_path / "x.jsonl").write_text('{"title": "p"}\n\n{"title": ""}')
+    (tmp_path / "y.jsonl").write_text('{"title": "q"}\n{"title": "r"}')
+    (tmp_path / "y.csv").write_text("title\nS\nT\n")
+    (tmp_path / "z.csv").write_text("title\nU\n")
+    (tmp_path / "v.txt").write_text("e.com/1\n#\ne.com/2")
+    for rows_, n in ((files.read_jsonl(spark, f"{tmp_path}/[xy].jsonl"), 4), (files.read_csv(spark, f"{tmp_path}/[yz].csv"), 3), (files.read_urls(spark, f"{tmp_path}/[uv].txt"), 4)):
+        found = files.as_items(rows_)
+        assert found.count() == files.first_of_each(found).count() == n == found.select("id").distinct().count()
+    named = {r.id: r.title for r in files.as_items(files.read_jsonl(spark, f"{tmp_path}/[xy].jsonl")).collect()}
+    assert named == {"local:local-x-0": "p", "local:local-x-1": "Item 2", "local:local-y-0": "q", "local:local-y-1": "r"}
+    with open(tmp_path / "big.txt", "w") as f:
+        f.write("\n".join(f"https://e.com/{i:07d}" for i in range(60_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        lines = files.read_urls(spark, f"{tmp_path}/big.txt")
+        assert lines.select(F.spark_partition_id()).distinct().count() > 1
+        assert lines.where(F.try_variant_get("row", "$.url", "string") != F.format_string("https://e.com/%07d", "idx")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    twice = files.as_items(files.read_jsonl(spark, f"{tmp_path}/a.jsonl")).unionByName(files.as_items(files.read_jsonl(spark, f"{tmp_path}/a.jsonl")).withColumn("idx", F.struct(F.concat(F.col("idx.path"), F.lit("~")).alias("path"), F.col("idx.idx").alias("idx"))))
     assert files.first_of_each(twice).count() == 2
 
 
