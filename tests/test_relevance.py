@@ -1,0 +1,85 @@
+"""A library of 18 saves: pages on a saved topic bring it up, others stay silent, and a thin library waits."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.config import Settings
+from recollect.operators import index, retrieve
+from recollect.plans import context as C
+from recollect.plans import ingest as G
+from recollect.sources.adapter import FileAdapter
+
+#: title; passages of the transcript or body
+SAVES = {
+    "Attention in transformers": ["queries keys and values form the attention matrix", "multi-head attention lets a transformer look at many positions", "softmax scales the dot product by the root of the dimension"],
+    "Redis persistence": ["redis writes an append only file and rdb snapshots", "fsync every second bounds what redis may lose", "rdb forks the process to dump memory"],
+    "Sourdough starter": ["feed the sourdough starter with flour and water daily", "a ripe starter doubles its volume and floats", "proof the sourdough dough overnight in the fridge"],
+    "B-tree indexes": ["a b-tree keeps keys sorted in wide nodes", "database indexes split full b-tree pages", "range scans walk the leaf pages of the b-tree"],
+    "Fermat's little theorem": ["fermat's little theorem holds modulo a prime", "modular exponentiation makes primality tests fast", "carmichael numbers fool the fermat test"],
+    "Rust ownership": ["rust moves ownership unless a value is borrowed", "the borrow checker forbids aliasing with mutation", "lifetimes tell how long a rust reference lives"],
+    "Cycling cadence": ["a cadence of ninety saves the knees on a bicycle", "shift gears before the climb and keep the cadence", "power meters show watts at each pedal stroke"],
+    "Kalman filter": ["the kalman filter predicts a state and corrects it by measurement", "covariance grows in the prediction step", "the kalman gain weighs sensor noise"],
+    "Espresso extraction": ["grind finer when espresso runs too fast", "channeling ruins extraction of the puck", "nine bars of pressure pull a ristretto"],
+    "Consistent hashing": ["consistent hashing maps shards onto a ring", "virtual nodes even out the load of the hash ring", "few keys move when a shard joins the ring"],
+    "向量数据库原理": ["向量数据库用近似最近邻索引加速检索", "乘积量化压缩高维向量", "图索引在召回率和延迟之间取舍"],
+    "红烧肉的做法": ["五花肉切块焯水去腥", "冰糖炒出糖色再下肉", "小火慢炖一小时收汁"],
+    "Quantum error correction": ["surface codes protect a logical qubit", "syndrome measurement finds bit flips without reading the qubit", "decoders match syndromes to likely errors"],
+    "Watercolor washes": ["a wet brush lays a flat wash of pigment", "glazing watercolor in thin layers keeps it luminous", "cold pressed paper holds the pigment"],
+    "TCP congestion": ["slow start doubles the congestion window", "tcp halves its window after packet loss", "bbr models bottleneck bandwidth and round trip time"],
+    "Orchid care": ["water orchids with ice sparingly and drain the bark", "phalaenopsis orchids bloom after cool nights", "repot the orchid when its roots rot"],
+    "Chess endgames": ["rook endgames hinge on the lucena position", "opposition decides king and pawn endgames", "the philidor defence draws a rook down a pawn"],
+    "Bayesian inference": ["the posterior is prior times likelihood over evidence", "conjugate priors keep bayesian updates closed", "markov chain monte carlo samples the posterior"],
+}
+#: what is being looked at; the save that it should bring up
+FIRES = [
+    ("How transformer attention computes queries, keys and values", "Attention in transformers"), ("Redis append only file and snapshots explained", "Redis persistence"), ("Feeding a sourdough starter with flour", "Sourdough starter"),
+    ("Why database indexes are b-tree pages", "B-tree indexes"), ("Rust borrow checker and lifetimes", "Rust ownership"), ("Tuning a kalman filter with noisy sensor covariance", "Kalman filter"), ("Hash ring: consistent hashing of shards", "Consistent hashing"),
+    ("向量数据库的近似最近邻索引", "向量数据库原理"), ("红烧肉 五花肉 冰糖 炒糖色", "红烧肉的做法"), ("TCP slow start and the congestion window", "TCP congestion"), ("Rook endgames and the lucena position", "Chess endgames"),
+]
+SILENT = ["Celebrity gossip of the week", "Cheap flights to Lisbon in May", "新能源汽车降价潮", "Unboxing the newest phone case", "How to tie a bow tie", "Football transfer rumours", "今天天气预报和穿衣指数"]
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("demo") / "demo.jsonl"
+    path.write_text("\n".join(json.dumps({"url": f"https://youtu.be/{k:011d}", "title": t, "folder": "demo", "transcript": [{"start": 20.0 * i, "duration": 20, "text": x} for i, x in enumerate(p)]}) for k, (t, p) in enumerate(SAVES.items())))
+    lib, _, report = G.run(G.Library.empty(spark), FileAdapter(str(path), "jsonl"))
+    assert report.first().added == 18
+    lib = lib.write(str(path.parent / "library"))
+    chunks, vectors = G.searchable(lib, "local-hash")
+    return lib, index.Index.write(chunks, vectors, str(path.parent / "index"))
+
+
+def embed(q):
+    return index.blake2b_vectors(q, 512, ("qid",))
+
+
+def contexts(spark, titles):
+    return spark.createDataFrame([(i, "web", f"x{i}", t, "", "", []) for i, t in enumerate(titles)], "qid long, source string, source_id string, title string, author string, description string, tags array<string>")
+
+
+def test_what_fires(spark, library):
+    lib, idx = library
+    titles = {r.id: r.title for r in lib.items.collect()}
+    asked = contexts(spark, [t for t, _ in FIRES])
+    hits = C.relate(asked, lib.items, idx, embed)
+    first = {r.qid: titles[r.item_id] for r in hits.where("rank = 1").collect()}
+    assert [first.get(i) for i in range(len(FIRES))] == [want for _, want in FIRES]
+
+
+def test_what_stays_silent(spark, library):
+    lib, idx = library
+    asked = contexts(spark, SILENT)
+    hits = C.relate(asked, lib.items, idx, embed)
+    assert {r.reason_code for r in C.reasons(asked, hits, lib.items).collect()} == {"no_match"}
+    few = lib.items.limit(5)
+    assert {r.reason_code for r in C.reasons(asked, hits, few).collect()} == {"library_too_small"}
+
+
+def test_search_and_its_limits(spark, library):
+    lib, idx = library
+    q = spark.createDataFrame([(1, "kalman gain sensor noise"), (2, "")], "qid long, text string")
+    got = retrieve.search_items(idx, q, embed(q.withColumn("tokens", index.tokenize(F.col("text")))), limit=3).collect()
+    assert got and {r.qid for r in got} == {1} and len(got) <= 3 and all(r.confidence >= Settings().min_confidence for r in got)
