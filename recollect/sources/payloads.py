@@ -20,7 +20,10 @@ SAID = "struct<textOriginal:string,textDisplay:string,likeCount:int,authorDispla
 THREADS = f"items array<struct<snippet:struct<topLevelComment:struct<snippet:{SAID}>>,replies:struct<comments:array<struct<snippet:{SAID}>>>>>"
 REPLY = "content:struct<message:string>,`like`:int,member:struct<uname:string>"
 REPLIES = f"replies array<struct<{REPLY},replies:array<struct<{REPLY}>>>>"
-MEDIA = "medias array<struct<bvid:string,bv_id:string,title:string,intro:string,`desc`:string,cover:string,pic:string,duration:int,pubtime:double,pubdate:double,fav_time:double,add_at:double,upper:struct<name:string,mid:string>,owner:struct<name:string,mid:string>>>"
+#: The folder that is no folder: what is to be watched later, listed under another name.
+LATER = "toview"
+_MEDIUM = "struct<bvid:string,bv_id:string,title:string,intro:string,`desc`:string,cover:string,pic:string,duration:int,pubtime:double,pubdate:double,fav_time:double,add_at:double,upper:struct<name:string,mid:string>,owner:struct<name:string,mid:string>>"
+MEDIA = f"medias array<{_MEDIUM}>,`list` array<{_MEDIUM}>"
 
 
 def first_set(*cols: Column) -> Column:
@@ -54,17 +57,23 @@ def video_items(details: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.join(entries.select("source_id", "folder", "saved_at"), "source_id").withColumn("source", F.lit("youtube")).withColumn("media_kind", F.lit("video"))
 
 
-def favourite_items(pages: DataFrame) -> DataFrame:
-    """Saved videos from pages (folder, page, payload) of favourites folders; the first folder that holds one counts."""
-    m = pages.select("folder", "page", F.posexplode(F.from_json("payload", MEDIA)["medias"]).alias("at", "m")).select("folder", "page", "at", "m.*")
+def favourite_items(pages: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """Saved videos from pages (folder, page, payload, and folder_id where folders are wanted by it) of favourites folders; the first
+    folder that holds one counts, what is to be watched later (folder_id LATER) after all others. wanted: ids or titles of folders; none: all."""
+    number = F.col("folder_id") if "folder_id" in pages.columns else F.lit("")
+    pages = pages.withColumn("late", number == LATER)
+    if wanted:
+        pages = pages.where(number.isin(*wanted) | F.col("folder").isin(*wanted))
+    payload = F.from_json("payload", MEDIA)
+    m = pages.select("folder", "late", "page", F.posexplode(F.coalesce(payload["medias"], payload["list"])).alias("at", "m")).select("folder", "late", "page", "at", "m.*")
     cover = first_set(F.col("cover"), F.col("pic"))
     rows = m.select(
-        "folder", "page", "at", first_set(F.col("bvid"), F.col("bv_id")).alias("source_id"), first_set(F.col("title")).alias("title"), first_set(F.col("upper.name"), F.col("owner.name")).alias("author"), first_set(F.col("upper.mid"), F.col("owner.mid")).alias("author_id"),
+        "folder", "late", "page", "at", first_set(F.col("bvid"), F.col("bv_id")).alias("source_id"), first_set(F.col("title")).alias("title"), first_set(F.col("upper.name"), F.col("owner.name")).alias("author"), first_set(F.col("upper.mid"), F.col("owner.mid")).alias("author_id"),
         first_set(F.col("intro"), F.col("desc")).alias("description"), F.when(F.startswith(cover, F.lit("//")), F.concat(F.lit("https:"), cover)).otherwise(cover).alias("thumbnail"),
         F.coalesce("duration", F.lit(0)).alias("duration"), first_number(F.col("pubtime"), F.col("pubdate")).alias("published_at"), first_number(F.col("fav_time"), F.col("add_at")).alias("saved_at"),
     )
-    w = W.partitionBy("source_id").orderBy("page", "at")
-    rows = rows.where("source_id <> ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = W.partitionBy("source_id").orderBy("late", "page", "at")
+    rows = rows.where("source_id <> ''").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "late")
     return rows.withColumn("url", F.concat(F.lit(BILI), F.col("source_id"))).withColumn("source", F.lit("bilibili")).withColumn("media_kind", F.lit("video")).withColumn("lang", F.lit("zh"))
 
 

@@ -25,6 +25,15 @@ def test_favourites(spark):
     assert [(r.source_id, r.folder, r.thumbnail, r.author, r.description, r.saved_at, r.published_at) for r in got] == [("BV1", "f", "https://c/x.jpg", "u", "", 5.0, 0.0), ("BV2", "f", "", "", "d", 0.0, 3.0)]
 
 
+def test_folders_wanted_and_watch_later(spark):
+    one = lambda *ids: [{"bvid": i, "title": i} for i in ids]
+    pages = [("later", "toview", 0, json.dumps({"list": one("BV1", "BV9")})), ("f", "11", 1, json.dumps({"medias": one("BV1")})), ("g", "12", 2, json.dumps({"medias": one("BV3")}))]
+    df = spark.createDataFrame(pages, "folder string, folder_id string, page int, payload string")
+    folders = lambda *wanted: {r.source_id: r.folder for r in P.favourite_items(df, wanted).collect()}
+    assert folders() == {"BV1": "f", "BV9": "later", "BV3": "g"}
+    assert folders("12", "later") == {"BV1": "later", "BV9": "later", "BV3": "g"} and folders("f") == {"BV1": "f"}
+
+
 def test_comments(spark):
     top = lambda t, n: {"snippet": {"topLevelComment": {"snippet": {"textOriginal": t, "likeCount": n, "authorDisplayName": "a"}}}, "replies": {"comments": [{"snippet": {"textDisplay": " a fair reply "}}, {"snippet": {"textOriginal": "ok"}}, {"snippet": {"textOriginal": "third is too late"}}]}}
     threads = {"items": [top("liked by a few people", 5), top("short", 99), top("liked by nobody at all", 0), top("liked by many people", 50), top("as many, but later on", 5)]}
@@ -70,3 +79,24 @@ def test_small_things(spark):
 
     assert index.choose_embedder("no such") is index.blake2b_vectors and index.choose_embedder("sql-hash") is index.hashed
     assert meta.select(index.prefixed(F.col("value"), "query")).first()[0] == "query: 1"
+
+
+def test_sql_names_agree_with_columns(spark):
+    """What SQL calls by name gives what the columns give."""
+    from recollect.functions.identity import canonical_url
+    from recollect.functions.text import normalize, tokenize
+
+    register(spark)
+    texts = [None, "", "self-attention in GPT-4.5 vs node_js", "向量数据库入门 ﬁne ｶﾅ", "the of and", "x.y.z --- ___ it's"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df.createOrReplaceTempView("texts")
+    got = {r.i: (r.k, r.n) for r in spark.sql("select i, tokenize(t) k, normalize_text(t) n from texts").collect()}
+    assert got == {r.i: (r.k, r.n) for r in df.select("i", tokenize(F.col("t")).alias("k"), normalize(F.col("t")).alias("n")).collect()}
+    urls = [None, " ", "Example.com", "http://user@WWW.e.com:8080/a//?b=1&utm_source=x&c=%zz&d=a+b*~&&=3#f", "https://e.com:443/?q=%E6%BC%A2", "e.com/p?x", "ftp://www.e.com:080"]
+    df = spark.createDataFrame(list(enumerate(urls)), "i int, u string")
+    df.createOrReplaceTempView("urls")
+    assert {r.i: r.c for r in spark.sql("select i, canonical_url(u) c from urls").collect()} == {r.i: r.c for r in df.select("i", canonical_url(F.col("u")).alias("c")).collect()}
+    segments = [("first words said here", 0.0, 3.0), ("", 3.0, 4.0), ("and more of them " * 30, 4.0, 9.0)]
+    spark.createDataFrame([("a", segments), ("b", [])], "id string, segments array<struct<text:string,start:double,end:double>>").createOrReplaceTempView("said")
+    rows = spark.sql("select id, c.* from said, lateral chunk_segments(segments) c order by ordinal").collect()
+    assert [(r.id, r.ordinal, r.start, r.end) for r in rows] == [("a", 0, 0.0, 3.0), ("a", 1, 4.0, 9.0)]
