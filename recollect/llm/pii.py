@@ -54,11 +54,14 @@ def automaton():
 def find(text: str, anchors) -> list[tuple[int, int, int]]:
     """(start, place in KINDS, end), sorted. Of the base kinds exactly the leftmost non-overlapping matches that pass.
 
-    The automaton runs over the text in ASCII lower case, so that a cue is found however it is written."""
+    The automaton runs over the text in lower case, so that a cue is found however it is written."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter that becomes two
+        low = text.translate(LOWER)
     out = []
     n = len(text)
     mail = dotted = spaced = phone = url = account = 0  # where the next match of each may start
-    for i, kind in anchors.iter(text.translate(LOWER)):
+    for i, kind in anchors.iter(low):
         if kind == "0":
             # a digit after a digit (card: also after one space or hyphen and a digit) belongs to a run already expanded
             if i >= dotted:
