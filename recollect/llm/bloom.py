@@ -104,22 +104,26 @@ def of(keys: DataFrame, most: int = 27) -> tuple[bytes, int]:
     return merge(keys.mapInArrow(fill, SCHEMA), log2)[0].tobytes(), log2
 
 
-def halves(rows: DataFrame, keys: DataFrame, most: int = 27) -> tuple[DataFrame, DataFrame]:
-    """rows, whose first column is a 64-bit key, in two: those whose key is surely not in keys, and the others.
+class Split:
+    """Rows in two: those whose key, a 64-bit number in their first column, is surely not in keys, and the others.
 
-    Only the others need to be sent to meet what belongs to their keys."""
-    held, log2 = of(keys, most)
-    sent = rows.sparkSession.sparkContext.broadcast(held)
+    Only the others need to be sent to meet what belongs to their keys. within() and without() are steps of mapInArrow; the one that keeps
+    the most rows is best put in front of what follows in the same step, so that a task needs no second Python worker."""
 
-    def pick(yes: bool):
-        def run(batches):
-            import pyarrow as pa
+    def __init__(self, keys: DataFrame, most: int = 27):
+        held, self.log2 = of(keys, most)
+        self.sent = keys.sparkSession.sparkContext.broadcast(held)
 
-            bits = np.frombuffer(sent.value, np.uint8)
-            for b in small(batches):
-                flags = holds(bits, b.column(0).to_numpy().view(np.uint64), log2)
-                yield b.filter(pa.array(flags if yes else ~flags))
+    def _pick(self, batches, yes: bool):
+        import pyarrow as pa
+
+        bits = np.frombuffer(self.sent.value, np.uint8)
+        for b in small(batches):
+            flags = holds(bits, b.column(0).to_numpy().view(np.uint64), self.log2)
+            yield b.filter(pa.array(flags if yes else ~flags))
 
-        return run
+    def within(self, batches):
+        yield from self._pick(batches, True)
 
-    return rows.mapInArrow(pick(False), rows.schema), rows.mapInArrow(pick(True), rows.schema)
+    def without(self, batches):
+        yield from self._pick(batches, False)

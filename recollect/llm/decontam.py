@@ -166,7 +166,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERR
             hits = own if hits is None else hits.unionByName(own)
         least = hits.groupBy("row", "item_id").agg(F.min("distance").alias("distance"))
         found = settle(least.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("item_id", "distance"))).alias("found")))
-        clean, met = bloom.halves(rows, found.select("row"))
+        split = bloom.Split(found.select("row"))
+        clean, met = rows.mapInArrow(split.without, rows.schema), rows.mapInArrow(split.within, rows.schema)
         out = clean.withColumn("found", F.array().cast(FOUND)).unionByName(met.join(found, "row", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND))))
     taken = [F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in carry if c != "doc_id"]
     return out.select("doc_id", F.col("found.item_id").alias("item_ids"), F.col("found.distance").alias("distances"), (F.size("found") > 0).alias("contaminated"), *taken)

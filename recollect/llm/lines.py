@@ -105,9 +105,16 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, keys_expected: int |
 
     more = [c for c in carry if c not in ("doc_id", "text")]
     rows = docs.select(F.struct(F.lit(0).alias("doc_id"), *more).alias("carried"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    whole, losing = bloom.halves(rows.select(row, "doc_id", "text", "carried"), drops.select("row"))
-    none = F.lit(None).cast("array<int>").alias("gone")
-    both = whole.select("doc_id", "text", none, "carried").unionByName(losing.join(drops, "row", "left").select("doc_id", "text", "gone", "carried"))
-    schema = StructType([StructField("doc_id", LongType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", BinaryType()), both.schema["carried"]])
-    out = both.mapInArrow(rewrite, schema)
+    rows = rows.select(row, "doc_id", "text", "carried")
+    split = bloom.Split(drops.select("row"))
+    losing = rows.mapInArrow(split.within, rows.schema).join(drops, "row", "left").select("doc_id", "text", "gone", "carried")
+
+    def whole(batches):
+        import pyarrow as pa
+
+        kept = (pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.nulls(b.num_rows), b.column(3)], names=["doc_id", "text", "gone", "carried"]) for b in split.without(batches))
+        yield from rewrite(kept)
+
+    schema = StructType([StructField("doc_id", LongType()), StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", BinaryType()), rows.schema["carried"]])
+    out = rows.mapInArrow(whole, schema).unionByName(losing.mapInArrow(rewrite, schema))
     return out.select("doc_id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept"), *[F.col("carried")[c].alias(c) for c in more])
