@@ -17,7 +17,7 @@ def main() -> None:
 
     from recollect.config import Settings
     from recollect.operators import index, retrieve
-    from recollect.plans.tables import passages, questions
+    from recollect.plans.tables import passages, questions, stored, whole_documents
     from recollect.queries import queries
 
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
@@ -29,25 +29,31 @@ def main() -> None:
     run = lambda df: df.write.format("noop").mode("overwrite").save()
     spark.range(10).count()
     times, every = {}, queries()
+    # searches read indexes that are built once; building them is part of the total, under names of its own
+    for name, what in (("index_of_documents", whole_documents), ("index_of_passages", passages)):
+        began = time.time()
+        stored(spark, sf, what)
+        times[name] = round(time.time() - began, 3)
     for name in HEADLINES:
         began = time.time()
         run(every[name](spark, sf))
         times[name] = round(time.time() - began, 3)
 
     # The published figures are about building an index and asking it: passages a second, and queries a second in a batch.
+    # Building takes in cutting, tokens, postings, statistics, vectors and writing all of it; asking reads what was written.
+    embed = lambda rows, key: index.blake2b_vectors(rows, Settings().dimensions, (key,))
     began = time.time()
     chunks = passages(spark, sf)
-    vectors = index.blake2b_vectors(chunks, 512, ("chunk_id",))
-    vectors.write.mode("overwrite").parquet(folder := tempfile.mkdtemp(prefix="spark-bench-"))
-    built = time.time() - began
-    vectors, n = spark.read.parquet(folder), chunks.count()
+    built_index = index.Index.write(chunks, embed(chunks, "chunk_id"), tempfile.mkdtemp(prefix="spark-bench-"))
+    built, n = time.time() - began, built_index.n_chunks
     rates = {}
-    for size in (1, 60):
+    for size in (1, 60, 1000):
         asked = questions(spark, sf)
         many = asked.crossJoin(spark.range(-(-size // max(1, asked.count()))).withColumnRenamed("id", "k")).select((F.col("qid") * 1000 + F.col("k")).alias("qid"), "text").limit(size)
         toks = many.withColumn("tokens", index.tokenize(F.col("text")))
+        run(retrieve.search_items(built_index, many.limit(1), embed(toks.limit(1), "qid")))  # warm, as the published figures are
         began = time.time()
-        run(retrieve.search_items(chunks, many, vectors, index.blake2b_vectors(toks, Settings().dimensions, ("qid",))))
+        run(retrieve.search_items(built_index, many, embed(toks, "qid")))
         rates[size] = round(time.time() - began, 3)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "spark": spark.version,

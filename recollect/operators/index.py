@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,16 +11,16 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.text import script_of, tokenize
 
-#: Values up to which a filter names each of them, so that it reaches the row groups' statistics.
-NAMED = 2048
+#: Tokens up to which a filter names each of them. Spark hands a list of that many on to Parquet, which tests every row group and page
+#: for them, only if spark.sql.parquet.pushdown.inFilterThreshold allows it; else their range alone.
+NAMED = 1024
 
 
-def named(column: str, values: list) -> Column:
-    """column is one of the values, as a balanced tree of equalities: Spark pushes a long IN to Parquet as its range alone."""
-    level = [F.col(column) == v for v in sorted(values)] or [F.lit(False)]
-    while len(level) > 1:
-        level = [reduce(Column.__or__, level[i : i + 2]) for i in range(0, len(level), 2)]
-    return level[0]
+def name_tokens(spark: SparkSession) -> None:
+    """Let this session's filters name that many values to Parquet."""
+    key = "spark.sql.parquet.pushdown.inFilterThreshold"
+    if int(spark.conf.get(key)) < NAMED:
+        spark.conf.set(key, str(NAMED))
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
@@ -167,13 +166,15 @@ class Index:
     @staticmethod
     def read(spark: SparkSession, root: str) -> Index:
         stats = spark.read.parquet(f"{root}/stats").first()
+        name_tokens(spark)
         return Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "chunks", "packs")), stats.n_chunks, stats.avg_len or 1.0, stats.max_df)
 
     def of_tokens(self, terms: DataFrame) -> Index:
         """The part of postings and terms that these tokens (terms.token) have: of few tokens, only their row groups are read."""
         few = [r.token for r in terms.select("token").distinct().limit(NAMED + 1).collect()]
         if len(few) <= NAMED:
-            return replace(self, postings=self.postings.where(named("token", few)), terms=self.terms.where(named("token", few)))
+            own = F.col("token").isin(few) if few else F.lit(False)
+            return replace(self, postings=self.postings.where(own), terms=self.terms.where(own))
         wanted = terms.select("token").distinct()
         return replace(self, postings=self.postings.join(wanted, "token", "left_semi"), terms=self.terms.join(wanted, "token", "left_semi"))
 
