@@ -98,9 +98,10 @@ def _groups(text: Column, pattern: str) -> Column:
     return F.array_join(F.filter(F.array(*[F.regexp_extract(text, pattern, k + 1) for k in range(n)]), lambda g: g != ""), "-")
 
 
-def identify(canonical: Column) -> Column:
+def identify(canonical: Column, sites: tuple = SITES, videos: tuple = VIDEOS) -> Column:
     """struct<source, source_id, media_kind> of a canonical URL: video sites first, then the site whose host is the
-    longest suffix, else web. Without an id of the site's own the URL's digest is the id."""
+    longest suffix, else web. Without an id of the site's own the URL's digest is the id. sites and videos are tables like those above;
+    a source of one's own is one more row."""
 
     def make(u: Column) -> Column:
         host = F.regexp_extract(u, "^https://([^/:?]*)", 1)
@@ -108,9 +109,9 @@ def identify(canonical: Column) -> Column:
         named = lambda s, i, k: F.struct(s.alias("source"), i.alias("source_id"), F.lit(k).alias("media_kind"))
         digest = url_digest(u)
         out = F.when(u == "", named(F.lit(""), F.lit(""), "post"))
-        for site, pattern in VIDEOS:
+        for site, pattern in videos:
             out = out.when(u.rlike(pattern), named(F.lit(site), F.regexp_extract(u, pattern, 1), "video"))
-        for name, hosts, pattern in sorted(((n, h, p) for n, _, hs, p in SITES for h in hs), key=lambda x: -len(x[1])):
+        for name, hosts, pattern in sorted(((n, h, p) for n, _, hs, p in sites for h in hs), key=lambda x: -len(x[1])):
             own = F.coalesce(F.nullif(_groups(path, pattern), F.lit("")), digest) if pattern else digest
             out = out.when((host == hosts) | F.endswith(host, F.lit("." + hosts)), named(F.lit(name), own, "post"))
         return out.otherwise(named(F.lit(GENERIC[0]), digest, "post"))
@@ -118,8 +119,8 @@ def identify(canonical: Column) -> Column:
     return let(canonical, make)
 
 
-def label_of(source: Column) -> Column:
-    names = {n: label for n, label, _, _ in SITES} | dict([GENERIC])
+def label_of(source: Column, sites: tuple = SITES) -> Column:
+    names = {n: label for n, label, _, _ in sites} | dict([GENERIC])
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), source), source)
 
 

@@ -40,7 +40,7 @@ def cooldown_stream(events: DataFrame, seconds: float = 45 * 60, delay: str = "1
     """The same on a stream of (key, event_id, us); rows of one trigger are taken in time order.
 
     The state of a key is its last fire. It goes once the watermark, which lags by delay, has passed the time in which it can suppress
-    anything, so state grows with the keys of that time and not with all keys. A key's rows of one trigger are sorted in one
+    anything, so state grows with the keys of that time and not with all keys; events that come later than delay are dropped. A key's rows of one trigger are sorted in one
     task; the trigger's size (maxFilesPerTrigger and the like) bounds them."""
     import pandas as pd
 
@@ -113,3 +113,30 @@ class VersionedTable:
         if own and version < own[-1]:
             return
         df.select(*self.read().columns).write.mode("overwrite").parquet(f"{self.root}/{version}")
+
+
+def on_progress(spark, tell):
+    """Call tell(name, batch, rows, milliseconds) after each micro-batch of any query of the session; returns the listener, for
+    spark.streams.removeListener(). What tell raises is its own: it stops no query."""
+    import contextlib
+
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            p = event.progress
+            with contextlib.suppress(Exception):
+                tell(p.name, p.batchId, p.numInputRows, p.batchDuration)
+
+        def onQueryIdle(self, event):
+            pass
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    return listener

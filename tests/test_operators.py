@@ -390,9 +390,50 @@ def test_cooldown(spark, tmp_path):
     got = streams.cooldown(df.withColumn("ts", F.timestamp_micros("us")), 10).collect()
     assert {x.event_id: x.fires for x in got} == want
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    told = []
+
+    def tell(name, batch, rows, ms):
+        told.append((name, rows))
+        raise RuntimeError("stops nothing")
+
+    listener = streams.on_progress(spark, tell)
     q = streams.cooldown_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 10).writeStream.format("memory").queryName("fires").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {x.event_id: x.fires for x in spark.sql("select * from fires").collect()} == want
+    spark.streams.removeListener(listener)
+    assert ("fires", 200) in told
+
+
+def test_chunks_of_one_id(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 0, "z")], "chunk_id string, ordinal int, text string")
+    assert {(r.chunk_id, r.text) for r in chunking.first_of_each_chunk(df).collect()} == {("a", "y"), ("b", "z")}
+
+
+def test_fresh_pages(spark):
+    rows = [("u", 1, "p"), ("u", 2, "p"), ("u", 3, None), ("u", 4, None), ("u", 5, "p"), ("v", 6, None)]
+    df = spark.createDataFrame(rows, "key string, event_id long, page string").withColumn("ts", F.timestamp_seconds("event_id"))
+    assert sorted(r.event_id for r in streams.fresh_pages(df).collect()) == [1, 3, 5, 6]
+
+
+def test_cooldown_state_goes(spark, tmp_path):
+    """Once the watermark has passed the time in which a fire can suppress anything, its state is dropped."""
+    schema = "key string, event_id long, us long"
+    for k, rows in enumerate(([("a", 1, 10**9), ("a", 2, 10**9 + 5 * 10**6)], [("b", 3, 10**10)], [("b", 4, 10**10 + 1)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = streams.cooldown_stream(source, 10, "1 second").writeStream.format("memory").queryName("gone").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {r.event_id: r.fires for r in spark.sql("select * from gone").collect()} == {1: True, 2: False, 3: True, 4: False}
+    assert q.lastProgress.stateOperators[0].numRowsTotal == 1
+
+
+def test_a_site_of_ones_own(spark):
+    from recollect.functions import identity
+
+    sites = (*identity.SITES, ("forum", "The Forum", ("forum.example.org",), r"/t/(\d+)"))
+    df = spark.createDataFrame([("https://forum.example.org/t/42",)], "u string").coalesce(1)
+    r = df.select(identity.identify(F.col("u"), sites).alias("w"), identity.label_of(F.lit("forum"), sites).alias("l")).first()
+    assert (r.w.source, r.w.source_id, r.l) == ("forum", "42", "The Forum")
 
 
 def test_ingest_stream(spark, tmp_path):
