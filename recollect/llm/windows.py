@@ -19,10 +19,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, checkpoint_dir, mix, raw, remove, settle, small
+from .common import SPACES, U64, checkpoint_dir, mix, raw, remove, settle, small
 
 WINDOW, GRAM = 35, 8
-GRAM_BASE, WINDOW_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+GRAM_BASE, WINDOW_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Bytes of a text that are hashed at a time.
+BLOCK = 1 << 20
 #: Rows that a task holds before it hands them on.
 FLUSH = 400_000
 RUN = "hash long, stretch long, n long, text_hash long"
@@ -61,26 +63,65 @@ class Hasher:
     """Rolling hashes of word runs, vectorised over a document."""
 
     def __init__(self, window: int, gram: int):
-        self.window, self.gram, self.size = window, gram, 0
+        self.window, self.gram, self.size, self.bytes = window, gram, 0, 0
+        self.spaces = np.zeros(256, bool)
+        self.spaces[list(SPACES.encode())] = True
+        self.letters = mix(np.arange(1, 257, dtype=np.uint64) * U64(WINDOW_BASE))
+
+    def hashes(self, text: bytes) -> np.ndarray:
+        """A 64-bit hash of each word: a polynomial in its bytes, from running sums over BLOCK bytes of whole words at a time. Words that
+        are longer by themselves are hashed by themselves."""
+        raw = np.frombuffer(text, np.uint8)
+        blank = np.concatenate(([True], self.spaces[raw], [True]))
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if self.bytes < BLOCK and self.bytes < len(raw):
+            self.bytes = min(BLOCK, max(1 << 14, 2 * len(raw)))
+            self.word_up, self.word_down = powers(WORD_BASE, self.bytes)
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            first = int(starts[at])
+            to = int(np.searchsorted(ends, first + BLOCK, "right"))
+            if to == at:
+                import xxhash
+
+                out[at] = xxhash.xxh64_intdigest(text[first : ends[at]])
+                at += 1
+                continue
+            part = raw[first : ends[to - 1]]
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.letters[part] * self.word_up[: len(part)], dtype=np.uint64)))
+            begin = starts[at:to] - first
+            out[at:to] = mix((sums[ends[at:to] - first] - sums[begin]) * self.word_down[begin])
+            at = to
+        return out
+
+    def least(self, x: np.ndarray, width: int) -> np.ndarray:
+        """For each run of that width the place of its least value, the first of equals: by runs of 1, 2, 4 ..."""
+        n, at, size = len(x) - width + 1, np.arange(len(x)), 1
+        while 2 * size <= width:
+            right = x[size:] < x[:-size]
+            at, x = np.where(right, at[size:], at[:-size]), np.minimum(x[:-size], x[size:])
+            size *= 2
+        rest = width - size
+        return np.where(x[rest : rest + n] < x[:n], at[rest : rest + n], at[:n])
 
     def anchors(self, text: bytes) -> Anchors | None:
         """None if the text has no window."""
-        import xxhash
-
-        words = text.split()
-        n = len(words)
+        if len(text) < 2 * self.window - 1:
+            return None
+        h = self.hashes(text)
+        n = len(h)
         if n < self.window:
             return None
         if n > self.size:
             self.size = max(4096, 2 * n)
             self.pow = [powers(GRAM_BASE, self.size), powers(WINDOW_BASE, self.size)]
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
         zero = np.zeros(1, np.uint64)
         (up, down), (wide_up, wide_down) = self.pow
         sums = np.concatenate((zero, np.cumsum(h * up[:n], dtype=np.uint64)))
         grams = mix((sums[self.gram :] - sums[: -self.gram]) * down[: n - self.gram + 1])
-        least = np.lib.stride_tricks.sliding_window_view(grams, self.window - self.gram + 1).argmin(axis=1)
-        at = least + np.arange(len(least))
+        at = self.least(grams, self.window - self.gram + 1)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         count = np.diff(np.append(first, len(at)))
         offset = at[first] - first
@@ -379,8 +420,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
+    def whole(stream):
+        import pyarrow as pa
+
+        yield from rewrite(pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.nulls(b.num_rows)], names=["doc_id", "text", "spans"]) for b in split.without(stream))
+
     # only texts that may have a repeated window are sent to meet their spans
-    untouched, touched = bloom.halves(keyed(docs).select("text_hash", "text_check", "doc_id", "text"), spans.select("text_hash"), most_log2_bits)
-    untouched = untouched.select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
-    touched = touched.join(spans, ["text_hash", "text_check"], "left").select("doc_id", "text", "spans")
-    return untouched.unionByName(touched).mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, kept binary").withColumn("kept", F.col("kept").cast("string"))
+    rows = keyed(docs).select("text_hash", "text_check", "doc_id", "text")
+    split = bloom.Split(spans.select("text_hash"), most_log2_bits)
+    touched = rows.mapInArrow(split.within, rows.schema).join(spans, ["text_hash", "text_check"], "left").select("doc_id", "text", "spans")
+    schema = "doc_id long, n_words long, n_removed long, kept binary"
+    return rows.mapInArrow(whole, schema).unionByName(touched.mapInArrow(rewrite, schema)).withColumn("kept", F.col("kept").cast("string"))

@@ -9,7 +9,7 @@ from cases import ODD
 from pyspark.sql import functions as F
 from test_copies import SPACE, words
 
-from recollect.llm import quality, rules
+from recollect.llm import quality, rules, windows
 from recollect.llm.windows import FingerprintIndex, covered, stretches, substring_dedup
 
 
@@ -92,6 +92,28 @@ def test_masses_of_one_text_and_of_one_passage(table):
     assert sorted(map(str, map(tuple, substring_dedup(table(rows)).collect()))) == sorted(map(str, brute_windows(rows, 35, key=str)))
 
 
+def test_word_hashes_and_least_places(monkeypatch):
+    """Equal words, and only they, hash alike wherever they stand, also across blocks; the least place is the first of the least."""
+    r = random.Random(12)
+    texts = ["".join(r.choice(["a", "b", "ab", "é", "漢", " ", "\n", "\x0b", "\xa0", "\x85", "z" * 90]) for _ in range(r.randrange(200))).encode() for _ in range(200)] + [b"", b" ", b"x"]
+    want: dict = {}
+    for block in (1 << 20, 64):
+        monkeypatch.setattr(windows, "BLOCK", block)
+        hasher = windows.Hasher(35, 8)
+        for t in texts:
+            got = hasher.hashes(t).tolist()
+            assert len(got) == len(t.split())
+            for w, h in zip(t.split(), got, strict=True):
+                if len(w) <= 64:  # a word of more than a block has another hash
+                    assert want.setdefault(w, h) == h
+    assert len(set(want.values())) == len(want)
+    for n in (28, 29, 200):
+        x = np.array([r.randrange(9) for _ in range(n)], np.uint64)
+        for width in (1, 2, 7, 28):
+            at = windows.Hasher(35, 8).least(x, width)
+            assert at.tolist() == [i + int(np.argmin(x[i : i + width])) for i in range(n - width + 1)]
+
+
 def test_spans_cover():
     spans = [{"a": 2, "n": 3, "mask": -1}, {"a": 9, "n": 4, "mask": 0b1011}]
     want = {k for a in (2, 3, 4, 9, 10, 12) for k in range(a, a + 5)}
