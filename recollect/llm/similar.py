@@ -118,7 +118,7 @@ def similar_rows(docs: DataFrame, **options) -> DataFrame:
     low = settle(_grouped(docs, rows, **options))
     first = F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("text_hash") == F.col("low.text_hash"))
     # the groups are settled, so that Spark can split the rows of a text that is copied without end
-    return rows.join(low, "node").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max(first).alias("first"))
+    return rows.join(low.hint("merge"), "node").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max(first).alias("first"))
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
@@ -133,15 +133,17 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, rows: DataFrame, distance: int = 9, shingle: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
-    """(node, group, low): the group of each node, and the doc_id and text_hash of the group's first row. rows: prints(docs)."""
+    """(node, group, low): the group of each node, and the doc_id and text_hash of the group's first row. rows: prints(docs).
+
+    All these tables grow with the documents, so their joins merge and nothing of them is broadcast from the driver."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("low")
     nodes = settle(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.max("words").alias("words"), first))
     roots = components(links(nodes.select("fp").distinct(), distance, per_node=PER_NODE, meet=close_pairs)).withColumnsRenamed({"node": "fp", "root": "cluster"})
-    placed = settle(nodes.join(roots, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")).withColumn("key", row_key(F.col("low.doc_id"), F.col("low.text_hash"))))
-    # kept apart from their aggregation, so that Spark can split a huge cluster's or group's rows in the joins
+    placed = nodes.join(roots.hint("merge"), "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp")).withColumn("key", row_key(F.col("low.doc_id"), F.col("low.text_hash")))
+    # kept apart from their aggregation, so that Spark can split a huge cluster's rows in the join
     sizes = settle(placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1"))
     parts = F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("words") * 8 / CHUNK_BYTES)).cast("int")
-    wanted = settle(placed.select("cluster", "node", "key").join(sizes.select("cluster", parts.alias("parts")), "cluster"))
+    wanted = settle(placed.select("cluster", "node", "key").join(sizes.select("cluster", parts.alias("parts")).hint("merge"), "cluster"))
     met = wanted.join(chosen_sets(docs, wanted, shingle), "key").withColumn("c", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # chunk c meets every other chunk; alone, it meets itself
     met = met.withColumn("o", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: i != F.col("c")))))
@@ -168,6 +170,6 @@ def _grouped(docs: DataFrame, rows: DataFrame, distance: int = 9, shingle: int =
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     linked = components(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "a long, b long"))
-    grouped = settle(nodes.select("node", "low").join(linked, "node", "left").select("node", "low", F.coalesce("root", "node").alias("group")))
-    lows = settle(grouped.groupBy("group").agg(F.min("low").alias("low")))
-    return grouped.select("node", "group").join(lows, "group").select("node", "group", "low")
+    grouped = settle(nodes.select("node", "low").join(linked.hint("merge"), "node", "left").select("node", "low", F.coalesce("root", "node").alias("group")))
+    lows = grouped.groupBy("group").agg(F.min("low").alias("low"))
+    return grouped.select("node", "group").join(lows.hint("merge"), "group").select("node", "group", "low")
