@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.llm.bloom import halves
+from recollect.llm.bloom import Split
 from recollect.llm.bpe import bpe
 from recollect.llm.common import checkpoint_dir, remove, settle
 from recollect.llm.decontam import decontaminate
@@ -37,7 +37,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     busy = rows.where("n > 1 or not first")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     whole = docs.select(row_key(F.col("doc_id"), text_hash).alias("key"), text_hash.alias("text_hash"), *COLUMNS)
-    alone, met = halves(whole, busy.select(row_key(F.col("doc_id"), F.col("text_hash"))))
+    split = Split(busy.select(row_key(F.col("doc_id"), F.col("text_hash"))))
+    alone, met = whole.mapInArrow(split.without, whole.schema), whole.mapInArrow(split.within, whole.schema)
     first = rows.where("first").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     met = met.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
     one = met.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]])
