@@ -94,6 +94,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(read(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items(), key=lambda x: int("0" + "".join(filter(str.isdigit, x[0].split("_")[0])))) if k.startswith("op")}
 
