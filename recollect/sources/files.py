@@ -63,8 +63,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, scan, row) of a CSV with a header, all values strings."""
-    df = spark.read.csv(path, header=True)
+    """(file, idx, scan, row) of a CSV with a header, all values strings: a doubled quote in a quoted field is a quote, a backslash is itself, a quoted
+    field may hold line breaks."""
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
     return numbered(df.select(*place(), F.parse_json(F.to_json(F.struct(*df.columns))).alias("row")))
 
 
