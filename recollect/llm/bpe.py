@@ -42,6 +42,8 @@ class PerfectHash:
     def build(cls, keys: list[bytes], per_bucket: int = 3) -> PerfectHash:
         n = len(keys)
         h = hashes(keys)
+        if len(np.unique(h)) < n:
+            raise ValueError("keys repeat, or hash alike")  # no seed could part them
         buckets = max(1, n // per_bucket)
         bucket = (h % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")

@@ -69,7 +69,7 @@ t AS (SELECT w.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM t)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT (base_failed OR n_symbols * 20 > word_chars OR (word_chars > 20 * n_words AND unspaced * 5 < word_chars) OR word_chars < 2 * n_words OR n_dup_lines * 10 > n_lines * 4
-         OR capitals * 2 > word_chars OR bangs * 4 > n_words OR (n_words >= 50 AND n_distinct * 10 < n_words AND n_distinct * n_distinct < 50 * n_words)) AS kept
+         OR capitals * 2 > word_chars OR bangs * 4 > n_words OR (n_distinct * 10 < n_words AND n_distinct * n_distinct < 50 * n_words)) AS kept
 FROM b
 """
 

@@ -85,10 +85,10 @@ def too_long(m: Measures) -> Column:
 
 
 def few_distinct(m: Measures) -> Column:
-    """Distinct words are held against a tenth of all words and against the root of 50 times their number, which is less from 5,000 words on:
-    vocabulary grows about as the root of a text's length."""
+    """Distinct words are held against the lesser of a tenth of all words and the root of 50 times their number, at every length: vocabulary
+    grows about as the root of a text's length, and the bound never rises by more than one word for one word more."""
     d = F.size(F.array_distinct(m.words)).cast("long")
-    return (m.of("n_words") >= 50) & let(d, lambda d: (d * 10 < m.of("n_words")) & (d * d < 50 * m.of("n_words")))
+    return let(d, lambda d: (d * 10 < m.of("n_words")) & (d * d < 50 * m.of("n_words")))
 
 
 #: Signs of boilerplate and noise, for texts of any length and script.
@@ -135,8 +135,8 @@ def judged(text: Column, cascade: list[Rule], counts: bool) -> Column:
 
 
 def sampled(docs: DataFrame, rows: int) -> DataFrame:
-    """The rows of the least hashes: an even sample of the whole table. All rows are hashed, about four times the sample are sorted."""
-    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("hash"))
+    """The rows of the least hashes of doc_id: an even sample of the whole table. No text is hashed; about four times the sample are sorted."""
+    hashed = docs.select("text", F.xxhash64("doc_id").alias("hash"))
     share = max(1, docs.count() // (4 * max(1, rows)))
     return settle(hashed.where(F.pmod(F.shiftright("hash", 20), F.lit(share)) == 0).orderBy("hash").limit(rows).select("text"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import groups, raw, settle, small
 from .components import components
-from .simhash import CHUNK, fingerprint, links
+from .simhash import CHUNK, fingerprint, forest, links
 
 #: Bytes of shingle sets of one cluster at most that one task compares with another such chunk.
 CHUNK_BYTES = 32_000_000
@@ -29,8 +29,6 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 def close_pairs(x: np.ndarray, distance: int, block: int = 256):
     """Edges (from, to) that connect what pairs of values within the distance connect: those pairs, or a spanning
     forest of them where they are many."""
-    from .simhash import forest
-
     out, most = [], 4 * len(x)
     for lo in range(0, len(x), block):
         u, v = np.nonzero(np.bitwise_count(x[lo : lo + block, None] ^ x[None, lo:]) <= distance)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.manifest import Manifest
 from . import bloom
 from .common import SPACES, U64, checkpoint_dir, mix, raw, remove, settle, small
 
@@ -197,17 +198,36 @@ def joined_keys(rows: DataFrame, *columns: str) -> DataFrame:
 class FingerprintIndex:
     """Sorted immutable runs of stretches, bucketed by their anchors, under one shared folder, and marks: which windows repeat.
 
-    A run is never changed: add() writes one, compact() merges all into a new one and removes those it replaces. runs and marks (names under
-    root) are what a caller keeps between sessions, with the number of buckets; corpus are the documents that the runs came
-    from, which later batches are verified against. A stretch has at most 64 windows, so window - gram < 64."""
+    A run is never changed: add() writes one, compact() merges all into a new one. A manifest under root says which runs and marks count, how many
+    buckets they have, the window and the gram, and where the documents lie that the runs came from, which later batches are verified against. All of
+    it changes by one commit; files that a commit makes needless go with the next one, so a run that dies at any point leaves an
+    index that can be opened. Whoever opens a root again gets what it was written with; another window, gram or number of buckets
+    raises, and so does history whose documents are not to be found: batches that were added without their source need corpus, all
+    documents that the index has taken in. A stretch has at most 64 windows, so window - gram < 64."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, runs: list[str] | None = None, marks: list[str] | None = None, corpus: DataFrame | None = None, buckets: int | None = None, most_runs: int = 4, window: int = WINDOW, gram: int = GRAM, most_log2_bits: int = 27):
-        if not 0 < gram <= window < gram + 64:
-            raise ValueError("a window must hold a gram and be shorter than it by less than 64 words")
-        self.spark, self.runs, self.marks, self.corpus, self.most_runs = spark, list(runs or []), list(marks or []), corpus, most_runs
-        self.window, self.gram, self.most_log2_bits = window, gram, most_log2_bits
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, root: str | None = None, corpus: DataFrame | None = None, buckets: int | None = None, most_runs: int = 4, window: int | None = None, gram: int | None = None, most_log2_bits: int = 27):
+        self.spark, self.most_runs, self.most_log2_bits = spark, most_runs, most_log2_bits
         self.root = root or f"{checkpoint_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
+        self.manifest = Manifest(spark, self.root)
+        self.version, held = self.manifest.read()
+        for name, asked, other in (("buckets", buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), ("window", window, WINDOW), ("gram", gram, GRAM)):
+            if held and asked not in (None, held[name]):
+                raise ValueError(f"{self.root} was written with {name} = {held[name]}, not {asked}")
+            setattr(self, name, held[name] if held else asked or other)
+        if not 0 < self.gram <= self.window < self.gram + 64:
+            raise ValueError("a window must hold a gram and be shorter than it by less than 64 words")
+        self.runs, self.marks, self.sources = (list(held.get(k, [])) for k in ("runs", "marks", "sources"))
+        if self.runs and corpus is None:
+            if None in self.sources:
+                raise ValueError(f"{self.root} holds documents that were added without their source: pass them as corpus")
+            for s in self.sources:
+                one = spark.read.parquet(s).select("doc_id", "text")
+                corpus = one if corpus is None else corpus.unionByName(one)
+        self.corpus = corpus
+
+    def _commit(self, dead: list[str] = ()) -> None:
+        content = {"buckets": self.buckets, "window": self.window, "gram": self.gram, "runs": self.runs, "marks": self.marks, "sources": self.sources}
+        self.version = self.manifest.commit(self.version, content, dead)
 
     def run(self, name: str) -> DataFrame:
         """A run as the bucketed table it is; made known to the session where it isn't yet."""
@@ -221,9 +241,9 @@ class FingerprintIndex:
         return name
 
     def _forget(self, names: list[str]) -> None:
+        """Let the session forget these tables; their files stay."""
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-            remove(self.spark, f"{self.root}/{name}")
 
     def _folded(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("hash", "stretch").agg(F.sum("n").alias("n"), F.min("text_hash").alias("text_hash"))
@@ -238,8 +258,9 @@ class FingerprintIndex:
                 out = out.unionByName(self.run(other).hint("merge").join(anchors, "hash", "left_semi"))
         return self._folded(out)
 
-    def add(self, docs: DataFrame) -> None:
-        """Enter a batch and mark what it shows to be repeated."""
+    def add(self, docs: DataFrame, source: str | None = None) -> None:
+        """Enter a batch and mark what it shows to be repeated. source: a Parquet path that keeps the same doc_id and text for later batches
+        and sessions."""
         # rows come together by anchor once; the run, its merge joins and its groups keep that partitioning
         rows = stretches(docs, self.window, self.gram).repartition(self.buckets, "hash")
         name = self._write(self._folded(rows))
@@ -252,6 +273,8 @@ class FingerprintIndex:
         marks.write.option("compression", "zstd").parquet(f"{self.root}/{path}")
         self.runs.append(name)
         self.marks.append(path)
+        self.sources.append(source)
+        self._commit()
         if len(self.runs) > self.most_runs:
             self.compact()
 
@@ -315,23 +338,24 @@ class FingerprintIndex:
         return self.spark.createDataFrame([], RUN) if out is None else self._folded(out)
 
     def compact(self) -> None:
-        """Merge the runs into one; the old ones are removed once the new one stands."""
-        if len(self.runs) > 1:
-            old = self.runs
-            self.runs = [self._write(self.merged().repartition(self.buckets, "hash"))]
-            self._forget(old)
-        if len(self.marks) > 1:
-            old, path = self.marks, f"marks_{uuid.uuid4().hex}"
+        """Merge the runs into one, and so the marks; the old ones are removed by the commit after this one."""
+        dead, runs, marks = [], self.runs, self.marks
+        if len(runs) > 1:
+            dead, runs = dead + runs, [self._write(self.merged().repartition(self.buckets, "hash"))]
+        if len(marks) > 1:
+            path = f"marks_{uuid.uuid4().hex}"
             self.repeated().write.option("compression", "zstd").parquet(f"{self.root}/{path}")
-            self.marks = [path]
-            for m in old:
-                remove(self.spark, f"{self.root}/{m}")
+            dead, marks = dead + marks, [path]
+        if dead:
+            old, self.runs, self.marks = self.runs, runs, marks
+            self._commit(dead)
+            self._forget([n for n in old if n not in runs])
 
     def drop(self) -> None:
         """Remove the index and its folder."""
         self._forget(self.runs)
         remove(self.spark, self.root)
-        self.runs, self.marks, self.corpus = [], [], None
+        self.runs, self.marks, self.sources, self.corpus, self.version = [], [], [], None, 0
 
 
 def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:

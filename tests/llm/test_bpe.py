@@ -29,6 +29,11 @@ def test_perfect_hash():
         assert table.find(keys).tolist() == list(range(n))
 
 
+def test_keys_that_no_seed_can_part():
+    with pytest.raises(ValueError):
+        bpe.PerfectHash.build([b"a", b"b", b"a"])
+
+
 def test_round_trip(table, oracle):
     r = random.Random(1)
     rows = ODD + [(100 + i, "".join(r.choice(" \n\tabcdeéß漢'sll019.!?🙂́​\x1c\x85") for _ in range(r.randrange(60)))) for i in range(300)] + [(500, "a" * 5000), (501, "<|endoftext|> Thntblere of edtioner's")]

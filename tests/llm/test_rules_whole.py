@@ -18,3 +18,17 @@ def test_long_junk_and_unspaced_scripts(table):
     assert by[4] is None and by[5] is None and by[6] == "word_length"
     assert by[7] is None
     assert all(by[k] in ("few_distinct_words", "repeated_words") for k in (1, 2, 3)) and by[2] == by[1]
+
+
+def test_one_bound_at_every_length(table):
+    """A word more never needs more than one distinct word more, from the shortest texts on."""
+    stream = lambda n, d: " ".join("abcdefghij"[i % d] for i in range(n))
+    rows = [(1000 * d + n, stream(n, d)) for n in range(10, 101) for d in range(1, 10)]
+    only = [x for x in rules.MORE_RULES if x.name == "few_distinct_words"]
+    by = {x.doc_id: x.rejected_by for x in rules.quality_rules(table(rows), only).select("doc_id", "rejected_by").collect()}
+    docs = table(rows)
+    measured = {x.doc_id: x.few for x in docs.select("doc_id", rules.few_distinct(rules.Measures(docs.text, rules.words(docs.text))).alias("few")).collect()}
+    for d in range(1, 10):
+        few = [measured[1000 * d + n] for n in range(10, 101)]
+        assert few == sorted(few) and few.index(True) + 10 == 10 * d + 1 if True in few else 10 * d >= 100
+    assert all(by[k] is not None for k, few in measured.items() if few)

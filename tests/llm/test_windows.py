@@ -11,6 +11,7 @@ from test_copies import SPACE, words
 
 from recollect.llm import quality, rules, windows
 from recollect.llm.windows import FingerprintIndex, covered, stretches, substring_dedup
+from recollect.operators.manifest import Conflict
 
 
 def brute_windows(rows, w, key=None):
@@ -63,7 +64,7 @@ def test_batches_meet_history(spark, table):
     assert {(r.hash, r.stretch): r.n for r in index.merged().collect()} == whole
     assert len(index.runs) == 1 and len(index.marks) == 1
     # nothing but history: all that windows cover goes, and so it does in another session
-    again = FingerprintIndex(spark, index.root, index.runs, index.marks, index.corpus, index.buckets)
+    again = FingerprintIndex(spark, index.root, index.corpus)
     got = substring_dedup(table([(900, rows[-1][1]), (901, "h1 h2 h3")]), index=again).collect()
     assert sorted(map(tuple, got)) == [(900, 60, 60, ""), (901, 3, 0, "h1 h2 h3")]
 
@@ -80,11 +81,52 @@ def test_runs_are_sorted_merged_and_removed(spark, table):
     root, old = index.root.removeprefix("file:"), list(index.runs)
     assert all(os.path.isdir(f"{root}/{r}") for r in old)
     index.compact()
-    assert sorted(os.listdir(root)) == sorted(index.runs + index.marks) and not set(old) & set(index.runs)
+    # what the commit before holds stays until the next one
+    assert not set(old) & set(index.runs) and len(index.runs) == len(index.marks) == 1 and set(old) < set(os.listdir(root))
+    index.add(table(rows[:5]))
+    assert sorted(n for n in os.listdir(root) if n[0] != "_") == sorted(index.runs + index.marks)
     index.drop()
     assert not os.path.exists(root)
 
 
+def test_reopening(spark, table, tmp_path):
+    """Another number of partitions changes nothing; what doesn't fit, or can't be verified, raises; a run that dies leaves an index."""
+    rows = passages(6, 60, 35)
+    root, source = str(tmp_path / "index"), str(tmp_path / "docs")
+    table(rows).write.parquet(source)
+    first = FingerprintIndex(spark, root, buckets=8)
+    first.add(spark.read.parquet(source), source)
+    first._forget(first.runs)  # as in a new session
+    copies = [(500 + i, t) for i, t in rows]
+    want = [r for r in brute_windows(rows + copies, 35) if r[0] >= 500]
+    again = FingerprintIndex(spark, root)
+    assert again.buckets == 8
+    assert sorted(map(tuple, substring_dedup(table(copies), index=again).collect())) == want
+    for wrong in ({"buckets": 4}, {"window": 30}, {"gram": 9}):
+        with pytest.raises(ValueError):
+            FingerprintIndex(spark, root, **wrong)
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, root)  # the copies have no source
+    with pytest.raises(Conflict):
+        first.add(table(rows[:2]))  # another writer came first
+
+    whole = table(rows + copies)
+    index = FingerprintIndex(spark, root, whole)
+    index.add(table([(900, "one more")]))
+    held = index.manifest.read()
+
+    def dies(*_):
+        raise RuntimeError("the driver is gone")
+
+    index._commit = dies
+    with pytest.raises(RuntimeError):
+        index.compact()  # merged, but not committed
+    index = FingerprintIndex(spark, root, whole)
+    assert (index.version, index.runs) == (held[0], held[1]["runs"])
+    assert [tuple(r)[1:3] for r in substring_dedup(table([(901, rows[-1][1])]), batches=1, index=index).collect()] == [(n := len(words(rows[-1][1])), n if n >= 35 else 0)]
+    assert index.manifest.orphans(set(index.runs + index.marks))  # what the run that died has left
+
+
 def test_masses_of_one_text_and_of_one_passage(table):
     common = " ".join(f"m{i}" for i in range(60))
     rows = [(i, common) for i in range(60)] + [(100 + i, f"a{i} b{i} {common} c{i} d{i}") for i in range(60)] + [(300, " ".join(f"o{i}" for i in range(50)))]
