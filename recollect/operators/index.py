@@ -14,6 +14,8 @@ from ..functions.text import script_of, tokenize
 #: Tokens up to which a filter names each of them. Spark hands a list of that many on to Parquet, which tests every row group and page
 #: for them, only if spark.sql.parquet.pushdown.inFilterThreshold allows it; else their range alone.
 NAMED = 1024
+#: Vectors of one pack.
+PACK = 4096
 
 
 def name_tokens(spark: SparkSession) -> None:
@@ -132,7 +134,8 @@ def prefixed(text: Column, role: str) -> Column:
 @dataclass(frozen=True)
 class Index:
     """What searches read: postings (token, chunk_id, tf, doc_len), terms (token, df), chunks (chunk_id, item_id, kind, script, and source where
-    there is one), packs (see packed()), and the corpus statistics."""
+    there is one), packs (see packed()), and the corpus statistics. A stored index has its postings in blocks as well (see segments.py), and the
+    passages that have left it (dead)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -141,6 +144,8 @@ class Index:
     n_chunks: int
     avg_len: float
     max_df: int
+    blocks: DataFrame | None = None
+    dead: DataFrame | None = None
 
     @staticmethod
     def of(chunks: DataFrame, vectors: DataFrame, cfg: Settings = Settings()) -> Index:
@@ -150,33 +155,31 @@ class Index:
 
     @staticmethod
     def write(chunks: DataFrame, vectors: DataFrame, root: str, cfg: Settings = Settings()) -> Index:
-        """Store all tables under root: postings and terms sorted by token, passages by chunk_id, vectors in packs.
-
-        Postings are dealt by (token, chunk_id), so that a token of any number of passages parts among files."""
-        spark, parts = chunks.sparkSession, max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        keep = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}")
-        each = chunks.select("chunk_id", "doc_len", F.explode("tokens").alias("token")).repartitionByRange(parts, "token", "chunk_id")
-        keep(each.groupBy("token", "chunk_id").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")).sortWithinPartitions("token", "chunk_id"), "postings")
-        keep(term_stats(spark.read.parquet(f"{root}/postings")).repartitionByRange(max(1, parts // 4), "token").sortWithinPartitions("token"), "terms")
-        keep(described(chunks).repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id"), "chunks")
-        keep(packed(vectors), "packs")
-        keep(corpus_stats(chunks, cfg).coalesce(1), "stats")
-        return Index.read(spark, root)
+        """Store an index under a new root, as its first segment (operators/segments.py), which later changes add to."""
+        from .segments import Segmented
+
+        out = Segmented(chunks.sparkSession, root, cfg)
+        if out.segments()[1]:
+            raise ValueError(f"{root} holds an index already: change it, or choose another root")
+        out.change(chunks, vectors)
+        return out.index()
 
     @staticmethod
-    def read(spark: SparkSession, root: str) -> Index:
-        stats = spark.read.parquet(f"{root}/stats").first()
-        name_tokens(spark)
-        return Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "chunks", "packs")), stats.n_chunks, stats.avg_len or 1.0, stats.max_df)
+    def read(spark: SparkSession, root: str, cfg: Settings = Settings()) -> Index:
+        from .segments import Segmented
+
+        return Segmented(spark, root, cfg).index()
 
     def of_tokens(self, terms: DataFrame) -> Index:
         """The part of postings and terms that these tokens (terms.token) have: of few tokens, only their row groups are read."""
         few = [r.token for r in terms.select("token").distinct().limit(NAMED + 1).collect()]
         if len(few) <= NAMED:
             own = F.col("token").isin(few) if few else F.lit(False)
-            return replace(self, postings=self.postings.where(own), terms=self.terms.where(own))
-        wanted = terms.select("token").distinct()
-        return replace(self, postings=self.postings.join(wanted, "token", "left_semi"), terms=self.terms.join(wanted, "token", "left_semi"))
+            part = lambda df: df.where(own)
+        else:
+            wanted = terms.select("token").distinct()
+            part = lambda df: df.join(wanted, "token", "left_semi")
+        return replace(self, postings=part(self.postings), terms=part(self.terms), blocks=None if self.blocks is None else part(self.blocks))
 
 
 def described(chunks: DataFrame) -> DataFrame:
@@ -185,11 +188,14 @@ def described(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", *own, (script_of(F.col("text")) if "text" in chunks.columns else F.lit("mixed")).alias("script"))
 
 
-def packed(vectors: DataFrame, size: int = 4096) -> DataFrame:
-    """Vectors (chunk_id, idx, val) in rows of up to size of them, each task for itself, ordered by chunk_id: ids, n (cells of each), idx, val."""
+def packed(vectors: DataFrame, size: int = PACK) -> DataFrame:
+    """Vectors (chunk_id, idx, val) in rows of up to size of them, each task for itself, ordered by chunk_id: ids, n (cells of each), idx, val.
+
+    Where vectors have a column pack, and come sorted by it, each of its values makes a row of its own, and pack stays."""
     if "ids" in vectors.columns:
         return vectors
     kind = vectors.schema["chunk_id"].dataType.simpleString()
+    given = "pack" in vectors.columns
 
     def run(batches):
         import pyarrow as pa
@@ -202,23 +208,30 @@ def packed(vectors: DataFrame, size: int = 4096) -> DataFrame:
             cols = [t.column("chunk_id"), n, pc.list_flatten(t.column("idx")), pc.list_flatten(t.column("val"))]
             kinds = [t.schema.field("chunk_id").type, pa.int32(), pa.int32(), pa.float64()]
             flat = [pa.concat_arrays(c.chunks).cast(k) if c.num_chunks else pa.array([], k) for c, k in zip(cols, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in flat], names=["ids", "n", "idx", "val"])
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in flat]
+            return pa.RecordBatch.from_arrays([*lists, *([t.column("pack").chunk(0).slice(0, 1)] if given else [])], names=["ids", "n", "idx", "val", *(["pack"] if given else [])])
 
         held, rows = [], 0
         for b in batches:
             at = 0
-            while at < b.num_rows:
-                part = b.slice(at, size - rows)
-                held.append(part)
-                rows += part.num_rows
-                at += part.num_rows
-                if rows == size:
-                    yield pack(held)
-                    held, rows = [], 0
+            # where a part must end: at the next pack, or once it is full
+            ends = [*(np.flatnonzero(np.diff(b.column(3).to_numpy())) + 1).tolist(), b.num_rows] if given and b.num_rows else [b.num_rows]
+            if given and held and b.num_rows and held[-1].column(3)[0] != b.column(3)[0]:
+                yield pack(held)
+                held, rows = [], 0
+            for end in ends:
+                while at < end:
+                    part = b.slice(at, end - at if given else min(end - at, size - rows))
+                    held.append(part)
+                    rows += part.num_rows
+                    at += part.num_rows
+                    if end < b.num_rows if given else rows == size:
+                        yield pack(held)
+                        held, rows = [], 0
         if rows:
             yield pack(held)
 
-    return vectors.select("chunk_id", "idx", "val").mapInArrow(run, f"ids array<{kind}>, n array<int>, idx array<int>, val array<double>")
+    return vectors.select("chunk_id", "idx", "val", *(["pack"] if given else [])).mapInArrow(run, f"ids array<{kind}>, n array<int>, idx array<int>, val array<double>" + ", pack int" * given)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,13 +305,19 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, dimensions: int,
                     lists = rows.field("idx")
                     count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                     matrices[b] = np.array(rows.field("qid").to_pylist()), dense(count, pc.list_flatten(lists).to_numpy(), pc.list_flatten(rows.field("val")).to_numpy())
-                x = dense(n.to_numpy(), idx.to_numpy(), val.to_numpy())
-                new = best_of(np.round(matrices[b][1] @ x.T, 9) + 0.0, np.array(ids.to_pylist()), k)
+                x, names = dense(n.to_numpy(), idx.to_numpy(), val.to_numpy()), np.array(ids.to_pylist())
+                if gone := batch.column(6)[i].as_py():  # passages that have left the index
+                    stay = ~np.isin(names, np.array(gone))
+                    x, names = x[stay], names[stay]
+                    if not len(names):
+                        continue
+                new = best_of(np.round(matrices[b][1] @ x.T, 9) + 0.0, names, k)
                 best[b] = merge_best(best[b], new, k) if b in best else new
         for b in list(best):
             yield out(b)
 
-    pairs = packs.crossJoin(F.broadcast(blocks) if n <= most_broadcast else blocks).select("ids", "n", "idx", "val", "block", "asked")
+    gone = (F.col("dead") if "dead" in packs.columns else F.lit(None).cast(f"array<{c_kind}>")).alias("dead")
+    pairs = packs.crossJoin(F.broadcast(blocks) if n <= most_broadcast else blocks).select("ids", "n", "idx", "val", "block", "asked", gone)
     scores = pairs.mapInArrow(run, f"qid {q_kind}, chunk_id {c_kind}, score double")
     w = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

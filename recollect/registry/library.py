@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -16,8 +17,13 @@ from ..plans import context as C
 from ..plans import ingest as G
 from ..plans.tables import event_log, items, passages, question_vectors, questions, read, stored, whole_documents
 from ..streaming import streams
+from ..operators.segments import Segmented
+from ..operators.shared import checkpoint_dir
+from ..plans.store import Store
+from ..plans.tables import line_passages
+from ..sources import files
 from .base import query
-from .retrieval import COVER, DOCS, ITEMS, LINES, bm25_sql, dense_sql, fused_sql, hits_sql, sentences_sql, sqlhash_sql, tokens_sql, topk_sql
+from .retrieval import COVER, DOCS, HITS, ITEMS, LINES, bm25_sql, dense_sql, fused_sql, hits_sql, sentences_sql, sqlhash_sql, tokens_sql, topk_sql
 
 IT = """_l AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic_ FROM labels GROUP BY doc_id),
 it AS (SELECT source || ':' || doc_id AS id, source, CAST(doc_id AS VARCHAR) AS source_id, substr(split_part(text, chr(10), 1), 1, 300) AS title, source AS author,
@@ -291,6 +297,56 @@ def reindex(spark, sf_dir):
     return v.select("chunk_id", "embedder", F.size("idx").cast("long").alias("cells"), F.round(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
+@query(f"WITH {fused_sql().replace(LINES, LINES.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 3)'))}, {HITS}, {COVER}, {ITEMS} SELECT * FROM items")
+def index_after_changes(spark, sf_dir):
+    """Searches of an index that came about by changes: some documents came later, some had another text at first, some were taken out again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    of = lambda rows: settle(line_passages(spread(rows)))
+    vectors = lambda rows: index.hashed(rows, Settings().dimensions, ("chunk_id",))
+    before = docs.withColumn("text", F.concat(F.lit("an older text\n"), F.reverse("text"))).where("doc_id % 5 = 1 and doc_id % 7 <> 6")
+    own = Segmented(spark, f"{checkpoint_dir(spark)}/changing-{uuid.uuid4().hex}")
+    first, old = of(docs.where("doc_id % 5 <> 1 and doc_id % 7 <> 6").unionByName(before)), of(before)
+    own.change(first, vectors(first))
+    new = of(docs.where("doc_id % 5 = 1 or doc_id % 7 = 6"))
+    own.change(new, vectors(new), old)
+    gone = of(docs.where("doc_id % 10 = 3"))
+    own.change(gone.limit(0), None, gone)
+    q = questions(spark, sf_dir)
+    out = retrieve.search_items(own.index(), q, question_vectors(q))
+    return out.select("qid", "item_id", "score", F.round("confidence", 6).alias("confidence"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "rank")
+
+
+@query(f"""WITH {IT} SELECT id, CASE WHEN doc_id % 50 = 7 THEN 'failed' WHEN doc_id % 3 = 0 OR doc_id % 10 = 9 THEN CASE WHEN doc_id % 10 = 9 THEN 'added' ELSE 'updated' END ELSE 'skipped' END AS state,
+  title, true AS searchable FROM it""")
+def sync_twice(spark, sf_dir):
+    """A stored library takes in the documents twice: a third had another text before, a tenth is new, one in fifty can't be read the second time. What the
+    index holds of an item is what the tables hold."""
+    segments = F.transform(chunking.paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end")))
+    rows = items(spark, sf_dir).withColumns({"idx": F.col("doc_id"), "comments": F.array().cast(G.COMMENTS), "thumbnail": F.lit(""), "error": F.lit(None).cast("string")}).drop("has_transcript", "transcript_source")
+    final = lambda df: df.withColumn("segments", segments).drop("text")
+    store = Store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    older = rows.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Before.\n\n"), "text")).otherwise(F.col("text")))
+    store.ingest(final(older.where("doc_id % 10 <> 9")), now=1.0)
+    outcomes = store.ingest(final(rows.withColumn("error", F.when(F.col("doc_id") % 50 == 7, "unreadable"))), now=2.0)
+    digest = lambda df: df.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("chunk_id").cast("decimal(38,0)")).alias("d"))
+    held, found = digest(store.table("chunks")), digest(store.index().chunks).withColumnsRenamed({"n": "m", "d": "e"})
+    same = held.join(found, "item_id", "full").select(F.col("item_id").alias("id"), (F.col("n").eqNullSafe(F.col("m")) & F.col("d").eqNullSafe(F.col("e"))).alias("searchable"))
+    titles = rows.select("id", "title")
+    return outcomes.select("id", "state").join(same, "id", "left").join(titles, "id").select("id", "state", "title", F.coalesce("searchable", F.lit(True)).alias("searchable"))
+
+
+@query("""SELECT 'web:' || substr(sha1('https://example.org/' || doc_id), 1, 16) AS id, 'Save "' || doc_id || '", ' || chr(92) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' end' || chr(92) END AS title, 'https://example.org/' || doc_id AS url,
+  CASE WHEN trim(text) = '' THEN '' ELSE md5(trim(text)) END AS description FROM documents""")
+def csv_items(spark, sf_dir):
+    """Documents written as CSV, with quotes, commas, backslashes and line breaks in their fields, and read as saved items."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{checkpoint_dir(spark)}/saved-{uuid.uuid4().hex}"
+    title = F.concat(F.lit('Save "'), F.col("doc_id").cast("string"), F.lit('", \\'), F.when(F.col("doc_id") % 2 == 0, "").otherwise(" end\\"))
+    docs.select(title.alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("link"), F.col("text").alias("summary")).write.csv(path, header=True, escape='"', quoteAll=True)
+    out = files.as_items(files.read_csv(spark, path))
+    return out.select("id", "title", "url", F.when(F.col("description") == "", "").otherwise(F.md5("description")).alias("description"))
+
+
 @query("SELECT event_id, ts, CASE WHEN event_type = 'click' THEN 'fired' ELSE event_type END AS kind, CAST(user_id AS VARCHAR) AS item_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
 def recent_events(spark, sf_dir):
     return L.recent_events(event_log(spark, sf_dir)).select("event_id", "ts", "kind", "item_id")

@@ -62,10 +62,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return numbered(whole.select("path", F.lit(0).alias("block"), F.posexplode(items).alias("n", "row")))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(file, idx, scan, row) of a CSV with a header, all values strings: a doubled quote in a quoted field is a quote, a backslash is itself, a quoted
-    field may hold line breaks."""
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """(file, idx, scan, row) of CSV with a header (one for all files), all values strings: a doubled quote in a quoted field is a quote, a backslash is
+    itself, a quoted field may hold line breaks. A file whose fields hold none can be split among tasks: set line_breaks to False."""
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=line_breaks)
     return numbered(df.select(*place(), F.parse_json(F.to_json(F.struct(*df.columns))).alias("row")))
 
 

@@ -316,6 +316,18 @@ def test_readable():
     assert weight("ab漢字") == 7
 
 
+def test_csv_as_the_standard_library_reads_it(spark, tmp_path):
+    import csv
+
+    raw = 'title,url,intro\n"He said ""hi"", twice",https://e.com/1,x\nback\\slash\\,https://e.com/2,"ends in \\"\n"two\nlines, ""quoted""",https://e.com/3,\nplain,https://e.com/4,"a, b"\n'
+    (tmp_path / "q.csv").write_text(raw)
+    want = [(r["title"], r["url"], r["intro"]) for r in csv.DictReader(raw.splitlines(keepends=True))]
+    got = files.as_items(files.read_csv(spark, f"{tmp_path}/q.csv")).orderBy("idx").select("title", "url", "description").collect()
+    assert list(map(tuple, got)) == want and len(want) == 4
+    whole = files.read_csv(spark, f"{tmp_path}/q.csv", line_breaks=False)
+    assert [r.title for r in files.as_items(whole).orderBy("idx").collect()][:2] == [w[0] for w in want[:2]]
+
+
 def test_files(spark, tmp_path):
     rows = [{"url": "https://youtu.be/abcdefghijk", "name": " N ", "transcript": [{"start": 1, "duration": 2, "text": "hi"}, "plain", {"text": "x", "start": 3, "end": 9}], "comments": ["c", {"text": "d", "likes": 4, "replies": ["r"]}], "tags": ["a", None, ""]}, {"id": "77", "title": "", "desc": "about", "saved_at": 5}]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n\n")

@@ -1,0 +1,104 @@
+"""Stored libraries: what a change writes, what it leaves, and what a run that dies leaves behind."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from recollect.config import Settings
+from recollect.operators import index, retrieve
+from recollect.operators.manifest import Conflict
+from recollect.plans import ingest as G
+from recollect.plans.store import Store
+from recollect.sources.adapter import FileAdapter
+
+SCHEMA = "idx long, id string, source string, source_id string, media_kind string, title string, url string, author string, description string, thumbnail string, folder string, tags array<string>, duration int, saved_at double, segments array<struct<text:string,start:double,end:double>>, comments array<struct<text:string,author:string,likes:int,replies:array<string>>>"
+CFG = Settings(dimensions=64)
+
+
+def incoming(spark, rows):
+    """rows: (number, what it says)."""
+    return spark.createDataFrame([(i, f"s:{i}", "s", str(i), "post", f"Title of {i}", f"https://e.org/{i}", "", "", "", "", [], 0, 1.0, [(f"{said} and more of item{i}", 0.0, 0.0)], []) for i, said in rows], SCHEMA)
+
+
+def files(root):
+    return {os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def found(store, text):
+    q = store.spark.createDataFrame([(1, text)], "qid long, text string")
+    qv = index.blake2b_vectors(q.withColumn("tokens", index.tokenize(F.col("text"))), 64, ("qid",))
+    return [r.item_id for r in retrieve.search_items(store.index(), q, qv, cfg=CFG).orderBy("rank").collect()]
+
+
+def test_a_change_leaves_other_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=32, cfg=CFG)
+    store.ingest(incoming(spark, [(i, f"gliders{i % 7} thermals{i % 11}") for i in range(200)]), now=1.0)
+    assert store.table("items").count() == 200 and store.table("chunks").count() == store.table("vectors").count() == store.index().n_chunks
+    before, tables = files(tmp_path), store.held["tables"]
+    other = Store(spark, str(tmp_path), cfg=CFG)  # a reader of the version before
+    out = store.ingest(incoming(spark, [(5, "sourdough starters"), (6, "gliders6 thermals6"), (900, "brand new")]), now=2.0)
+    assert {r.id: r.state for r in out.collect()} == {"s:5": "updated", "s:6": "skipped", "s:900": "added"}
+    assert before <= files(tmp_path)  # what the older version reads stays until the next commit
+    changed = {b for b in range(32) if store.held["tables"]["items"].get(str(b)) != tables["items"].get(str(b))}
+    assert changed == set(store.touched(spark.createDataFrame([("s:5",), ("s:900",)], "id string")))
+    assert all(store.held["tables"][t][b] == p for t in tables for b, p in tables[t].items() if int(b) not in changed)
+    assert found(store, "sourdough starters")[0] == "s:5" and found(store, "brand new item900")[0] == "s:900"
+    assert other.table("items").count() == 200 and "s:5" not in found(other, "sourdough starters")
+    one = store.table("items").where("id = 's:5'").first()
+    assert (one.indexed_at, store.held["meta"]) == (2.0, {"embedding_signature": "local-hash:64"})
+
+    # a second time nothing is written; a mark writes items alone; what is taken out is gone from everything
+    version, before = store.version, files(tmp_path)
+    out = store.ingest(incoming(spark, [(5, "sourdough starters"), (900, "brand new")]), now=3.0)
+    assert {r.state for r in out.collect()} == {"skipped"} and (store.version, files(tmp_path)) == (version, before)
+    store.mark(spark.createDataFrame([("s:5", "muted", ["x"], None, "n", 4.0), ("s:none", "muted", None, None, None, 4.0)], "id string, status string, add_tags array<string>, remove_tags array<string>, note string, at double"))
+    assert {p.split("/")[0] for p in files(tmp_path) - before} == {"items"}
+    store.ingest(incoming(spark, [(5, "sourdough starters in summer")]), now=5.0)
+    one = store.table("items").where("id = 's:5'").first()
+    assert (one.status, one.user_tags, one.indexed_at) == ("muted", ["x"], 5.0)
+    store.delete(spark.createDataFrame([("s:5",), ("s:7",), ("s:nothing",)], "id string"))
+    assert store.table("items").count() == 199 and not store.table("chunks").where("item_id in ('s:5', 's:7')").count() and not store.table("vectors").where("item_id in ('s:5', 's:7')").count()
+    assert "s:5" not in found(store, "sourdough starters in summer") and store.index().n_chunks == store.table("chunks").count()
+    again = Store(spark, str(tmp_path), buckets=4, cfg=CFG)
+    assert again.buckets == 32 and again.table("items").count() == 199
+    assert not again.manifest.orphans({p for t in again.held["tables"].values() for p in t.values()} | {s["path"] for s in again.held["segments"]}, ("segments", "events"))
+
+
+def test_runs_that_die_and_runs_that_meet(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path), buckets=8, cfg=CFG)
+    store.ingest(incoming(spark, [(i, "gliders") for i in range(20)]))
+    second = Store(spark, str(tmp_path), cfg=CFG)
+
+    def dies(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(second.manifest, "commit", dies)
+        with pytest.raises(RuntimeError):
+            second.ingest(incoming(spark, [(1, "balloons")]))
+    left = Store(spark, str(tmp_path), cfg=CFG)
+    assert left.version == store.version and left.table("items").count() == 20 and "s:1" in {r.item_id for r in left.table("chunks").where("text like '%gliders%'").collect()}
+    store.ingest(incoming(spark, [(2, "balloons")]))
+    with pytest.raises(Conflict):
+        left.ingest(incoming(spark, [(3, "kites")]))
+    assert found(Store(spark, str(tmp_path), cfg=CFG), "balloons item2")[0] == "s:2"
+
+
+def test_sync_capture_and_log(spark, tmp_path):
+    rows = [{"url": "https://youtu.be/abcdefghijk", "title": "Sorting cards", "transcript": [{"start": 0, "duration": 4, "text": "insertion sort moves each card"}]}, {"url": "https://example.org/post", "title": "Bread", "transcript": ["knead the dough for ten minutes"]}]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    store = Store(spark, str(tmp_path / "lib"), cfg=CFG)
+    out, report = store.sync(FileAdapter(f"{tmp_path}/s.jsonl", "jsonl"), now=1.0)
+    assert {r.state for r in out.collect()} == {"added"} and sum(r.added for r in report.collect()) == 2
+    out, _ = store.sync(FileAdapter(f"{tmp_path}/s.jsonl", "jsonl"), now=2.0)
+    assert {r.state for r in out.collect()} == {"skipped"} and store.events().count() == 4
+    pages = spark.createDataFrame([(0, "https://www.zhihu.com/question/1/answer/2", "Q", "A", "first part of it, long enough", "", "f", [], 0.0, []), (1, "", "", "", "", "", "", [], 0.0, [])], "idx long, url string, title string, author string, text string, excerpt string, folder string, tags array<string>, saved_at double, comments array<struct<text:string,author:string,likes:int,replies:array<string>>>")
+    out, summary = store.capture(pages, now=3.0)
+    assert (summary.first().added, summary.first().failed) == (1, 1) and store.table("items").count() == 3
+    before = files(tmp_path / "lib")
+    for k in range(40):
+        store.log(spark.createDataFrame([(float(k), "fired", "s", f"s:{k}", "{}")], G.EVENTS))
+    assert store.events().count() == 45 and len(store.held["events"]) <= 32
+    assert {p.split("/")[0] for p in files(tmp_path / "lib") ^ before} == {"events"}
