@@ -5,7 +5,8 @@ import random
 from array import array
 
 import pytest
-from test_copies import best, brute_lines, brute_near
+from test_copies import best, brute_lines
+from test_similar import brute_similar
 from test_windows import brute_rules
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -35,7 +36,8 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     now = [(i, t) for i, t in rows if not brute_rules(t)[-1]]
     now = [(i, kept) for i, _, _, kept in brute_lines(now)]
-    now = [(i, t) for i, t in now if (i, i) in {(a, c) for a, _, c in brute_near(now, 3, 3)}]
+    root = brute_similar(now)
+    now = [x for k, x in enumerate(now) if root[k] == k]
     now = [(i, t) for i, t in now if all(best(p, " ".join(t.lower().split())) > len(p) // 20 for _, p in items)]
     import base64
 

@@ -13,12 +13,11 @@ def shingles(t, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
 
 
-def brute_similar(rows, distance=9):
-    """The group of each row: clusters by fingerprint steps, links by Jaccard inside."""
+def brute_similar(rows):
+    """The group of each row: links by Jaccard among all."""
     n = range(len(rows))
-    fp, sets = [brute_fingerprint(t, 3) for _, t in rows], [shingles(t) for _, t in rows]
-    cluster = roots(n, [(i, j) for i in n for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= distance])
-    return roots(n, [(i, j) for i in n for j in range(i) if cluster[i] == cluster[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    sets = [shingles(t) for _, t in rows]
+    return roots(n, [(i, j) for i in n for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
 
 
 def copies(seed, families=12, each=8):
@@ -61,7 +60,69 @@ def test_unlike_texts_within_the_distance_stay():
     sets = [sorted(base[:100]), sorted(base[:80]), sorted(base[:79]), sorted(base[21:])]
     import numpy as np
 
-    assert sorted(similar.alike([np.array(s, np.uint64) for s in sets], 80)) == [(0, 1), (1, 2)]
+    sets = [np.array(s, np.uint64) for s in sets]
+    joined = lambda edges: roots(range(4), [(max(e), min(e)) for e in edges])
+    assert joined(similar.alike(sets, 80)) == {0: 0, 1: 0, 2: 0, 3: 3}
+    # what is known to be together isn't compared; the rest still is
+    assert [set(e) for e in similar.alike(sets, 80, np.array([5, 5, 9, 7]))] == [{2, 1}]
+
+
+def pairs(r, n, lo=0.80, hi=0.85):
+    """Isolated pairs of texts whose shingle sets have a similarity between lo and hi."""
+    rows = []
+    while len(rows) < 2 * n:
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(60, 400))]
+        w = list(base)
+        for _ in range(r.randrange(1, 2 + len(w) // 40)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        a, b = shingles(" ".join(base)), shingles(" ".join(w))
+        if lo <= len(a & b) / len(a | b) < hi:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(w))]
+    return rows
+
+
+def test_recall_at_the_bound(table):
+    """Of 400 isolated pairs between 0.80 and 0.85 nearly all are found, and none between 0.7 and 0.8."""
+    r = random.Random(21)
+    near, far = pairs(r, 400), pairs(r, 100, 0.70, 0.80)
+    rows = near + [(i + 10_000, t) for i, t in far]
+    got = {x.doc_id for x in similar.similar_groups(table(rows)).collect()}
+    missed = sum(i + 1 in got for i, _ in near[::2])
+    assert missed <= 400 * 0.02
+    assert all(i + 10_000 in got for i, _ in far)
+
+
+def test_bands_follow_likeness():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for s, lo, hi in ((0.8, 0.99, 1.0), (0.3, 0.0, 0.15)):
+        hit = 0
+        for _ in range(300):
+            n = 200
+            both = int(round(n * s))
+            x = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+            a, b = x[: both + (n - both) // 2], np.concatenate((x[:both], x[both + (n - both) // 2 : n]))
+            hit += (similar.bands(a) == similar.bands(b)).any()
+        assert lo <= hit / 300 <= hi
+    assert (similar.bands(np.array([7], np.uint64)) == similar.bands(np.array([7], np.uint64))).all()
+
+
+def test_one_band_of_many_groups(table):
+    """Texts that share most of their words with many, but are alike in small groups only."""
+    r = random.Random(31)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for g in range(40):
+        own = [f"g{g}x{r.randrange(10**6)}" for _ in range(40)]
+        for k in range(3):
+            w = common + own
+            w[r.randrange(len(w))] = f"y{g}{k}"
+            rows.append((len(rows), " ".join(w)))
+    root = brute_similar(rows)
+    for chunk in (4096, 5):
+        got = similar.similar_groups(table(rows), chunk=chunk).collect()
+        assert sorted(x.doc_id for x in got) == sorted({rows[i][0] for i in root.values()})
 
 
 def test_rows_without_or_with_shared_ids(spark, tmp_path):
