@@ -30,17 +30,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the first by doc_id (nulls last), then by a hash of the text, then by the
-    other columns. Near copies are 80 % alike on five-word shingles; SimHash at 9 bits finds the candidates.
+    other columns. Near copies are 80 % alike on five-word shingles; SimHash links and MinHash bands find the candidates.
 
     Only rows that go, or share doc_id and text with others, are sent to meet that decision; all others stay where they are."""
-    rows = settle(similar_rows(docs, distance=9, shingle=5, percent=80))
+    rows = settle(similar_rows(docs, distance=3, shingle=5, percent=80))
     busy = rows.where("n > 1 or not first")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     whole = docs.select(row_key(F.col("doc_id"), text_hash).alias("key"), text_hash.alias("text_hash"), *COLUMNS)
     split = Split(busy.select(row_key(F.col("doc_id"), F.col("text_hash"))))
     alone, met = whole.mapInArrow(split.without, whole.schema), whole.mapInArrow(split.within, whole.schema)
-    first = rows.where("first").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
-    met = met.join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi")
+    gone = rows.where("not first").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+    met = met.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_anti")
     one = met.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in COLUMNS[1:]])
     return alone.select(*COLUMNS).unionByName(one)
 
