@@ -1,4 +1,4 @@
-"""Streams: cooldown of repeated fires, debounced navigation, ingest that replays safely."""
+"""Streams: cooldown of repeated fires, pages seen anew, debounced navigation, ingest that replays safely."""
 
 from __future__ import annotations
 
@@ -36,31 +36,112 @@ def unmuted(events: DataFrame, muted: DataFrame) -> DataFrame:
     return events.join(muted.select("key").distinct(), "key", "left_anti")
 
 
-def cooldown_stream(events: DataFrame, seconds: float = 45 * 60, delay: str = "10 minutes") -> DataFrame:
-    """The same on a stream of (key, event_id, us); rows of one trigger are taken in time order.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keeps_state(spark) -> None:
+    """Let the session's streams keep their state where operators with timers need it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+
+def folded(key: str, value: str, fold, forget_ms: int, in_order: bool):
+    """A processor for rows (key, event_id, us, ..., value): fold(last, us, value) gives (what to say of the row, what to keep as (us, value)).
+
+    A key's state is that one value. It goes by a timer forget_ms after the value's time, once the watermark has passed. Rows of a trigger are taken
+    in the order of (us, event_id). In order, they are held until the watermark has passed them, and so come in that order across
+    triggers as well, however late they came within the delay; else each is answered in the trigger that brought it."""
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Processor(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.last = handle.getValueState("last", "us long, value string")
+            self.held = handle.getListState("held", "event_id long, us long, value string") if in_order else None
+
+        def _said(self, name, rows):
+            last = tuple(self.last.get()) if self.last.exists() else None
+            for us, event_id, v in rows:
+                says, last = fold(last, us, v)
+                yield Row(**{key: name, "event_id": event_id, "us": us, value: says})
+            if rows:
+                self.last.update(last)
+
+        def _timer(self, at: int):
+            """The one timer of this key: when something is to be done next."""
+            for old in list(self.handle.listTimers()):
+                if old != at:
+                    self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+        def handleInputRows(self, key, rows, timerValues):
+            new = sorted((r["us"], r["event_id"], r["value"]) for r in rows)
+            if in_order:
+                self.held.appendList([(e, us, v) for us, e, v in new])
+                first = min([new[0][0] // 1000 + 1, *self.handle.listTimers()])
+                self._timer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
+                return iter(())
+            out = list(self._said(key[0], new))
+            self._timer(max(int(self.last.get()[0] // 1000) + forget_ms + 1, timerValues.getCurrentWatermarkInMs() + 1))
+            return iter(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            mark = timerValues.getCurrentWatermarkInMs()
+            out = []
+            if in_order and self.held.exists():
+                every = sorted((us, e, v) for e, us, v in map(tuple, self.held.get()))
+                ripe = [r for r in every if r[0] // 1000 < mark]
+                out = list(self._said(key[0], ripe))
+                if len(ripe) < len(every):
+                    self.held.put([(e, us, v) for us, e, v in every[len(ripe) :]])
+                    self._timer(max(every[len(ripe)][0] // 1000 + 1, mark + 1))
+                    return iter(out)
+                self.held.clear()
+            until = int(self.last.get()[0] // 1000) + forget_ms + 1 if self.last.exists() else 0
+            if until > mark:
+                self._timer(until)
+            else:
+                self.last.clear()
+            return iter(out)
+
+        def close(self):
+            pass
 
-    The state of a key is its last fire. It goes once the watermark, which lags by delay, has passed the time in which it can suppress
-    anything, so state grows with the keys of that time and not with all keys; events that come later than delay are dropped. A key's rows of one trigger are sorted in one
-    task; the trigger's size (maxFilesPerTrigger and the like) bounds them."""
-    import pandas as pd
+    return Processor()
 
-    def step(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat([f[["event_id", "us"]] for f in frames]).sort_values(["us", "event_id"])
-        fires = []
-        for us in rows["us"]:
-            on = last is None or us - last >= seconds * 1e6
-            last = us if on else last
-            fires.append(on)
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(int(last / 1000 + seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"], "us": rows["us"], "fires": fires})
 
+def _stateful(events: DataFrame, processor, out: str, delay: str) -> DataFrame:
+    """events (key, event_id, us, value) through a processor, in event time."""
+    keeps_state(events.sparkSession)
     timed = events.withColumn("_ts", F.timestamp_micros("us")).withWatermark("_ts", delay)
-    return timed.groupBy("key").applyInPandasWithState(step, "key string, event_id long, us long, fires boolean", "last long", "append", "EventTimeTimeout")
+    return timed.groupBy("key").transformWithState(processor, out, "Append", "EventTime")
+
+
+def cooldown_stream(events: DataFrame, seconds: float = 45 * 60, delay: str = "10 minutes", in_order: bool = False) -> DataFrame:
+    """The same on a stream of (key, event_id, us): key, event_id, us, fires.
+
+    The state of a key is its last fire. A timer takes it away once the watermark, which lags by delay, has passed the time in which it can suppress
+    anything, so state grows with the keys of that time and not with all keys; events that come later than delay are dropped. Rows of one
+    trigger are taken in time order; in_order holds them until the watermark has passed, which gives what cooldown() gives of the table."""
+
+    def fold(last, us, value):
+        on = last is None or us - last[0] >= seconds * 1e6
+        return on, (us, None) if on else last
+
+    rows = events.select(F.col("key").cast("string"), F.col("event_id").cast("long"), F.col("us").cast("long"), F.lit(None).cast("string").alias("value"))
+    return _stateful(rows, folded("key", "fires", fold, int(seconds * 1000), in_order), "key string, event_id long, us long, fires boolean", delay)
+
+
+def fresh_pages_stream(events: DataFrame, forget: float = 24 * 3600, delay: str = "10 minutes", in_order: bool = True) -> DataFrame:
+    """fresh_pages() on a stream of (key, event_id, us, page): key, event_id, us, page of events whose page is another than the key's event before
+    had. A key of which nothing has come for forget seconds starts anew."""
+
+    def fold(last, us, value):
+        return value if last is None or last[1] != value else None, (us, value)
+
+    rows = events.select(F.col("key").cast("string"), F.col("event_id").cast("long"), F.col("us").cast("long"), F.concat(F.lit("="), F.coalesce(F.col("page").cast("string"), F.lit("\0"))).alias("value"))
+    out = _stateful(rows, folded("key", "page", fold, int(forget * 1000), in_order), "key string, event_id long, us long, page string", delay).where("page is not null")
+    return out.withColumn("page", F.nullif(F.substring("page", 2, 1 << 30), F.lit("\0")))
 
 
 def fresh_pages(events: DataFrame) -> DataFrame:
