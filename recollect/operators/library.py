@@ -103,8 +103,12 @@ def library_stats(items: DataFrame, chunks: DataFrame, events: DataFrame) -> Dat
     b = chunks.agg(F.count("*").alias("chunks"), F.count_if(F.col("kind") == "comment").alias("comment_chunks"))
     # distinct before counting: a hot item is folded in the map tasks
     c = events.where("kind = 'fired'").select("item_id").distinct().agg(F.count("*").alias("items_fired"))
+    return with_rates(a.crossJoin(b).crossJoin(c))
+
+
+def with_rates(totals: DataFrame) -> DataFrame:
     share = lambda x: F.coalesce(F.round(F.try_divide(F.col(x), F.col("items")), 4), F.lit(0.0))
-    return a.crossJoin(b).crossJoin(c).withColumn("coverage", share("items_digested")).withColumn("fire_rate", share("items_fired"))
+    return totals.withColumn("coverage", share("items_digested")).withColumn("fire_rate", share("items_fired"))
 
 
 def counts_by(items: DataFrame, *columns: str) -> DataFrame:

@@ -128,14 +128,39 @@ def pick_comments(spark, sf_dir):
     return chunking.pick_comments(c).select(F.col("item_id").alias("conv_id"), F.col("seq").alias("turn"), "likes", "rank")
 
 
-@query()
+def packed_sql(source: str) -> str:
+    """CTE packed(key, passages) of source(key, p): p is a list of segments {t, s, e} in order, without empty ones; a passage likewise."""
+    length = lambda c: f"CAST(coalesce(list_sum(list_transform({c}, lambda o: length(o.t))), 0) AS BIGINT)"
+    tail = f"list_max(list_filter(range(1, len(a.own) + 1), lambda i: {length('a.own[i:]')} >= 80))"
+    carry = f"CASE WHEN {tail} > 1 THEN a.own[{tail}:] ELSE [] END"
+    close = lambda own: f"{{'t': array_to_string(list_transform({own}, lambda o: o.t), ' '), 's': {own}[1].s, 'e': {own}[-1].e}}"
+    step = f"""CASE WHEN a.size + x.size > 420 OR x.own[1].e - a.own[1].s > 90 THEN {{'own': {carry} || x.own, 'size': {length(carry)} + x.size, 'done': a.done || [{close("a.own")}]}}
+      ELSE {{'own': a.own || x.own, 'size': a.size + x.size, 'done': a.done}} END"""
+    return f"""_f AS (SELECT key, list_reduce(list_transform(p, lambda o: {{'own': [o], 'size': CAST(length(o.t) AS BIGINT), 'done': o[1:0]}}), lambda a, x: {step}) AS z FROM (SELECT key, p FROM {source} WHERE len(p) > 0)),
+packed AS (SELECT key, list_filter(z.done || [{close("z.own")}], lambda o: length(o.t) >= 8) AS passages FROM _f)""".replace("'done': o[1:0]", "'done': [o][2:]")
+
+
+SQUEEZE = r"trim(regexp_replace(replace(text, chr(8203), ' '), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH _s AS (SELECT conv_id, turn, {SQUEEZE} AS t FROM conversations),
+segs AS (SELECT conv_id AS key, list({{'t': t, 's': CAST(turn * 8 AS DOUBLE), 'e': CAST(turn * 8 + 8 AS DOUBLE)}} ORDER BY turn) AS p FROM _s WHERE t <> '' GROUP BY conv_id), {packed_sql("segs")},
+o AS (SELECT key, unnest(passages) AS c, unnest(range(0, len(passages))) AS ordinal FROM packed)
+SELECT CAST(key AS VARCHAR) AS item_id, CAST(ordinal AS INTEGER) AS ordinal, c.t AS text, c.s AS start, c.e AS "end" FROM o""")
 def chunk_segments(spark, sf_dir):
     """Conversations as segments, 8 seconds a turn."""
     c = read(spark, sf_dir, "conversations")
     return chunking.chunk_segments(c.select(F.col("conv_id").alias("item_id"), F.col("turn").alias("seq"), "text", (F.col("turn") * 8.0).alias("start"), (F.col("turn") * 8.0 + 8).alias("end")))
 
 
-@query()
+#: All passages of the documents as posts: chunks(id, ordinal, kind, text).
+POSTS = f"""_c AS (SELECT id, list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda text: {SQUEEZE}), lambda x: x <> '') AS t FROM it),
+segs AS (SELECT id AS key, list_transform(t, lambda x: {{'t': x, 's': 0.0::DOUBLE, 'e': 0.0::DOUBLE}}) AS p FROM _c), {packed_sql("segs")},
+_a AS (SELECT id, [concat_ws(' · ', nullif(title, ''), nullif(author, ''), nullif(lang, ''), nullif(folder, ''))] || coalesce(list_transform(passages, lambda o: o.t), []) AS every FROM it LEFT JOIN packed ON key = id),
+chunks AS (SELECT id, unnest(every) AS text, CAST(unnest(range(0, len(every))) AS INTEGER) AS ordinal, unnest(list_transform(range(0, len(every)), lambda i: CASE WHEN i = 0 THEN 'title' ELSE 'body' END)) AS kind FROM _a)"""
+
+
+@query(f"""WITH {IT}, {POSTS} SELECT substr(sha1(id || '|' || ordinal || '|' || text), 1, 20) AS chunk_id, id AS item_id, ordinal, kind, text, 0.0::DOUBLE AS start, 0.0::DOUBLE AS "end" FROM chunks""")
 def chunk_items(spark, sf_dir):
     """Documents as posts: header, then body paragraphs packed with overlap."""
     segs = F.transform(chunking.paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end")))
@@ -257,15 +282,20 @@ def _library(spark, sf_dir):
     return replace(empty, items=empty.items.unionByName(own.select(*empty.items.columns)))
 
 
-@query(f"""WITH {IT}, s AS (SELECT *, CASE WHEN doc_id % 50 = 7 THEN 'failed' WHEN NOT labelled THEN 'added' WHEN toxic THEN 'updated' ELSE 'skipped' END AS state FROM it)
-SELECT id, state, CASE WHEN state = 'failed' THEN 'unreadable' END AS error, state NOT IN ('failed', 'skipped') AS has_chunks FROM s""")
+@query(f"""WITH {IT}, {POSTS}, s AS (SELECT *, CASE WHEN doc_id % 50 = 7 THEN 'failed' WHEN NOT labelled THEN 'added' WHEN toxic THEN 'updated' ELSE 'skipped' END AS state FROM it),
+d AS (SELECT id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY ordinal)) AS texts FROM chunks GROUP BY id)
+SELECT id, state, CASE WHEN state = 'failed' THEN 'unreadable' END AS error, state NOT IN ('failed', 'skipped') AS has_chunks, CASE WHEN state NOT IN ('failed', 'skipped') THEN n ELSE 0 END AS n_chunks, CASE WHEN state NOT IN ('failed', 'skipped') THEN texts END AS texts,
+  CASE WHEN state NOT IN ('failed', 'skipped') THEN n ELSE 0 END AS n_vectors FROM s LEFT JOIN d USING (id)""")
 def ingest_run(spark, sf_dir):
-    """Documents come in anew, one in fifty unreadable: diff, passages, tokens, vectors, merge, in one plan."""
+    """Documents come in anew, one in fifty unreadable: diff, passages, tokens, vectors, merge, in one plan; what is stored in the end is compared."""
     segments = F.transform(chunking.paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end")))
     rows = items(spark, sf_dir).withColumns({"idx": F.col("doc_id"), "segments": segments, "comments": F.array().cast(G.COMMENTS), "thumbnail": F.lit(""), "error": F.when(F.col("doc_id") % 50 == 7, "unreadable")}).drop("text", "has_transcript", "transcript_source")
     library, outcomes = G.ingest(_library(spark, sf_dir), rows, now=1.0)
-    stored = library.chunks.select(F.col("item_id").alias("id")).distinct().withColumn("has_chunks", F.lit(True))
-    return outcomes.join(stored, "id", "left").select("id", "state", "error", F.coalesce("has_chunks", F.lit(False)).alias("has_chunks"))
+    texts = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n"))
+    held = library.chunks.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("n_chunks"), texts.alias("texts"))
+    vectors = library.vectors.where("embedder = 'local-hash:512'").groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("n_vectors"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return outcomes.select("id", "state", "error").join(held, "id", "left").join(vectors, "id", "left").select("id", "state", "error", F.col("texts").isNotNull().alias("has_chunks"), none("n_chunks"), "texts", none("n_vectors"))
 
 
 @query(f"""WITH {CANON}, r AS (SELECT page_id, page_id % 50 = 3 AS bad, CASE WHEN page_id % 50 <> 3 THEN row_number() OVER (PARTITION BY page_id % 50 = 3, canonical ORDER BY page_id) END AS n FROM canon)
@@ -289,12 +319,14 @@ def _indexed(spark, sf_dir):
     return replace(empty, chunks=empty.chunks.unionByName(rows))
 
 
-@query(f"""WITH {LINES}, {tokens_sql('lines', 'chunk_id')}, {sqlhash_sql('tok', 'chunk_id', 'cv')}, c AS (SELECT chunk_id, count(*) AS cells, round(sum(w * w), 6) AS norm FROM cv GROUP BY ALL)
-SELECT chunk_id, 'sql-hash:512' AS embedder, coalesce(cells, 0) AS cells, coalesce(norm, 0) AS norm FROM lines LEFT JOIN c USING (chunk_id)""")
+@query(f"""WITH {LINES}, {tokens_sql('lines', 'chunk_id')}, {sqlhash_sql('tok', 'chunk_id', 'cv')}, c AS (SELECT chunk_id, count(*) AS cells, round(sum(w * w), 6) AS norm, round(sum(w * (bucket + 1)), 5) AS moment, round(sum(w * w * (bucket + 1)), 5) AS place FROM cv GROUP BY ALL)
+SELECT chunk_id, 'sql-hash:512' AS embedder, coalesce(cells, 0) AS cells, coalesce(norm, 0) AS norm, coalesce(moment, 0) AS moment, coalesce(place, 0) AS place FROM lines LEFT JOIN c USING (chunk_id)""")
 def reindex(spark, sf_dir):
     """All stored passages embedded by another backend."""
     v = G.reindex(_indexed(spark, sf_dir), "sql-hash").vectors
-    return v.select("chunk_id", "embedder", F.size("idx").cast("long").alias("cells"), F.round(F.aggregate("val", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    total = lambda f: F.aggregate(F.zip_with("val", "idx", f), F.lit(0.0), lambda s, x: s + x)
+    sums = [F.round(total(lambda v, i: v * v), 6).alias("norm"), F.round(total(lambda v, i: v * (i + 1)), 5).alias("moment"), F.round(total(lambda v, i: v * v * (i + 1)), 5).alias("place")]
+    return v.select("chunk_id", "embedder", F.size("idx").cast("long").alias("cells"), *sums)
 
 
 @query(f"WITH {fused_sql().replace(LINES, LINES.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 3)'))}, {HITS}, {COVER}, {ITEMS} SELECT * FROM items")
@@ -335,6 +367,46 @@ def sync_twice(spark, sf_dir):
     return outcomes.select("id", "state").join(same, "id", "left").join(titles, "id").select("id", "state", "title", F.coalesce("searchable", F.lit(True)).alias("searchable"))
 
 
+MARKED = f"""WITH {IT}, {POSTS}, kept AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN 'digested' ELSE 'active' END AS now, CASE WHEN doc_id % 4 = 1 THEN ['seen', lang] ELSE [] END AS tags FROM it WHERE doc_id % 10 <> 3)"""
+
+
+@query(MARKED + """, n AS (SELECT count(*) AS chunks FROM chunks JOIN kept USING (id)), f AS (SELECT count(DISTINCT user_id) AS fired FROM events WHERE event_type = 'click')
+SELECT count(*) AS items, count(*) FILTER (WHERE trim(text, chr(10) || chr(13) || ' ') <> '') AS items_with_transcript, count(*) FILTER (WHERE now = 'digested') AS items_digested, CAST(0 AS BIGINT) AS items_transcribed, 2.0::DOUBLE AS last_indexed_at,
+  (SELECT chunks FROM n) AS chunks, CAST(0 AS BIGINT) AS comment_chunks, (SELECT fired FROM f) AS items_fired, round(count(*) FILTER (WHERE now = 'digested') / count(*), 4) AS coverage, round((SELECT fired FROM f) / count(*), 4) AS fire_rate FROM kept""")
+def maintained_stats(spark, sf_dir):
+    """The totals of a stored library after adds, updates, marks, deletes and events, from the counts that its changes keep."""
+    return _changed_store(spark, sf_dir).stats()
+
+
+@query(MARKED + " SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM kept) GROUP BY tag")
+def maintained_tags(spark, sf_dir):
+    """The tags of the same library, from its counts."""
+    return _changed_store(spark, sf_dir).tag_cloud()
+
+
+#: Stores that this process has built: by session and table folder.
+_CHANGED: dict[tuple, Store] = {}
+
+
+def _changed_store(spark, sf_dir):
+    if (key := (spark.sparkContext.applicationId, sf_dir)) in _CHANGED:
+        return _CHANGED[key]
+    segments = F.transform(chunking.paragraphs(F.col("text")), lambda p: F.struct(p.alias("text"), F.lit(0.0).alias("start"), F.lit(0.0).alias("end")))
+    rows = items(spark, sf_dir).withColumns({"idx": F.col("doc_id"), "comments": F.array().cast(G.COMMENTS), "thumbnail": F.lit("")}).drop("has_transcript", "transcript_source")
+    final = lambda df: df.withColumn("segments", segments).drop("text")
+    store = Store(spark, f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}", buckets=16)
+    store.ingest(final(rows.where("doc_id % 10 <> 9").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Before.\n\n"), "text")).otherwise(F.col("text")))), now=1.0)
+    store.ingest(final(rows), now=2.0)
+    some = rows.where("doc_id % 4 = 1").select("id", F.lit("digested").alias("status"), F.array(F.lit("seen"), F.col("folder"), F.lit("seen")).alias("add_tags"), F.lit(None).cast("array<string>").alias("remove_tags"), F.lit(None).cast("string").alias("note"), F.lit(3.0).alias("at"))
+    store.mark(some)
+    store.delete(rows.where("doc_id % 10 = 3"))
+    log = event_log(spark, sf_dir).select(F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("ts"), "kind", F.lit("s").alias("source"), "item_id", F.lit("{}").alias("payload"))
+    for k in range(2):
+        store.log(log.where(F.col("ts").cast("long") % 2 == k))
+    _CHANGED[key] = store
+    return store
+
+
 @query("""SELECT 'web:' || substr(sha1('https://example.org/' || doc_id), 1, 16) AS id, 'Save "' || doc_id || '", ' || chr(92) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' end' || chr(92) END AS title, 'https://example.org/' || doc_id AS url,
   CASE WHEN trim(text) = '' THEN '' ELSE md5(trim(text)) END AS description FROM documents""")
 def csv_items(spark, sf_dir):

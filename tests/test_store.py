@@ -54,7 +54,7 @@ def test_a_change_leaves_other_buckets(spark, tmp_path):
     out = store.ingest(incoming(spark, [(5, "sourdough starters"), (900, "brand new")]), now=3.0)
     assert {r.state for r in out.collect()} == {"skipped"} and (store.version, files(tmp_path)) == (version, before)
     store.mark(spark.createDataFrame([("s:5", "muted", ["x"], None, "n", 4.0), ("s:none", "muted", None, None, None, 4.0)], "id string, status string, add_tags array<string>, remove_tags array<string>, note string, at double"))
-    assert {p.split("/")[0] for p in files(tmp_path) - before} == {"items"}
+    assert {p.split("/")[0] for p in files(tmp_path) - before} == {"items", "facets"}
     store.ingest(incoming(spark, [(5, "sourdough starters in summer")]), now=5.0)
     one = store.table("items").where("id = 's:5'").first()
     assert (one.status, one.user_tags, one.indexed_at) == ("muted", ["x"], 5.0)
@@ -101,4 +101,10 @@ def test_sync_capture_and_log(spark, tmp_path):
     for k in range(40):
         store.log(spark.createDataFrame([(float(k), "fired", "s", f"s:{k}", "{}")], G.EVENTS))
     assert store.events().count() == 45 and len(store.held["events"]) <= 32
-    assert {p.split("/")[0] for p in files(tmp_path / "lib") ^ before} == {"events"}
+    assert {p.split("/")[0] for p in files(tmp_path / "lib") ^ before} == {"events", "fired"}
+    s = store.stats().first()
+    assert (s.items, s.items_fired, s["chunks"], s.items_with_transcript) == (3, 40, store.table("chunks").count(), 3)
+    now = files(tmp_path / "lib")
+    store.log(spark.createDataFrame([(99.0, "fired", "s", "s:1", "{}"), (99.0, "looked", "s", "s:new", "{}")], G.EVENTS))  # nothing that had not fired
+    assert {p.split("/")[0] for p in files(tmp_path / "lib") - now} == {"events"} and store.stats().first().items_fired == 40
+    assert store.vector_share() == 1.0 and {(r.facet, r.value): r.n for r in store.counts_by("status").collect()} == {("status", "active"): 3}
