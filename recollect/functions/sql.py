@@ -22,6 +22,7 @@ NFKC = "reflect('com.ibm.icu.text.Normalizer', 'compose', t, true)"
 CJK = "".join(f"{chr(a)}-{chr(b)}" for a, b in words.CJK_BLOCKS)
 FOUND = re.compile(f"[{CJK}]+|{words.WORD}")
 BROKEN = re.compile("%(?![0-9A-Fa-f]{2})")
+SILENT, FUNCTION = frozenset(STOP), frozenset(words.FUNCTION_CHARS)
 ADDRESS = re.compile(r"^[^:/?#]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?", re.S)
 
 
@@ -34,8 +35,7 @@ def plain_tokens(text: str | None) -> list[str]:
         elif w := w.strip("-_."):
             parts = [p for p in re.split("[-_.]+", w) if p]
             out += [w] if len(parts) < 2 else [w, *(p for p in parts if len(p) > 1), "".join(parts)]
-    stop = set(STOP)
-    return [t for t in out if t not in stop and not (len(t) == 2 and set(t) <= set(words.FUNCTION_CHARS))]
+    return [t for t in out if t not in SILENT and not (len(t) == 2 and t[0] in FUNCTION and t[1] in FUNCTION)]
 
 
 def plain_url(url: str | None) -> str:

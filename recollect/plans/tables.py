@@ -24,13 +24,22 @@ def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One passage for each line with a word: the first is the title, the others body. Tokens are computed once and kept."""
-    return settle(line_passages(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))))
+    return settle(tokenised(plain_passages(spark, sf_dir)))
+
+
+def plain_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """passages() without their tokens, for what asks for ids, kinds and texts alone."""
+    return lines_of(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def line_passages(docs: DataFrame) -> DataFrame:
     """The passages() of documents (doc_id, source, text)."""
+    return tokenised(lines_of(docs))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).where(F.trim("text") != "")
-    return tokenised(lines.select(F.format_string("%012d:%06d", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("item_id"), "source", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("body").alias("kind"), "text"))
+    return lines.select(F.format_string("%012d:%06d", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("item_id"), "source", "ordinal", F.when(F.col("ordinal") == 0, "title").otherwise("body").alias("kind"), "text")
 
 
 #: Indexes that this process has built: by session, table folder, state of the table and what is indexed.

@@ -15,7 +15,7 @@ from ..operators import library as L
 from ..operators.shared import settle, spread
 from ..plans import context as C
 from ..plans import ingest as G
-from ..plans.tables import event_log, items, passages, question_vectors, questions, read, stored, whole_documents
+from ..plans.tables import event_log, items, plain_passages, question_vectors, questions, read, stored, whole_documents
 from ..streaming import streams
 from ..operators.segments import Segmented
 from ..operators.shared import checkpoint_dir
@@ -86,7 +86,7 @@ def content_hash(spark, sf_dir):
 @query("WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS ordinal FROM documents) SELECT doc_id, ordinal, substr(sha1(doc_id || '|' || ordinal || '|' || text), 1, 20) AS chunk_id FROM x WHERE trim(text) <> ''")
 def chunk_ids(spark, sf_dir):
     own = identity.chunk_id(F.col("item_id"), F.col("ordinal"), F.col("text"))
-    return passages(spark, sf_dir).select(F.col("item_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), own.alias("chunk_id"))
+    return plain_passages(spark, sf_dir).select(F.col("item_id").cast("long").alias("doc_id"), F.col("ordinal").cast("long").alias("ordinal"), own.alias("chunk_id"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents),
@@ -192,7 +192,7 @@ SELECT count(*) AS items, count(*) FILTER (WHERE has_transcript) AS items_with_t
  (SELECT count(*) FROM c WHERE trim(t) <> '') AS chunks, CAST(0 AS BIGINT) AS comment_chunks, (SELECT n FROM f) AS items_fired,
  round(count(*) FILTER (WHERE status = 'digested') / count(*), 4) AS coverage, round((SELECT n FROM f) / count(*), 4) AS fire_rate FROM it""")
 def library_stats(spark, sf_dir):
-    return L.library_stats(items(spark, sf_dir), passages(spark, sf_dir), event_log(spark, sf_dir))
+    return L.library_stats(items(spark, sf_dir), plain_passages(spark, sf_dir), event_log(spark, sf_dir))
 
 
 @query(f"WITH {IT} SELECT 'source' AS facet, source AS value, count(*) AS n FROM it GROUP BY ALL UNION ALL SELECT 'status', status, count(*) FROM it GROUP BY ALL UNION ALL SELECT 'folder', folder, count(*) FROM it GROUP BY ALL")
@@ -241,7 +241,7 @@ OLD = "x AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, unnest(string_split(text
 @query(f"WITH {IT}, {OLD} SELECT item_id, ordinal, md5(text) AS digest FROM c WHERE item_id NOT IN (SELECT source_id FROM it WHERE toxic) UNION ALL SELECT source_id, 0, md5(title) FROM it WHERE toxic")
 def replace_chunks(spark, sf_dir):
     """Toxic items keep their header alone."""
-    old = passages(spark, sf_dir).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "text")
+    old = plain_passages(spark, sf_dir).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "text")
     gone = items(spark, sf_dir).where("toxic")
     new = gone.select(F.col("source_id").alias("item_id"), F.lit(0).cast("long").alias("ordinal"), F.col("title").alias("text"))
     return L.replace_chunks(old, gone.select(F.col("source_id").alias("id")), new).select("item_id", "ordinal", F.md5("text").alias("digest"))
@@ -250,7 +250,7 @@ def replace_chunks(spark, sf_dir):
 @query(f"WITH {IT}, {OLD} SELECT item_id, count(*) AS n FROM c WHERE item_id NOT IN (SELECT source_id FROM it WHERE status = 'muted') GROUP BY item_id")
 def delete_items(spark, sf_dir):
     own = items(spark, sf_dir).withColumn("id", F.col("source_id"))
-    left, chunks = L.delete_items(own, passages(spark, sf_dir), own.where("status = 'muted'"))
+    left, chunks = L.delete_items(own, plain_passages(spark, sf_dir), own.where("status = 'muted'"))
     return chunks.join(left.select(F.col("id").alias("item_id")), "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("n"))
 
 
@@ -585,7 +585,7 @@ def item_lookup(spark, sf_dir):
 @query(f"WITH {IT}, {OLD} SELECT count(*) AS chunks, count(*) FILTER (WHERE item_id IN (SELECT source_id FROM it WHERE labelled)) AS comparable, round(count(*) FILTER (WHERE item_id IN (SELECT source_id FROM it WHERE labelled)) / count(*), 4) AS share FROM c")
 def vector_coverage(spark, sf_dir):
     """Passages of labelled items have vectors of the current embedder, others of an old one."""
-    chunks = passages(spark, sf_dir).select("chunk_id", "item_id")
+    chunks = plain_passages(spark, sf_dir).select("chunk_id", "item_id")
     own = items(spark, sf_dir).where("labelled").select(F.col("source_id").alias("item_id"), F.lit(True).alias("new")).distinct()
     now = index.signature("local-hash", 512)
     vectors = chunks.join(own, "item_id", "left").select("chunk_id", F.when(F.col("new"), now).otherwise(index.signature("sql-hash", 512)).alias("embedder"))
