@@ -36,8 +36,8 @@ class Settings:
     replies: int = 2
     # embedding
     dimensions: int = 512
-    #: Postings of all terms asked for, from which on a search finds out first which zones of the index can matter.
-    prune_from: int = 1_000_000
+    #: Passages of an index from which on a search finds out first which of its zones can matter. In small ones that costs more than it saves.
+    prune_from: int = 2_000_000
     #: Rows up to which a side of a join is broadcast; beyond, the join shuffles.
     broadcast_rows: int = 200_000
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from .index import PACK, Index, described, name_tokens, packed
 from .manifest import Manifest
-from .shared import settle
 
 #: Passages of one zone: postings of a token in a zone make a block.
 ZONE_BITS = 7
@@ -24,8 +23,8 @@ ZONE_BITS = 7
 FAN = 4
 #: Of all passages written, the share that may have left before everything is merged.
 MOST_DEAD = 0.3
-#: Passages a task should take at least.
-ROWS = 20_000
+#: Passages, or tokens, that a task should take at least.
+ROWS, TOKENS = 20_000, 200_000
 TOMBS = "chunk_id {kind}"
 
 
@@ -51,15 +50,19 @@ def keep(df: DataFrame, path: str) -> None:
 def blocks_of(chunks: DataFrame, parts: int) -> DataFrame:
     """(token, zone, max_tf, min_len, n, posts: array<struct<chunk_id, tf, doc_len>>) of tokenised passages, sorted by token and zone.
 
-    A zone is 128 passages that follow each other by chunk_id, so that passages of one item share zones. Blocks are dealt by (token, zone): a
-    token of any number of passages parts among files."""
+    A zone is 128 passages that follow each other by chunk_id, so that passages of one item share zones (their order is fixed before they are numbered,
+    so that tasks that run again number them alike). Blocks are dealt by (token, zone): a token of any number of passages parts among files."""
     zoned = chunks.select("chunk_id", "doc_len", "tokens").repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("zone", F.shiftright(F.monotonically_increasing_id(), ZONE_BITS))
-    each = settle(zoned).select("chunk_id", "doc_len", "zone", F.explode("tokens").alias("token")).repartitionByRange(parts, "token", "zone")
+    each = zoned.select("chunk_id", "doc_len", "zone", F.explode("tokens").alias("token")).repartitionByRange(parts, "token", "zone")
     counted = each.groupBy("token", "zone", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
-    blocks = counted.groupBy("token", "zone").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "doc_len"))).alias("posts"))
+    blocks = counted.groupBy("token", "zone").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("chunk_id", "tf", "doc_len")).alias("posts"))
     return blocks.sortWithinPartitions("token", "zone")
 
 
+def tasks(spark: SparkSession, rows: int, tokens: int) -> int:
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(-(-rows // ROWS), -(-tokens // TOKENS))))
+
+
 def write_segment(spark: SparkSession, root: str, seq: int, chunks: DataFrame, vectors: DataFrame | None = None, removed: DataFrame | None = None) -> Segment:
     """Write what a change brings: tokenised passages and their vectors, and the tokenised passages (chunk_id, tokens, doc_len) that leave the
     index. A passage that is replaced is in both. Its cost is that of the change, whatever the index holds."""
@@ -67,7 +70,7 @@ def write_segment(spark: SparkSession, root: str, seq: int, chunks: DataFrame, v
     of = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("doc_len"), F.lit(0))).first()
     rows, length = of(chunks)
     dead, less = of(removed) if removed is not None else (0, 0)
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS)))
+    parts = tasks(spark, rows, length)
     blocks = blocks_of(chunks, parts)
     keep(blocks, f"{root}/{path}/blocks")
     counts = spark.read.parquet(f"{root}/{path}/blocks").select("token", F.col("n").cast("long").alias("df"))
@@ -171,12 +174,12 @@ def merged(spark: SparkSession, root: str, segments: list[Segment], start: int,
     """segments[start:end] as one, without what has left; its tombstones stay while there are segments before it that they hold for."""
     own, dead = segments[start:end], tombstones(spark, root, segments)
     path = f"segments/{own[-1].seq:012d}-{uuid.uuid4().hex}"
-    at, parts = f"{root}/{path}", max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(s.rows for s in own) // ROWS)))
+    at, parts = f"{root}/{path}", tasks(spark, sum(s.rows for s in own), sum(abs(s.length) for s in own))
     # zones keep their passages, but get numbers of their own (two that met by chance would have a bound that is too high, which loses nothing)
     alive = union(spark, root, own, "blocks").withColumn("zone", F.xxhash64("seq", "zone"))
     if dead is not None:
         rows = living(alive.select("token", "zone", "seq", F.inline("posts")), dead)
-        alive = rows.groupBy("token", "zone").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "doc_len"))).alias("posts"))
+        alive = rows.groupBy("token", "zone").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("chunk_id", "tf", "doc_len")).alias("posts"))
     keep(alive.drop("seq").repartitionByRange(parts, "token", "zone").sortWithinPartitions("token", "zone"), f"{at}/blocks")
     terms = union(spark, root, own, "terms").groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
     keep(terms.repartitionByRange(max(1, parts // 4), "token").sortWithinPartitions("token"), f"{at}/terms")
