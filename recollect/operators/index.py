@@ -12,8 +12,9 @@ from ..config import Settings
 from ..functions.text import script_of, tokenize
 
 #: Tokens up to which a filter names each of them. Spark hands a list of that many on to Parquet, which tests every row group and page
-#: for them, only if spark.sql.parquet.pushdown.inFilterThreshold allows it; else their range alone.
-NAMED = 1024
+#: for them, only if spark.sql.parquet.pushdown.inFilterThreshold allows it; else their range alone. Parquet walks through such a list in a
+#: recursion, so a scan names GROUP of them at most, and more take several scans.
+NAMED, GROUP = 1024, 256
 #: Vectors of one pack.
 PACK = 4096
 
@@ -21,8 +22,8 @@ PACK = 4096
 def name_tokens(spark: SparkSession) -> None:
     """Let this session's filters name that many values to Parquet."""
     key = "spark.sql.parquet.pushdown.inFilterThreshold"
-    if int(spark.conf.get(key)) < NAMED:
-        spark.conf.set(key, str(NAMED))
+    if int(spark.conf.get(key)) < GROUP:
+        spark.conf.set(key, str(GROUP))
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
@@ -174,8 +175,13 @@ class Index:
         """The part of postings and terms that these tokens (terms.token) have: of few tokens, only their row groups are read."""
         few = [r.token for r in terms.select("token").distinct().limit(NAMED + 1).collect()]
         if len(few) <= NAMED:
-            own = F.col("token").isin(few) if few else F.lit(False)
-            part = lambda df: df.where(own)
+            few.sort()
+
+            def part(df: DataFrame) -> DataFrame:
+                out = df.where(F.col("token").isin(few[:GROUP]) if few else F.lit(False))
+                for i in range(GROUP, len(few), GROUP):
+                    out = out.unionAll(df.where(F.col("token").isin(few[i : i + GROUP])))
+                return out
         else:
             wanted = terms.select("token").distinct()
             part = lambda df: df.join(wanted, "token", "left_semi")
