@@ -13,7 +13,7 @@ from itertools import accumulate, groupby, pairwise
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import counted, settle
 
 STATE = "b long, a long, i long"
 
@@ -60,15 +60,8 @@ class Run:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with pos: their place in the order of item and seq (then start, end and text's hash). Tasks number what they hold; only their totals,
-    one row a task, are added up apart."""
-    order = ["item_id", "seq", "start", "end", F.xxhash64("text")]
-    held = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    totals = sorted((r.part, r.n) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    before = [(p, s - n) for (p, n), s in zip(totals, accumulate(n for _, n in totals), strict=True)]
-    first = rows.sparkSession.createDataFrame(before, "part long, first long")
-    return held.join(F.broadcast(first), part == F.col("part")).withColumn("pos", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "first")
+    """rows with pos: their place in the order of item and seq (then start, end and text's hash)."""
+    return counted(rows, [F.col(c) for c in ("item_id", "seq", "start", "end")] + [F.xxhash64("text")], "pos")
 
 
 def in_blocks(rows: DataFrame, block: int, back: int, ahead: int) -> DataFrame:

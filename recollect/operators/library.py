@@ -77,9 +77,12 @@ def silenced(items: DataFrame, digested: bool = True) -> DataFrame:
     return items.where(F.col("status").isin(*(["muted", "digested"] if digested else ["muted"]))).select("id")
 
 
-def list_items(items: DataFrame, source: str = "", query: str = "", status: str = "", tag: str = "", media_kind: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of items that meet every given filter, the latest saved first. The tag must match exactly; query is sought in
-    title, author and description without regard to case."""
+#: Where a listing's query is sought.
+SEARCHED = ("title", "author", "description")
+
+
+def meeting(items: DataFrame, source: str = "", query: str = "", status: str = "", tag: str = "", media_kind: str = "") -> DataFrame:
+    """Items that meet every given filter. The tag must match exactly; query is sought in title, author and description without regard to case."""
     for c, v in (("source", source), ("status", status), ("media_kind", media_kind)):
         if v:
             items = items.where(F.col(c) == v)
@@ -87,10 +90,15 @@ def list_items(items: DataFrame, source: str = "", query: str = "", status: str
         items = items.where(F.array_contains("user_tags", tag))
     if query:
         found = F.lit(False)
-        for c in ("title", "author", "description"):
+        for c in SEARCHED:
             found = found | F.contains(F.lower(F.col(c)), F.lit(query.lower()))
         items = items.where(found)
-    return items.orderBy(F.desc("saved_at"), F.desc("indexed_at"), "id").offset(offset).limit(limit)
+    return items
+
+
+def list_items(items: DataFrame, source: str = "", query: str = "", status: str = "", tag: str = "", media_kind: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of items that meet every given filter (see meeting()), the latest saved first. A Listing (listing.py) gives the same without reading them all."""
+    return meeting(items, source, query, status, tag, media_kind).orderBy(F.desc("saved_at"), F.desc("indexed_at"), "id").offset(offset).limit(limit)
 
 
 def tag_cloud(items: DataFrame) -> DataFrame:

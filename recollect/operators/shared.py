@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,3 +35,13 @@ def spread(scan: DataFrame) -> DataFrame:
     A file of one row group is otherwise one task's work, whatever comes after it."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def counted(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in that order, from 0. Tasks count what they hold; only their totals, one row a task, are added up apart."""
+    held = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    totals = sorted((r.part, r.n) for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, s - n) for (p, n), s in zip(totals, accumulate(n for _, n in totals), strict=True)]
+    first = rows.sparkSession.createDataFrame(before, "_part long, _first long")
+    return held.join(F.broadcast(first), part == F.col("_part")).withColumn(name, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_first")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -12,6 +14,7 @@ from ..functions import identity, text
 from ..functions.extract import extract_pages as extract
 from ..operators import chunking, index, retrieve
 from ..operators import library as L
+from ..operators.listing import Listing
 from ..operators.shared import settle, spread
 from ..plans import context as C
 from ..plans import ingest as G
@@ -181,6 +184,22 @@ def list_items(spark, sf_dir):
     return L.list_items(items(spark, sf_dir), status="active", query="the", limit=100, offset=20).select("id", "title", "status", "saved_at")
 
 
+#: Pages asked of a listing: name, its arguments, and the same in SQL.
+PAGES = [
+    ("all", {"offset": 20}, "true"),
+    ("text", {"query": "Ation", "status": "active", "offset": 5}, "status = 'active' AND (contains(lower(title), 'ation') OR contains(lower(author), 'ation') OR contains(lower(description), 'ation'))"),
+    ("short", {"query": "e"}, "(contains(lower(title), 'e') OR contains(lower(author), 'e') OR contains(lower(description), 'e'))"),
+    ("tag", {"tag": "low", "limit": 1000}, "list_contains(user_tags, 'low')"),
+]
+
+
+@query(f"WITH {IT}\n" + "\nUNION ALL ".join(f"SELECT '{name}' AS page, id, title, saved_at FROM (SELECT * FROM it WHERE {where} ORDER BY saved_at DESC, indexed_at DESC, id LIMIT {how.get('limit', 100)} OFFSET {how.get('offset', 0)})" for name, how, where in PAGES))
+def listing_pages(spark, sf_dir):
+    """All items listed in zones, and pages read from there."""
+    listed = Listing.write(items(spark, sf_dir).select("id", "source", "title", "author", "description", "saved_at", "indexed_at", "status", "user_tags", "media_kind"), f"{checkpoint_dir(spark)}/listing-{uuid.uuid4().hex}")
+    return reduce(DataFrame.unionByName, [listed.page(**how).select(F.lit(name).alias("page"), "id", "title", "saved_at") for name, how, _ in PAGES])
+
+
 @query(f"WITH {IT} SELECT tag, count(*) AS n FROM (SELECT unnest(user_tags) AS tag FROM it) GROUP BY tag")
 def tag_cloud(spark, sf_dir):
     return L.tag_cloud(items(spark, sf_dir))
