@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from . import library as L
+from .index import GROUP, name_tokens
 from .shared import counted
 
 #: Bits of a signature: those of one bitmap_construct_agg().
 BITS = 32_768
 ORDER = (F.desc, "saved_at"), (F.desc, "indexed_at"), (F.asc, "id")
-#: Zones that are named in a scan's filter; more are met in a semi-join.
-NAMED = 256
 
 
 def grams(text: Column) -> Column:
@@ -75,9 +74,10 @@ class Listing:
         """The items at places from first to before end that meet the filters of library.list_items(), in no order."""
         rows = self.rows.where((F.col("_pos") >= first) & (F.col("_pos") < end))
         if len(query) >= 3:
+            name_tokens(self.rows.sparkSession)
             zones = self.zones(query, first, end)
-            some = [r[0] for r in zones.limit(NAMED + 1).collect()]
-            rows = rows.where(F.col("_zone").isin(some)) if len(some) <= NAMED else rows.join(zones, "_zone", "left_semi")
+            some = [r[0] for r in zones.limit(GROUP + 1).collect()]
+            rows = rows.where(F.col("_zone").isin(some)) if len(some) <= GROUP else rows.join(zones, "_zone", "left_semi")
         return L.meeting(rows, query=query, **filters)
 
     def page(self, query: str = "", limit: int = 100, offset: int = 0, after: int = -1, stretch: int = 4096, **filters: str) -> DataFrame:
