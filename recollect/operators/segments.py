@@ -51,12 +51,46 @@ def blocks_of(chunks: DataFrame, parts: int) -> DataFrame:
     """(token, zone, max_tf, min_len, n, posts: array<struct<chunk_id, tf, doc_len>>) of tokenised passages, sorted by token and zone.
 
     A zone is 128 passages that follow each other by chunk_id, so that passages of one item share zones (their order is fixed before they are numbered,
-    so that tasks that run again number them alike). Blocks are dealt by (token, zone): a token of any number of passages parts among files."""
+    so that tasks that run again number them alike). A zone lies in one task, which forms its blocks: what is shuffled are blocks, not tokens. They are
+    dealt by (token, zone): a token of any number of passages parts among files."""
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
     zoned = chunks.select("chunk_id", "doc_len", "tokens").repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("zone", F.shiftright(F.monotonically_increasing_id(), ZONE_BITS))
-    each = zoned.select("chunk_id", "doc_len", "zone", F.explode("tokens").alias("token")).repartitionByRange(parts, "token", "zone")
-    counted = each.groupBy("token", "zone", "chunk_id").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
-    blocks = counted.groupBy("token", "zone").agg(F.max("tf").alias("max_tf"), F.min("doc_len").alias("min_len"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("chunk_id", "tf", "doc_len")).alias("posts"))
-    return blocks.sortWithinPartitions("token", "zone")
+    schema = f"token string, zone long, max_tf int, min_len int, n int, posts array<struct<chunk_id:{kind},tf:int,doc_len:int>>"
+    return zoned.mapInArrow(zone_blocks, schema).repartitionByRange(parts, "token", "zone").sortWithinPartitions("token", "zone")
+
+
+def zone_blocks(batches):
+    """The blocks of passages (chunk_id, doc_len, tokens, zone) that come sorted by zone; those of several zones in one go."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from ..llm.common import groups
+
+    for t in groups(batches, ["zone"]):
+        b = t.to_batches()[0]
+        ids, doc_len, zone = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
+        row = pc.list_parent_indices(b.column(2)).to_numpy()
+        words = pc.list_flatten(b.column(2)).dictionary_encode()
+        if not len(row):
+            continue
+        v = max(1, len(words.dictionary))
+        each, tf = np.unique(row.astype(np.int64) * v + words.indices.to_numpy(), return_counts=True)
+        row, word = np.divmod(each, v)
+        numbered = np.searchsorted(np.unique(zone), zone)
+        key = numbered[row] * v + word
+        order = np.argsort(key, kind="stable")
+        key, row, word, tf = key[order], row[order], word[order], tf[order].astype(np.int32)
+        start = np.flatnonzero(np.append(True, np.diff(key) != 0))
+        length = doc_len[row].astype(np.int32)
+        posts = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(tf), pa.array(length)], names=["chunk_id", "tf", "doc_len"])
+        cols = [
+            words.dictionary.take(pa.array(word[start])), pa.array(zone[row[start]]), pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(length, start)),
+            pa.array(np.diff(np.append(start, len(key))).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), posts),
+        ]
+        out = pa.RecordBatch.from_arrays(cols, names=["token", "zone", "max_tf", "min_len", "n", "posts"])
+        for i in range(0, out.num_rows, 10_000):
+            yield out.slice(i, 10_000)
 
 
 def tasks(spark: SparkSession, rows: int, tokens: int) -> int:
