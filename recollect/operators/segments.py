@@ -70,7 +70,10 @@ def zone_blocks(batches):
     for t in groups(batches, ["zone"]):
         b = t.to_batches()[0]
         ids, doc_len, zone = b.column(0), b.column(1).to_numpy(zero_copy_only=False), b.column(3).to_numpy()
-        row = pc.list_parent_indices(b.column(2)).to_numpy()
+        # rows of one id count as one passage
+        codes = ids.dictionary_encode().indices.to_numpy()
+        first = np.unique(codes, return_index=True)[1][codes]
+        row = first[pc.list_parent_indices(b.column(2)).to_numpy()]
         words = pc.list_flatten(b.column(2)).dictionary_encode()
         if not len(row):
             continue
