@@ -113,3 +113,31 @@ def test_vectors_come_from_small_slices(spark):
             cells[int.from_bytes(d[:4], "big") % 16] = cells.get(int.from_bytes(d[:4], "big") % 16, 0.0) + w
         norm = max(1e-9, math.sqrt(sum(x * x for x in cells.values())))
         assert got[i].keys() == cells.keys() and all(math.isclose(got[i][k], x / norm, abs_tol=1e-12) for k, x in cells.items())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_passages_come_without_an_index(spark):
+    import __spark_entry__ as entry
+
+    tables._BUILT.clear()
+    assert entry.queries()["reindex"](spark, SF).count() and entry.queries()["federate"](spark, SF).count()
+    assert not tables._BUILT
+
+
+def test_python_steps_take_small_slices(spark, monkeypatch):
+    from recollect.functions import extract
+    from recollect.operators import chunking
+
+    steps = []
+    monkeypatch.setattr(spark.range(0).__class__, "mapInArrow", lambda df, f, schema: steps.append(f) or (_ for _ in ()).throw(InterruptedError()))
+    segments = "array(named_struct('text', 'thermals lift gliders', 'start', 0D, 'end', 0D))"
+    items = spark.range(1).selectExpr("'i' item_id", "'' title", "'' author", "'' description", "'' folder", "array('a') tags", "'post' media_kind", f"{segments} segments", "cast(array() as array<struct<text:string,replies:array<string>>>) comments")
+    pages = spark.range(1).selectExpr("id page_id", "'u' url", "'<p>x</p>' html")
+    for make in (lambda: chunking.chunk_items(items), lambda: extract.extract_pages(pages)):
+        with pytest.raises(InterruptedError):
+            make()
+    item = [pa.array(["i"] * 600), pa.array(["head"] * 600), pa.array([["some words here"]] * 600), pa.array([None] * 600, pa.list_(pa.struct([("text", pa.string()), ("start", pa.float64()), ("end", pa.float64())]))), pa.array([[]] * 600, pa.list_(pa.string())), pa.array(["body"] * 600), pa.array([{"_": 0}] * 600)]
+    got = list(steps[0](iter([pa.RecordBatch.from_arrays(item, names=list("abcdefg"))])))
+    assert len(got) == 3 and sum(b.num_rows for b in got) == 1200
+    got = list(steps[1](iter([pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(["<p>x</p>"] * 600)], names=["page_id", "html"])])))
+    assert len(got) == 3 and sum(b.num_rows for b in got) == 600
