@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from . import library as L
 from .index import GROUP, name_tokens
-from .shared import counted
+from .shared import Scratch, counted
 
 #: Bits of a signature: those of one bitmap_construct_agg().
 BITS = 32_768
+#: Items whose trigrams one task brings into signatures. Their bits are rows until then, some thousand of an item, and are sorted by zone.
+AT_ONCE = 2048
 ORDER = (F.desc, "saved_at"), (F.desc, "indexed_at"), (F.asc, "id")
 
 
@@ -34,6 +36,16 @@ def has_bit(sign: Column, bit: int) -> Column:
     return F.shiftright(byte, bit % 8).bitwiseAND(F.lit(1)) == 1
 
 
+def signatures(rows: DataFrame, n: int) -> DataFrame:
+    """(_zone, n, sign) of n rows with _zone. Zones are dealt out in ranges, in as many tasks as the items want, so that what one of them sorts does not grow
+    with the listing."""
+    bits = F.flatten(F.array(*[grams(F.lower(F.col(c))) for c in L.SEARCHED]))
+    dealt = rows.select("_zone", *L.SEARCHED).repartitionByRange(max(1, -(-n // AT_ONCE)), "_zone")
+    # an item without any trigram counts in its zone; a zone of none has no signature
+    each = dealt.select("_zone", F.posexplode_outer(F.array_distinct(bits)).alias("nth", "bit"))
+    return each.groupBy("_zone").agg(F.count_if(F.coalesce("nth", F.lit(0)) == 0).alias("n"), F.bitmap_construct_agg("bit").alias("sign"), F.count("bit").alias("_bits")).select("_zone", "n", F.when(F.col("_bits") > 0, F.col("sign")).alias("sign"))
+
+
 @dataclass
 class Listing:
     """rows: the items with _pos and _zone; heads: _zone, n, sign. Items may have any columns beside those that list_items() asks for, but none of these names."""
@@ -50,10 +62,10 @@ class Listing:
         pages = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.row.count.limit": "512"}
         placed.sortWithinPartitions("_pos").write.options(**pages).parquet(f"{root}/rows")
         rows = items.sparkSession.read.parquet(f"{root}/rows")
-        bits = F.flatten(F.array(*[grams(F.lower(F.col(c))) for c in L.SEARCHED]))
-        counts = rows.groupBy("_zone").agg(F.count("*").alias("n"))
-        signs = rows.select("_zone", F.explode(F.array_distinct(bits)).alias("bit")).groupBy("_zone").agg(F.bitmap_construct_agg("bit").alias("sign"))
-        counts.join(signs, "_zone", "left").repartitionByRange("_zone").sortWithinPartitions("_zone").write.options(**pages).parquet(f"{root}/heads")
+        scratch = Scratch(items.sparkSession)
+        # held, for ranges are sampled first, which would make all signatures twice
+        scratch.hold(signatures(rows, rows.count())).repartitionByRange("_zone").sortWithinPartitions("_zone").write.options(**pages).parquet(f"{root}/heads")
+        scratch.release()
         return Listing.read(items.sparkSession, root, zone)
 
     @staticmethod

@@ -74,3 +74,16 @@ def test_all_equal(items, tmp_path):
     listed = Listing.write(same, str(tmp_path / "same"), 8)
     assert [r.id for r in listed.page(offset=90).collect()] == [f"{k:03d}" for k in range(90, 100)]
     assert listed.page("abc").count() == 0 and listed.zones("abc").count() == 0
+
+
+def test_a_task_makes_signatures_of_so_many_items_at_most(items, monkeypatch):
+    from recollect.operators import listing as own
+
+    placed = own.counted(items, [o(F.col(c)) for o, c in own.ORDER], "_pos").withColumn("_zone", F.floor(F.col("_pos") / 32))
+    whole = own.signatures(placed, N)
+    monkeypatch.setattr(own, "AT_ONCE", 256)
+    dealt = own.signatures(placed, N)
+    assert dealt.rdd.getNumPartitions() == -(-N // 256) and whole.rdd.getNumPartitions() == 2
+    assert {r._zone: (r.n, bytes(r.sign)) for r in dealt.collect()} == {r._zone: (r.n, bytes(r.sign)) for r in whole.collect()}
+    none = items.limit(1).select(F.lit(0).cast("long").alias("_zone"), *[F.lit("ab").alias(c) for c in L.SEARCHED])
+    assert [(r.n, r.sign) for r in own.signatures(none, 1).collect()] == [(1, None)]
