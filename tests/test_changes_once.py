@@ -1,0 +1,30 @@
+"""What index_after_changes and ingest_run keep of passages: tokens made once, in compressed files."""
+
+import os
+
+import pytest
+
+from recollect import queries as core
+from recollect.operators.shared import Scratch
+from recollect.plans import ingest as G
+from recollect.registry import library
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+def test_what_leaves_an_index_is_not_tokenised_again(spark, monkeypatch):
+    calls, real = [], library.line_passages
+    monkeypatch.setattr(library, "line_passages", lambda docs: calls.append(1) or real(docs))
+    scratches, hold = [], Scratch.hold
+    monkeypatch.setattr(Scratch, "hold", lambda self, df: scratches.append(self) or hold(self, df))
+    assert core.queries()["index_after_changes"](spark, SF).count()
+    assert len(calls) == 2
+    assert scratches and all(s.paths == [] for s in scratches)  # and nothing of it stays
+
+
+def test_passages_that_come_in_are_held_compressed(spark, monkeypatch):
+    holds, real = [], G.ingest
+    monkeypatch.setattr(G, "ingest", lambda *a, **k: holds.append(k.get("hold")) or real(*a, **k))
+    assert core.queries()["ingest_run"](spark, SF).count()
+    assert isinstance(getattr(holds[0], "__self__", None), Scratch)
