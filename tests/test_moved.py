@@ -1,0 +1,58 @@
+"""What a change of a store or index puts on disk for itself: bundles in place of rows, and nothing that is of no more use."""
+
+import os
+import random
+
+from pyspark.sql import functions as F
+from recollect.config import Settings
+from recollect.operators import index, segments
+from recollect.operators.shared import checkpoint_dir, moved
+from recollect.plans import store as stores
+from test_store import incoming
+
+
+def test_rows_move_in_bundles(spark):
+    rows = [(i, f"text {i}" if i % 5 else None, [f"t{k}" for k in range(i % 4)] if i % 3 else None, [(f"c{i}", i)] if i % 2 else [], i / 7, i % 6) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, text string, tokens array<string>, posts array<struct<chunk_id:string,tf:int>>, x double, part int").repartition(3)
+    out = moved(df, "part", lambda b: b.repartitionById(6, F.col("key")))
+    assert out.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    at = out.select("part", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(at) == 6 and all(r.part == r.p for r in at)
+    assert moved(df.limit(0), "part", lambda b: b.repartition(2, "key")).collect() == []
+
+
+def test_postings_that_left_go_where_they_lie(spark):
+    r = random.Random(2)
+    for kind, name in (("string", lambda i: f"{i:04d}"), ("long", lambda i: i)):
+        posts = lambda: [(name(i), r.randrange(1, 5), r.randrange(1, 90)) for i in sorted(r.sample(range(300), r.randrange(1, 9)))]  # noqa: B023, E731
+        rows = [(f"t{k % 40}", k // 40, 0, 0, 0, posts(), r.randrange(1, 4)) for k in range(400)]
+        blocks = spark.createDataFrame(rows, f"token string, zone long, max_tf int, min_len int, n int, posts array<struct<chunk_id:{kind},tf:int,doc_len:int>>, seq long")
+        gone = spark.createDataFrame([(name(i), i % 4 + 1) for i in range(0, 300, 2)], f"chunk_id {kind}, gone long")
+        got = segments.without(blocks, gone)
+        assert got.schema.simpleString() == blocks.schema.simpleString()
+        want = segments.living(blocks.select("token", "zone", "seq", F.inline("posts")), gone).groupBy("token", "zone", "seq").agg(F.max("tf"), F.min("doc_len"), F.count("*"), F.sort_array(F.collect_list(F.struct("chunk_id", "tf", "doc_len"))))
+        assert sorted(map(tuple, got.select("token", "zone", "seq", "max_tf", "min_len", "n", "posts").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_merge_unfolds_no_postings(spark, tmp_path, monkeypatch):
+    chunks = index.tokenised(spark.createDataFrame([(f"{i:03d}", f"thermals lift glider{i % 9}") for i in range(120)], "chunk_id string, text string"))
+    own = segments.Segmented(spark, str(tmp_path))
+    own.change(chunks)
+    plans, keep = [], segments.keep
+    monkeypatch.setattr(segments, "keep", lambda df, path: plans.append((path, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, path))
+    own.change(chunks.limit(0), None, chunks.where("chunk_id >= '060'"))
+    assert len(own.segments()[1]) == 1  # half has left, so all was merged
+    blocks = [p for path, p in plans if path.endswith("/blocks")]
+    assert len(blocks) == 2 and not any("Generate" in p or "Aggregate" in p for p in blocks)
+    posts = own.index().postings.where("token = 'lift'").select("chunk_id", "tf").collect()
+    assert sorted(tuple(x) for x in posts) == [(f"{i:03d}", 1) for i in range(60)]
+
+
+def test_what_came_in_goes_before_the_index_changes(spark, tmp_path, monkeypatch):
+    shared, seen, write = checkpoint_dir(spark).removeprefix("file:"), [], stores.write_segment
+    held = lambda: {f for f in os.listdir(shared) if f.startswith("scratch-")}
+    before = held()
+    monkeypatch.setattr(stores, "write_segment", lambda *a: seen.append(len(held() - before)) or write(*a))
+    stores.Store(spark, str(tmp_path), buckets=2, cfg=Settings(dimensions=64)).ingest(incoming(spark, [(1, "gliders"), (2, "thermals")]), now=1.0)
+    assert seen == [2]  # the passages that the segment is made of, and those that leave
