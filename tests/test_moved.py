@@ -3,7 +3,10 @@
 import os
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
+from recollect import queries as core
 from recollect.config import Settings
 from recollect.operators import index, segments
 from recollect.operators.shared import checkpoint_dir, moved
@@ -56,3 +59,11 @@ def test_what_came_in_goes_before_the_index_changes(spark, tmp_path, monkeypatch
     monkeypatch.setattr(stores, "write_segment", lambda *a: seen.append(len(held() - before)) or write(*a))
     stores.Store(spark, str(tmp_path), buckets=2, cfg=Settings(dimensions=64)).ingest(incoming(spark, [(1, "gliders"), (2, "thermals")]), now=1.0)
     assert seen == [2]  # the passages that the segment is made of, and those that leave
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_ingest_run_leaves_nothing_of_its_own(spark):
+    shared = checkpoint_dir(spark).removeprefix("file:")
+    before = {f for f in os.listdir(shared) if f.startswith("scratch-")}
+    assert core.queries()["ingest_run"](spark, "/root/testdata/sf0.001").count()
+    assert {f for f in os.listdir(shared) if f.startswith("scratch-")} == before
